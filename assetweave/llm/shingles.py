@@ -122,14 +122,15 @@ def permutation_table(bins: int) -> tuple[np.ndarray, np.ndarray]:
     return ((seed[:bins] % np.uint64(bins)) | np.uint64(1)).astype(np.int64), (seed[bins:] % np.uint64(bins)).astype(np.int64)
 
 
-def one_permutation(hashes: np.ndarray, at: np.ndarray, bins: int) -> np.ndarray:
+def one_permutation(hashes: np.ndarray, at: np.ndarray, bins: int, keep: int | None = None) -> np.ndarray:
     """One-permutation MinHash of each row: rows x bins of 32-bit minima, densified.
 
     The high bits of a hash choose its bin, the low 32 bits are its value there. An empty bin goes through
     its own fixed tour of the bins until it meets one that was filled from hashes, and takes that value, so
     that it agrees for two sets as often as the sets are alike. Rows without hashes are all ones.
+    keep: the number of bins to densify and return, the first ones.
     """
-    rows = len(at) - 1
+    rows, keep = len(at) - 1, keep or bins
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     filled = np.full((rows, bins), empty, np.uint64)
     if len(hashes):
@@ -138,8 +139,8 @@ def one_permutation(hashes: np.ndarray, at: np.ndarray, bins: int) -> np.ndarray
         np.minimum.at(filled.ravel(), where, hashes & np.uint64(0xFFFFFFFF))
     has = filled != empty
     step, start = permutation_table(bins)
-    row, place = np.nonzero(~has & has.any(axis=1)[:, None])
-    out = filled.copy()
+    row, place = np.nonzero(~has[:, :keep] & has.any(axis=1)[:, None])
+    out = filled[:, :keep].copy()
     turn = 0
     while len(row):
         look = (start[place] + step[place] * turn) % bins
