@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assetweave.llm import fingerprint, linededup, sharding
+from assetweave.llm import fingerprint, linededup, neardup, quality, sharding, tokenfile
 from assetweave.llm.common import table
 
+TOKENIZER = "word_bpe_49k.json"
+
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot and shard of every document."""
@@ -20,6 +23,23 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_report(table(spark, sf_dir, "documents"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of likeness 0.8 on two-word shingles."""
+    return neardup.near_duplicate_report(table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str, tokenizer: str = TOKENIZER) -> DataFrame:
+    """Token ids of every document, written to ORC files and read back."""
+    import public_tokenizers
+
+    return tokenfile.stored_report(table(spark, sf_dir, "documents"), Path(public_tokenizers.path(tokenizer)).read_text())
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's lines without those found in ten documents or more."""
     return linededup.line_report(table(spark, sf_dir, "documents"))
@@ -28,6 +48,9 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_fingerprints": op2_fingerprints,
+    "op3_near_duplicates": op3_near_duplicates,
+    "op8_quality": op8_quality,
+    "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
 }
 
