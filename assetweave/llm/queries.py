@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assetweave.llm import fingerprint, linededup, neardup, quality, sharding, tokenfile
+from assetweave.llm import decontaminate, fingerprint, linededup, mixing, neardup, quality, sharding, tokenfile
 from assetweave.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -28,6 +28,16 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, repeated so that each source weighs the square root of its size, shuffled."""
+    return mixing.replicate(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items of which documents hold four fifths of the shingles."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -49,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_fingerprints": op2_fingerprints,
     "op3_near_duplicates": op3_near_duplicates,
+    "op5_mixing": op5_mixing,
+    "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
@@ -56,5 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_sharding": sharding.ORACLE,
+    "op5_mixing": mixing.ORACLE,
+    "op7_decontamination": decontaminate.ORACLE,
     "op10_line_dedup": linededup.ORACLE,
 }
