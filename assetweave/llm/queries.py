@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assetweave.llm import decontaminate, fingerprint, linededup, mixing, neardup, quality, sharding, tokenfile
+from assetweave.llm import chat, decontaminate, extract, fingerprint, linededup, mixing, neardup, quality, sharding, tokenfile
 from assetweave.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -28,11 +28,21 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return extract.page_report(table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents, repeated so that each source weighs the square root of its size, shuffled."""
     return mixing.replicate(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, read back from their formatted text."""
+    return chat.conversation_report(table(spark, sf_dir, "conversations"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items of which documents hold four fifths of the shingles."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -59,7 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_fingerprints": op2_fingerprints,
     "op3_near_duplicates": op3_near_duplicates,
+    "op4_main_text": op4_main_text,
     "op5_mixing": op5_mixing,
+    "op6_chat_format": op6_chat_format,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
