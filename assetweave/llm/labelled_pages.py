@@ -102,7 +102,7 @@ class Maker:
             return f"<form{self.attr(FORM, 0.6)}{m}><label>{self.words(1, 4)}</label><input name=q><p>{self.words(1, 12)}</p><button>{self.words(1, 2)}</button></form>"
         if kind == 5:
             t = r.choice(["div", "section"])
-            one = lambda: f'<{(u := r.choice(["div", "div", "li", "li", "section", "article"]))} class="{r.choice(["comment", "reply", "response"])}"><b>{self.words(1, 2)}</b><p>{self.sentence()}</p></{u}>'
+            one = lambda: f'<{(u := r.choice(["div", "div", "li", "li", "section", "article"]))} class="{r.choice(["comment", "reply", "response"])}"><{(v := r.choice(["b", "span", "strong", "cite", "h4"]))}>{self.words(1, 2)}</{v}><p>{self.sentence()}</p></{u}>'
             return f"<{t}{self.attr(COMMENTS, 1.0)}{m}><h3>{self.words(1, 3)}</h3>{''.join(one() for _ in range(r.randint(1, 4)))}</{t}>"
         if kind == 6:
             return f"<div{self.attr(SHARE, 1.0)}{m}>{''.join(f'<a href=/s>{self.words(1, 2)}</a> ' for _ in range(3))}</div>"
@@ -127,6 +127,8 @@ class Maker:
         before = [self.noise(False) for _ in range(r.randint(0, 4))]
         after = [self.noise(False) for _ in range(r.randint(0, 4))]
         wrap = r.choice(["{}", "{}", '<div class="wrapper">{}</div>', '<div id="page"><div class="container">{}</div></div>', "<div>{}</div>"])
+        if r.random() < 0.12:  # a fragment
+            return "".join([open_.format(attr), *body, self.words(1, 6), close, self.noise(False) if r.random() < 0.5 else ""])
         inner = "".join([*before, open_.format(attr), *body, close, *after])
         tail = "</body></html>" if r.random() < 0.9 else ""
         return f"<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title><script>var t = '</p>';</script></head><body>{wrap.format(inner)}{tail}"
