@@ -119,7 +119,7 @@ def resolved(rows: DataFrame, how: str) -> DataFrame:
     ranks = {
         "priority": F.coalesce(F.try_element_at(F.create_map(*[x for k, v in tx.CLASS_PRIORITY.items() for x in (F.lit(k), F.lit(v))]), F.col("source")), F.lit(0)),
         "specific": F.when(F.col("category").isin("Stablecoin", "Tokenized Asset"), 2).otherwise(1) + F.when(F.col("peg").isNotNull(), 1).otherwise(0),
-        "newest": F.unix_micros("ts"),
+        "newest": F.unix_micros(F.col("ts").cast("timestamp")),
     }
     best = F.max_by(F.struct("category", "peg"), F.struct(ranks[how].cast("long").alias("rank"), (-F.col("seq")).alias("first"))).alias("x")
     return rows.groupBy("asset_key").agg(best).select("asset_key", "x.category", "x.peg")

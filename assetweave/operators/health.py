@@ -13,6 +13,11 @@ ERROR_RATE, SLOW_MS, LEAST_HEALTHY = 0.3, 10_000.0, 1
 LEVELS = {"info": 0, "warning": 1, "error": 2, "critical": 3}
 
 
+def micros(ts: str) -> Column:
+    """Microseconds of a timestamp, with or without a zone."""
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
 def level_rank(level: Column | str) -> Column:
     c = F.col(level) if isinstance(level, str) else level
     return F.coalesce(*[F.when(c == k, v) for k, v in LEVELS.items()], F.lit(0))
@@ -83,8 +88,9 @@ def breaker_state(log: DataFrame, days: float = 7.0, threshold: int = FAILURES,
 
     One source's calls are one array, bounded by retention; the streaming form has no such bound.
     """
+    kind = dict(log.dtypes)["ts"]
     calls = recent(log, 24 * days).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("ts", "id", "success"))).alias("calls"))
-    start = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("failures"), F.lit(0).alias("successes"), F.lit(None).cast("timestamp").alias("retry"), F.lit(0).alias("opened"))
+    start = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("failures"), F.lit(0).alias("successes"), F.lit(None).cast(kind).alias("retry"), F.lit(0).alias("opened"))
 
     def step(a: Column, e: Column) -> Column:
         ok, half, closed = e["success"], a["state"] == "half-open", a["state"] == "closed"
@@ -95,7 +101,7 @@ def breaker_state(log: DataFrame, days: float = 7.0, threshold: int = FAILURES,
         retry = F.when(opens, e["ts"] + F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {float(timeout_s)})")).otherwise(a["retry"])
         state = F.when(recovered, "closed").when(opens, "open").otherwise(a["state"])
         due = (state == "open") & (e["ts"] >= retry)
-        return F.struct(F.when(due, "half-open").otherwise(state).alias("state"), failures.alias("failures"), successes.alias("successes"), F.when(due, F.lit(None).cast("timestamp")).otherwise(retry).alias("retry"), (a["opened"] + opens.cast("int")).alias("opened"))
+        return F.struct(F.when(due, "half-open").otherwise(state).alias("state"), failures.alias("failures"), successes.alias("successes"), F.when(due, F.lit(None).cast(kind)).otherwise(retry).alias("retry"), (a["opened"] + opens.cast("int")).alias("opened"))
 
     return calls.select("source", F.aggregate("calls", start, step).alias("b")).select("source", "b.state", "b.failures", "b.opened")
 
@@ -155,7 +161,7 @@ def with_actions(alerts: DataFrame) -> DataFrame:
 
 def merge_alerts(alerts: DataFrame) -> DataFrame:
     """One per (source, type): the highest level, first on ties; first_ts is that of the first."""
-    best = F.max_by(F.struct("level", "ts"), F.struct(level_rank("level").alias("r"), (-F.unix_micros("ts")).alias("t"))).alias("x")
+    best = F.max_by(F.struct("level", "ts"), F.struct(level_rank("level").alias("r"), (-micros("ts")).alias("t"))).alias("x")
     return alerts.groupBy("source", "type").agg(best, F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("n")).select("source", "type", "x.level", "x.ts", "first_ts", "n")
 
 
@@ -168,7 +174,7 @@ def resolve_alerts(alerts: DataFrame, scores: DataFrame) -> DataFrame:
 def conflict_trend(points: DataFrame, most_per_hour: float = 10.0) -> DataFrame:
     """One row of points (ts, total): conflicts per hour over the last hour, and what that means."""
     last = recent(points, 1.0).agg(F.min_by("total", "ts").alias("a"), F.max_by("total", "ts").alias("b"), F.min("ts").alias("t0"), F.max("ts").alias("t1"))
-    hours = (F.unix_micros("t1") - F.unix_micros("t0")) / 3.6e9
+    hours = (micros("t1") - micros("t0")) / 3.6e9
     rate = F.coalesce(F.when(hours > 0, (F.col("b") - F.col("a")) / F.nullif(hours, F.lit(0.0))), F.lit(0.0))
     rows = last.select(rate.alias("rate"))
     return rows.withColumns({"status": F.when(F.col("rate") > most_per_hour, "critical").when(F.col("rate") > most_per_hour * 0.5, "elevated").otherwise("healthy"), "penalty": F.least(F.col("rate") * 0.5, F.lit(20.0))})
@@ -186,7 +192,7 @@ def freshness(log: DataFrame, interval_min: int = 15) -> DataFrame:
     """Per source: age in seconds of its last success, whether it is stale, when it is due next."""
     now = F.broadcast(log.agg(F.max("ts").alias("now")))
     rows = log.where("success").groupBy("source").agg(F.max("ts").alias("last_ts")).join(now)
-    age = (F.unix_micros("now") - F.unix_micros("last_ts")) / 1e6
+    age = (micros("now") - micros("last_ts")) / 1e6
     return rows.select("source", "last_ts", age.alias("age_s"), (age > 2 * 60 * interval_min).alias("stale"), (F.col("last_ts") + F.expr(f"INTERVAL {interval_min} MINUTES")).alias("next_ts"))
 
 
