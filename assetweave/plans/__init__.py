@@ -1,5 +1,5 @@
 """The registered queries; importing this package fills the registry."""
 
-from assetweave.plans import assets, classes, log, platform_queries, snapshots, viewing
+from assetweave.plans import assets, classes, log, platform_queries, snapshots, streams, viewing
 
-__all__ = ["assets", "classes", "log", "platform_queries", "snapshots", "viewing"]
+__all__ = ["assets", "classes", "log", "platform_queries", "snapshots", "streams", "viewing"]
