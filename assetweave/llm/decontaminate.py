@@ -14,7 +14,7 @@ documents; the documents stay where they are.
 Defined cases: null texts, empty texts and items without words match nothing; an item or a text of fewer than five
 words is one shingle, all its words, so such an item is found only in a text of just those words; repeated items
 and repeated documents each give their own rows, but equal (doc_id, item_id) pairs come out once, with the
-largest share; extra columns pass through or are ignored; an empty table gives no rows.
+largest share; a null id is an id like others; extra columns pass through or are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,11 +42,11 @@ MULTIPLIERS = mixed(np.arange(101, 101 + MINIMA, dtype=np.uint64)) | np.uint64(1
 class Items:
     """One block of items: the shingle set of each, and for each size class the sorted minima with their items."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int | None], texts: list[str]):
         hashes, at = shingle_hashes(pa.array(texts, pa.large_string()), WIDTH)
         sets = [np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
         keep = [k for k, s in enumerate(sets) if len(s)]
-        self.ids, self.sets = np.array([ids[k] for k in keep], np.int64), [sets[k] for k in keep]
+        self.ids, self.sets = [ids[k] for k in keep], [sets[k] for k in keep]
         size = np.array([len(s) for s in self.sets])
         kind = np.floor(np.log(np.maximum(size, 1)) / np.log(GROWTH) + 1e-9).astype(int)
         self.classes = []
@@ -111,7 +111,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def search(batches: Iterator[pa.RecordBatch], index: Items = index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 hits = list(index.found(*shingle_hashes(batch["text"], WIDTH)))
-                rows = [batch["doc_id"].take(pa.array([h[0] for h in hits], pa.int64())), pa.array([int(index.ids[h[1]]) for h in hits], pa.int64()), pa.array([len(index.sets[h[1]]) for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.int64())]
+                rows = [batch["doc_id"].take(pa.array([h[0] for h in hits], pa.int64())), pa.array([index.ids[h[1]] for h in hits], pa.int64()), pa.array([len(index.sets[h[1]]) for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.int64())]
                 yield pa.RecordBatch.from_arrays(rows, names=["doc_id", "item_id", "n_shingles", "n_shared"])
 
         parts.append(texts.mapInArrow(search, "doc_id long, item_id long, n_shingles long, n_shared long"))
