@@ -24,7 +24,10 @@ class Taxonomy:
         self.tokenized = tx.TOKENIZED_TAGS + [t.lower() for t in tokenized_tags or []]
         self.codes = tx.ISO_CODES + [c.upper() for c in currencies or {}]
         self.names = tx.CURRENCY_NAMES + [(c.upper(), n.lower()) for c, n in (currencies or {}).items()]
-        self.aliases = literal_map(tx.CURRENCY_ALIASES)
+
+    @property
+    def aliases(self) -> Column:
+        return literal_map(tx.CURRENCY_ALIASES)
 
     def alias(self, code: Column) -> Column:
         return F.coalesce(F.try_element_at(self.aliases, code), code)
