@@ -195,6 +195,21 @@ def fmt_grouped(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", exprs.fmt_grouped(n).alias("grouped"), exprs.fmt_price(n).alias("price"), exprs.fmt_pct(n).alias("pct"))
 
 
+@query("fmt_price", "SELECT o_orderkey, '$' || format('{:,}', floor(o_totalprice)::BIGINT) || '.000' AS price FROM orders")
+def fmt_price(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", exprs.fmt_price(F.floor("o_totalprice")).alias("price"))
+
+
+@query("fmt_pct", "SELECT l_orderkey, l_linenumber, (l_discount * 100)::DECIMAL(9, 2)::VARCHAR || '%' AS pct FROM lineitem")
+def fmt_pct(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", exprs.fmt_pct(F.col("l_discount") * 100).alias("pct"))
+
+
+@query("fmt_supply", "SELECT l_orderkey, l_linenumber, format('{:,}', (l_quantity * 1000)::BIGINT) AS supply FROM lineitem")
+def fmt_supply(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", exprs.fmt_grouped(F.col("l_quantity") * 1000).alias("supply"))
+
+
 @query("slugify", "SELECT s_suppkey, regexp_replace(regexp_replace(lower(s_name || ' ~ ' || s_suppkey || '!'), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM supplier")
 def slugify(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "supplier").select("s_suppkey", exprs.slugify(F.concat("s_name", F.lit(" ~ "), "s_suppkey", F.lit("!"))).alias("slug"))
