@@ -79,9 +79,17 @@ def in_order(docs: DataFrame, pieces: int) -> DataFrame:
     Adds piece (the range) and extra (True for that last row). The cuts are ids that occur, so the first row of
     a range is known without a look at the ranges; the first row of all also ends the last range.
     """
-    cuts = np.array(cut_points(docs, "doc_id", pieces), dtype=np.int64)
-    first = docs.agg(F.min("doc_id"), F.count_if(F.col("doc_id").isNull())).first()
-    lowest = None if first[1] else first[0]
+    rough = np.array(cut_points(docs, "doc_id", pieces), dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def near(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(rough, ids.to_numpy(np.int64), "right"), dtype=np.int32)
+
+    # the quantiles are floating-point numbers; the least id of each range is exact
+    least = docs.where("doc_id IS NOT NULL").groupBy(near("doc_id")).agg(F.min("doc_id").alias("id")).collect()
+    ids = sorted(r.id for r in least)
+    cuts = np.array(ids[1:], dtype=np.int64)
+    lowest = None if docs.where("doc_id IS NULL").limit(1).count() else ids[0] if ids else None
 
     @F.pandas_udf("array<int>")
     def ranges(ids: pd.Series) -> pd.Series:

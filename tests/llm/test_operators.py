@@ -100,6 +100,17 @@ def test_fingerprints_defined_cases(spark, odd):
     assert [r.x for r in pair.select(fingerprint.likeness_column("a", "b").alias("x")).collect()] == [1.0, 0.0]
 
 
+def test_fingerprints_of_ids_beyond_doubles(spark):
+    rows = [(2**60 + k, f"text number {k} of some words") for k in range(300)]
+    got = fingerprint.edited_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [i for i, _ in rows]
+    text = {i: t for i, t in rows}
+    for r in got:
+        t, n = text[r.doc_id], text[r.doc_id + 1 if r.doc_id + 1 in text else 2**60]
+        e = t[: len(t) - len(t) // 4] + n[: len(t) // 4]
+        assert r.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()
+
+
 @pytest.mark.parametrize("width", [2, 5])
 def test_near_duplicates_equal_brute_force(spark, docs, width):
     wanted = brute.near_components([(r.doc_id, r.text) for r in docs.collect()], width)
