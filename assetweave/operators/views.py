@@ -8,17 +8,20 @@ from pyspark.sql import functions as F
 from assetweave.functions.exprs import finite, half_up
 
 
-def ranked(rows: DataFrame, by: list[Column], buckets: int = 64, key: str = "mcap") -> DataFrame:
+def ranked(rows: DataFrame, measure: Column, by: list[Column], buckets: int = 64) -> DataFrame:
     """rows with rank, from 1, in the order of by, without a window over all rows.
 
-    Rows are sorted by range partitioning and counted by partition; each partition ranks its own rows and adds the
-    count of those before it. Only one number a partition is gathered.
+    measure: a number, never null, that never falls in the order of by. Its approximate quantiles, up to buckets
+    numbers, cut the rows into ranges by their values alone, so that the two uses of the ranges agree; each range ranks its
+    own rows and adds the rows of the ranges before it.
     """
-    placed = rows.repartitionByRange(buckets, *by).withColumn("_p", F.spark_partition_id())
-    own = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*by)))
-    sizes = own.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    placed = rows.withColumn("_m", measure.cast("double"))
+    cuts = sorted(set(placed.approxQuantile("_m", [k / buckets for k in range(1, buckets)], 1 / (4 * buckets)) if buckets > 1 else []))
+    placed = placed.withColumn("_p", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c <= F.col("_m"))))
+    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
-    return own.join(F.broadcast(before), "_p").withColumn("rank", F.col("_before") + F.col("_r")).drop("_p", "_r", "_before")
+    own = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*by)))
+    return own.join(F.broadcast(before), "_p").withColumn("rank", F.col("_before") + F.col("_r")).drop("_p", "_m", "_r", "_before")
 
 
 def top(rows: DataFrame, n: int, *by: Column) -> DataFrame:

@@ -93,7 +93,9 @@ def view_required_fields(spark: SparkSession, d: str) -> DataFrame:
 @query("rank_by_category", with_(*ALL, body="SELECT asset_key, category, mcap, row_number() OVER (ORDER BY CASE WHEN category = 'Stablecoin' THEN 0 ELSE 1 END, mcap DESC NULLS LAST, asset_key) AS rank FROM merged"))
 def rank_by_category(spark: SparkSession, d: str) -> DataFrame:
     by = [F.when(F.col("category") == "Stablecoin", 0).otherwise(1), F.col("mcap").desc_nulls_last(), F.col("asset_key")]
-    return views.ranked(merged(spark, d).select("asset_key", "category", "mcap"), by)
+    # a cap is under 1e18, so the blocks don't mix
+    measure = F.when(F.col("category") == "Stablecoin", 0.0).otherwise(1e19) - F.coalesce("mcap", F.lit(-1e18))
+    return views.ranked(merged(spark, d).select("asset_key", "category", "mcap"), measure, by)
 
 
 @query("top_assets", with_(*ALL, body="SELECT asset_key, mcap FROM merged WHERE mcap IS NOT NULL ORDER BY mcap DESC, asset_key LIMIT 20"))
