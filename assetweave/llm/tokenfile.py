@@ -16,6 +16,7 @@ texts and each keep their ids; a null doc_id stands first; extra columns are ign
 from __future__ import annotations
 
 import json
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from assetweave.llm.common import arrow_limits, cut_points, partitions, scratch
+from assetweave.llm.common import arrow_limits, cut_points, partitions, scratch, written
 
 END_ID = 1
 ROW_INDEX = 1000
@@ -42,49 +43,114 @@ def by_pieces(tokenizer_json: str) -> bool:
 
 
 class Encoder:
-    """Ids of whole texts, an Arrow batch at a time."""
+    """Ids of whole texts, an Arrow batch at a time.
 
-    #: Pieces that are remembered from batch to batch.
-    KNOWN = 200_000
+    A piece of letters with ASCII punctuation after it is two units, any other piece is one. Units are encoded
+    once while they are remembered, the plain ones many in one call, in which the tokens that end words part them.
+    """
+
+    #: Pieces and units that are remembered from batch to batch.
+    KNOWN = 400_000
+    #: Plain units in one call.
+    JOINED = 400
+    TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
     def __init__(self, tokenizer_json: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core already
         from tokenizers import Tokenizer
 
         self.tokenizer, self.pieces = Tokenizer.from_str(tokenizer_json), by_pieces(tokenizer_json)
-        self.known: dict[str, np.ndarray] = {}
-
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        suffix = json.loads(tokenizer_json)["model"].get("end_of_word_suffix") or ""
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if suffix:
+            self.ends[[k for t, k in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.known: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_plain(self, units: list[str]) -> list[bytes]:
+        """Ids of units that are one word each to the tokenizer."""
+        out = []
+        calls = [units[k : k + self.JOINED] for k in range(0, len(units), self.JOINED)]
+        for own, e in zip(calls, self.tokenizer.encode_batch_fast([" ".join(c) for c in calls], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == len(own) and (not len(ids) or ends[-1] == len(ids)):
+                data = ids.tobytes()
+                low = 0
+                for high in (ends * 4).tolist():
+                    out.append(data[low:high])
+                    low = high
+            else:
+                out += self._encode(own)
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        if len(self.known) + len(pieces) > self.KNOWN:
+            self.known.clear()
+        if len(self.units) > self.KNOWN:
+            self.units.clear()
+        made, plain, other = [], {}, {}
+        for p in pieces:
+            core = p.rstrip(self.TAIL)
+            if core.isalpha():
+                core = core.lower() if core.isascii() else core
+                tail = p[len(core) :]
+                made.append((core, tail))
+                for u in (core, tail):
+                    if u and u not in self.units:
+                        plain[u] = None
+            else:
+                made.append((p, ""))
+                if p not in self.units:
+                    other[p] = None
+        self.units.update(zip(plain, self._encode_plain(list(plain)), strict=True))
+        self.units.update(zip(other, self._encode(list(other)), strict=True))
+        units = self.units
+        self.known.update((p, units[c] + units[t] if t else units[c]) for p, (c, t) in zip(pieces, made, strict=True))
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the batch, with an end id after each text, and the offsets of the texts in them."""
         texts = texts.fill_null("")
+        end = np.array([END_ID], np.int32).tobytes()
         # the separators 0x1C to 0x1F are white space to Arrow but not to the tokenizers
         if not self.pieces or pc.any(pc.match_substring_regex(texts, "[\x1c-\x1f]")).as_py():
-            rows = [np.append(r, np.int32(END_ID)) for r in self._encode(texts.to_pylist())]
-            return np.concatenate(rows or [np.empty(0, np.int32)]), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+            rows = [r + end for r in self._encode(texts.to_pylist())]
+            return np.frombuffer(b"".join(rows), np.int32), np.concatenate([[0], np.cumsum([len(r) // 4 for r in rows])]).astype(np.int64)
         split = pc.utf8_split_whitespace(texts)
         flat = split.flatten().dictionary_encode()
-        if len(self.known) > self.KNOWN:
-            self.known.clear()
         names = flat.dictionary.to_pylist()
-        new = [p for p in names if p not in self.known]
-        self.known.update(zip(new, self._encode(new), strict=True))
-        table = [self.known[p] for p in names]
-        size = np.array([len(t) for t in table], np.int64)
-        all_ids = np.concatenate([*table, np.array([END_ID], np.int32)]).astype(np.int32)
-        start = np.concatenate([[0], np.cumsum(size)])
+        if new := [p for p in names if p not in self.known]:
+            before = {p: self.known[p] for p in names if p in self.known}
+            self._learn(new)
+            self.known.update(before)  # if learning has made room
+        table = [*(self.known[p] for p in names), end]
+        size = np.array([len(t) for t in table], np.int64) // 4
+        all_ids = np.frombuffer(b"".join(table), np.int32)
+        start = np.cumsum(size) - size
         # the end id is one more piece, put after each text's pieces
-        which = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.cumsum(lengths)
-        order = np.insert(which, ends, len(table))
-        size, start = np.append(size, 1), start
+        which = flat.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+        ends = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64))
+        order = np.insert(which, ends, len(names))
         count = size[order]
-        first = np.cumsum(count) - count
-        ids = all_ids[np.repeat(start[order] - first, count) + np.arange(int(count.sum()))]
-        at = np.concatenate([[0], np.cumsum(count)])[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])]
-        return ids, at
+        last = np.cumsum(count)
+        place = np.repeat((start[order] - last + count).astype(np.int32 if len(all_ids) < 1 << 30 and (not len(last) or last[-1] < 1 << 30) else np.int64), count)
+        place += np.arange(len(place), dtype=place.dtype)
+        at = np.concatenate([[0], last])[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])]
+        return all_ids[place], at
+
+
+#: The encoder of this Python worker, which serves one task after another.
+_ENCODER: dict[str, Encoder] = {}
+
+
+def encoder_of(tokenizer_json: str) -> Encoder:
+    if tokenizer_json not in _ENCODER:
+        _ENCODER.clear()
+        _ENCODER[tokenizer_json] = Encoder(tokenizer_json)
+    return _ENCODER[tokenizer_json]
 
 
 def dealt(docs: DataFrame, pieces: int) -> DataFrame:
@@ -100,10 +166,10 @@ def dealt(docs: DataFrame, pieces: int) -> DataFrame:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_json: str) -> None:
     """Writes the ids of all texts: rows (piece, doc_id, ids), ascending doc_id within ascending piece."""
-    arrow_limits(docs.sparkSession)
+    arrow_limits(docs.sparkSession, rows=2500)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_json)
+        encoder = encoder_of(tokenizer_json)
         for batch in batches:
             ids, at = encoder.ids(batch["text"])
             yield pa.RecordBatch.from_arrays([batch["piece"], batch["doc_id"], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], names=["piece", "doc_id", "ids"])
@@ -131,7 +197,8 @@ def token_report(stored: DataFrame) -> DataFrame:
             crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch["piece"], batch["doc_id"], pa.array(np.diff(at).astype(np.int64)), pa.array(crc, pa.int64())], names=["piece", "doc_id", "n_tokens", "ids_crc32"])
 
-    rows = stored.mapInArrow(digest, "piece int, doc_id long, n_tokens long, ids_crc32 long")
+    # written, as both uses below need them and the ids are read once that way
+    rows = written(stored.mapInArrow(digest, "piece int, doc_id long, n_tokens long, ids_crc32 long"), "token-rows")
     # one row a range: the number of ranges is a parameter, not the data's
     sums = rows.groupBy("piece").agg(F.sum("n_tokens").alias("sum"))
     before = sums.select("piece", (F.sum("sum").over(Window.orderBy("piece")) - F.col("sum")).alias("before"))
