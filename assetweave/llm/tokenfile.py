@@ -154,14 +154,14 @@ def encoder_of(tokenizer_json: str) -> Encoder:
 
 
 def dealt(docs: DataFrame, pieces: int) -> DataFrame:
-    """docs (doc_id, text) in ranges of doc_id, piece, each in one partition and in order."""
+    """docs (doc_id, text) in ranges of doc_id, piece, each a partition, ascending from partition to partition and within."""
     cuts = np.array(cut_points(docs, "doc_id", pieces), dtype=np.int64)
 
     @F.pandas_udf("int")
     def piece(ids: pd.Series) -> pd.Series:
         return pd.Series(np.where(ids.isna(), 0, np.searchsorted(cuts, ids.fillna(0).to_numpy(np.int64), "right")), dtype=np.int32)
 
-    return docs.select("doc_id", "text", piece("doc_id").alias("piece")).repartition(partitions(docs.sparkSession), "piece").sortWithinPartitions("piece", F.col("doc_id").asc_nulls_first(), "text")
+    return docs.select("doc_id", "text", piece("doc_id").alias("piece")).repartitionById(pieces, "piece").sortWithinPartitions("piece", F.col("doc_id").asc_nulls_first(), "text")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_json: str) -> None:
@@ -174,7 +174,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str) -> None:
             ids, at = encoder.ids(batch["text"])
             yield pa.RecordBatch.from_arrays([batch["piece"], batch["doc_id"], pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))], names=["piece", "doc_id", "ids"])
 
-    rows = dealt(docs, 2 * partitions(docs.sparkSession)).mapInArrow(encode, "piece int, doc_id long, ids array<int>")
+    rows = dealt(docs, partitions(docs.sparkSession)).mapInArrow(encode, "piece int, doc_id long, ids array<int>")
     (
         rows.write.option("orc.compress", "ZSTD").option("orc.stripe.size", STRIPE_BYTES).option("orc.create.index", "true").option("orc.row.index.stride", ROW_INDEX)
         .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").orc(path)

@@ -317,6 +317,15 @@ def test_token_files_equal_whole_encoding(spark, docs):
         start += len(ids)
 
 
+def test_token_files_ascend(spark, docs, tmp_path):
+    path = str(tmp_path / "ids")
+    tokenfile.write_tokens(docs.orderBy(F.xxhash64("doc_id")), path, tokenizer())
+    ids = []
+    for f in sorted((tmp_path / "ids").glob("part-*.orc")):
+        ids += [r.doc_id for r in spark.read.orc(str(f)).collect()]
+    assert ids == sorted(r.doc_id for r in docs.collect())
+
+
 def test_encoder_on_hard_texts():
     from tokenizers import Tokenizer
 
