@@ -11,9 +11,13 @@ The trees are searched in ROUNDS. Later rounds leave out pairs that are in one c
 as neighbours either: so a large group of copies, which a few trees connect for the most part, isn't confirmed link by
 link, and what is left of it is compared with far more neighbours.
 
+Blocks of classes with equal first minima in a tree that are larger than the round's reach, and not of one component
+after the rounds, are crowded: their pairs are then compared one and all, in chunks of bounded size, the best
+estimates first (RANKS), as one hub may connect all the others. So no pair is left out for its block's size; where many
+classes are alike but unlinked that is quadratic in their number.
+
 A pair at the threshold of 0.8 shares FLOOR minima in at least one of the trees of the last round but for a
-chance of (1 - 0.8**3)**16 = 1e-5, and of all rounds of 3e-8 where classes lie thin. In regions with more unconnected classes per prefix than a round's reach the chance
-to find a pair falls with the region's density; the tests hold a dense group against brute force.
+chance of (1 - 0.8**3)**16 = 1e-5, and of all rounds of 3e-8, however dense its region is.
 
 Defined cases: texts without words have no shingles and link with nothing; a text with fewer words than the
 shingle width has one shingle, all its words; rows that share a doc_id are one document, which is linked if any
@@ -28,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetweave.llm.common import arrow_limits, partitions, remove, written
@@ -40,6 +44,9 @@ ROUNDS = ((2, 4, 4), (3, 4, 8), (3, 8, 16), (16, 16, 24))
 TREES = sum(r[0] for r in ROUNDS)
 DEPTH = 8
 FLOOR = 3
+#: Crowded blocks: classes in a chunk, and the ranks of a class's candidates that each pass confirms; the last takes the rest.
+CHUNK = 1024
+RANKS = ((0, 16), (16, 256), (256, CHUNK))
 BINS = 1024
 #: Candidates are dropped when their estimate is so many standard errors under the likeness of 0.8.
 ERRORS = 5.5
@@ -139,6 +146,82 @@ def near_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch["a"].filter(near), batch["b"].filter(near)], names=["a", "b"])
 
 
+def crowded(classes: DataFrame) -> DataFrame:
+    """(tree, head, chunks): blocks that the sweep of their tree may have cut short, not of one component."""
+    trees = [(t, reach) for t, reach in enumerate(r[1] for r in ROUNDS for _ in range(r[0]))]
+    heads = F.array(*[F.struct(F.lit(t).alias("tree"), F.lit(reach).alias("reach"), head_of(t).alias("head")) for t, reach in trees])
+    blocks = classes.select("part", F.explode(heads).alias("x")).groupBy("x.tree", "x.reach", "x.head").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
+    return blocks.where("n > reach + 1 AND low < high").select("tree", "head", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+
+
+def head_of(tree: int) -> Column:
+    return F.substring("minima", tree * 2 * DEPTH + 1, 2 * FLOOR)
+
+
+def compare(low: int, high: int, least: int, most: int):
+    """For one chunk of a block against one (tree, i, j, salt, id, part, n, minima): pairs of ids near enough, in the
+    first tree that they meet in, of different parts, whose rank for either lies in [low, high)."""
+
+    def pairs(rows: pa.Table) -> pa.Table:
+        tree, i, j = (rows[c][0].as_py() for c in ("tree", "i", "j"))
+        salt, ids, part, n = (rows[c].to_numpy() for c in ("salt", "id", "part", "n"))
+        minima = np.frombuffer(b"".join(rows["minima"].to_pylist()), ">u2").astype(np.uint16).reshape(len(ids), -1)
+        heads = np.ascontiguousarray(minima.reshape(len(ids), TREES, DEPTH)[:, :tree, :FLOOR]).astype(np.uint64)
+        heads = heads[:, :, 0] << np.uint64(32) | heads[:, :, 1] << np.uint64(16) | heads[:, :, 2]
+        # the hash of an id deals chunks about evenly; what one has over CHUNK goes in slices
+        x, y = (np.array_split(k, -(-len(k) // CHUNK) or 1) for k in (np.flatnonzero(salt == i), np.flatnonzero(salt == j)))
+        found = []
+        for s, a in enumerate(x):
+            for t, b in enumerate(y):
+                if (i != j or s <= t) and len(a) and len(b):
+                    found.append(block_pairs(a, b, i == j and s == t, ids, part, n, minima, heads))
+        a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    def block_pairs(a: np.ndarray, b: np.ndarray, same: bool, ids: np.ndarray, part: np.ndarray, n: np.ndarray, minima: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        small, large = np.minimum(n[a][:, None], n[b][None, :]), np.maximum(n[a][:, None], n[b][None, :])
+        fits = most * small >= least * large
+        if same:
+            np.fill_diagonal(fits, False)
+        for t in range(heads.shape[1]):
+            fits &= heads[a, t][:, None] != heads[b, t][None, :]
+        p, q = minima[a].T.copy(), minima[b].T.copy()
+        equal = np.zeros(fits.shape, np.uint8)
+        for k in range(len(p)):
+            equal += p[k][:, None] == q[k][None, :]
+        fits &= (equal / np.float32(TREES * DEPTH) >= (0.8 - ERRORS * np.sqrt(0.16 / (TREES * DEPTH) + 0.025 / small) - 1e-6)) | (small < ESTIMATED_FROM)
+        open_ = fits & (part[a][:, None] != part[b][None, :])
+        if not open_.any():
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        # ranks count pairs of one part too, so that each pass means the same ones
+        score = np.where(fits, -equal.astype(np.int16), 1)
+        first = np.minimum(ranks(score), ranks(score.T).T)
+        open_ &= (first >= low) & (first < high)
+        if same:
+            open_ = np.triu(open_ | open_.T)
+        u, v = np.nonzero(open_)
+        return ids[a[u]], ids[b[v]]
+
+    return pairs
+
+
+def ranks(score: np.ndarray) -> np.ndarray:
+    """The rank of each number in its row, from 0; ties by place."""
+    out = np.empty(score.shape, np.int32)
+    np.put_along_axis(out, np.argsort(score, axis=1, kind="stable"), np.arange(score.shape[1], dtype=np.int32)[None, :], axis=1)
+    return out
+
+
+def crowded_pairs(classes: DataFrame, blocks: DataFrame, low: int, high: int, least: int, most: int) -> DataFrame:
+    """Distinct pairs (a, b) of ids of classes (id, n_shingles, minima, part) in crowded blocks, of these ranks."""
+    heads = F.array(*[F.struct(F.lit(t).alias("tree"), head_of(t).alias("head")) for t in range(TREES)])
+    rows = classes.select("id", "part", F.col("n_shingles").alias("n"), "minima", F.explode(heads).alias("x")).select("id", "part", "n", "minima", "x.tree", "x.head")
+    rows = rows.join(blocks, ["tree", "head"]).withColumn("salt", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
+    dealt = rows.select("*", other).select("tree", "head", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "id", "part", "n", "minima")
+    return dealt.groupBy("tree", "head", "i", "j").applyInArrow(compare(low, high, least, most), "a long, b long").distinct()
+
+
 def confirmed(least: int, most: int):
     """Of rows (a, b, set_a, set_b), those with most * |intersection| >= least * |union|."""
 
@@ -194,11 +277,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, most: int
     # a document of several texts is in several classes and so links them
     links = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("a", "b")
     found, tree = None, 0
+
+    def known() -> DataFrame:
+        return classes.withColumn("part", F.col("id")) if found is None else classes.join(found, "id", "left").withColumn("part", F.coalesce("component_id", "id"))
+
     for n, reach, back in ROUNDS:
-        known = classes.withColumn("part", F.col("id")) if found is None else classes.join(found, "id", "left").withColumn("part", F.coalesce("component_id", "id"))
-        new = links_of(docs, classes, candidates(known, range(tree, tree + n), reach, back, least, most), width, least, most)
+        new = links_of(docs, classes, candidates(known(), range(tree, tree + n), reach, back, least, most), width, least, most)
         found = written(components(links.union(new)).withColumnRenamed("node", "id"), "parts")
         links, tree = found.toDF("a", "b"), tree + n
+    for low, high in RANKS:
+        blocks = written(crowded(known()), "crowded")
+        if blocks.isEmpty():
+            break
+        new = links_of(docs, classes, crowded_pairs(known(), blocks, low, high, least, most), width, least, most)
+        found = written(components(links.union(new)).withColumnRenamed("node", "id"), "parts")
+        links = found.toDF("a", "b")
     roots = members.join(found, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component_id", "id")).alias("component_id"))
     out = each.select("doc_id", "n_shingles", "set_key").join(roots, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -132,6 +132,22 @@ def test_near_duplicates_in_a_dense_group(spark):
     assert got == wanted
 
 
+def test_near_duplicates_of_a_hub(spark):
+    """1,500 copies of one text that are linked with it only: more than the forest's sweeps look at."""
+    r = random.Random(6)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 1501):
+        words = list(base)
+        for k in r.sample(range(1, 399, 2), 20):
+            words[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(words)))
+    sets = [brute.shingles(t, 2) for _, t in rows]
+    assert all(brute.jaccard(sets[0], s) >= 0.8 for s in sets) and all(brute.jaccard(x, y) < 0.8 for x, y in zip(sets[1:], sets[2:]))
+    got = neardup.near_duplicate_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 1501 and {r.component_id for r in got} == {0}
+
+
 def test_near_duplicates_defined_cases(spark, odd):
     got = [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicate_report(odd).collect()]
     assert len(got) == len(ODD)
