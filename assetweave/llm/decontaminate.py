@@ -24,10 +24,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetweave.llm.common import arrow_limits
+from assetweave.llm.common import arrow_limits, written
 from assetweave.llm.shingles import mixed, shingle_hashes
 
 WIDTH = 5
@@ -122,9 +122,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs that hold no item."""
+    """docs that hold no item: rows go by their own text, whatever other rows have the same doc_id."""
     hit = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti").select(*docs.columns)
+    own = F.col("doc_id").cast("long")
+    suspect = docs.where("text IS NOT NULL").join(hit.withColumnRenamed("doc_id", "_hit"), own.eqNullSafe(F.col("_hit")), "left_semi").select(F.col("text").cast("string").alias("text")).distinct()
+    # the texts of hit ids are searched again, each under a number of its own
+    numbered = written(suspect.withColumn("doc_id", F.monotonically_increasing_id()), "suspect")
+    found = contaminated(numbered, benchmark).select("doc_id").distinct()
+    texts = numbered.join(found, "doc_id", "left_semi").select(digest("text").alias("_text"))
+    return docs.join(texts, digest("text") == F.col("_text"), "left_anti").select(*docs.columns)
+
+
+def digest(text: str) -> Column:
+    return F.sha2(F.col(text).cast("string"), 256)
 
 
 ORACLE = """

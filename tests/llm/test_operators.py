@@ -290,6 +290,14 @@ def test_decontamination_defined_cases(spark, odd):
     assert clean.count() == len(ODD) - 3 and clean.columns == odd.columns
 
 
+def test_clean_rows_stay_whatever_their_ids(spark):
+    item = "one two three four five six seven"
+    rows = [(None, f"so {item} it goes"), (None, "a clean text of no id at all"), (None, None), (1, item), (1, "another clean text of the same id"), (2, item.upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = decontaminate.keep_clean(docs, spark.createDataFrame([(9, item)], "item_id long, text string"))
+    assert sorted(map(str, (tuple(r) for r in clean.collect()))) == sorted(map(str, [rows[1], rows[2], rows[4]]))
+
+
 def test_quality_held_out(spark):
     folder = DATA.replace("0.001", "0.01")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
