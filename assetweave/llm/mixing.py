@@ -6,7 +6,9 @@ seed and its id, so that it is the same on every run and in every order. Each do
 and all copies are shuffled: a hash of seed, id and copy deals them to partitions and orders them within.
 
 Defined cases: null sources are one source; a null doc_id is hashed as the text 'null'; rows that repeat a doc_id
-get the same count each; sources of weight 0 go; rates over MOST_RATE are refused; an empty table gives no rows;
+get the same count each; sources of weight 0 go; a count of a rate over MOST_RATE is the sum of such draws of equal
+lesser rates, each at a hash of its own; weights or a total that are given and lead to such rates are refused; an
+empty table gives no rows;
 the columns of docs pass through, of which copy and shuffle_key are overwritten.
 """
 
@@ -59,14 +61,18 @@ def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, t
     """The copies of docs in their shuffled order, with copy (from 1) and shuffle_key."""
     by_source = rates(docs, weights, total)
     n, top = by_source.agg(F.count(F.lit(1)), F.max("rate")).first()
-    if top is not None and not (math.isfinite(top) and top <= MOST_RATE):
+    given = weights is not None or total is not None
+    if given and top is not None and not (math.isfinite(top) and top <= MOST_RATE):
         raise ValueError(f"a source would have to be repeated {top} times; the most is {MOST_RATE}")
-    by_source = by_source.select(F.col("source").alias("_source"), distribution(F.col("rate")).alias("_chances"))
+    draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST_RATE).cast("int"))
+    by_source = by_source.select(F.col("source").alias("_source"), draws.alias("_draws"), distribution(F.col("rate") / draws).alias("_chances"))
     if n <= BROADCAST_SOURCES:
         by_source = F.broadcast(by_source)
     kept = docs.drop("copy", "shuffle_key")
     counted = kept.join(by_source, F.col("source").eqNullSafe(F.col("_source")))
-    count = F.size(F.filter("_chances", lambda c: c <= hashed("doc_id") / F.lit(float(2**52))))
+    draw = lambda *more: F.size(F.filter("_chances", lambda c: c <= hashed("doc_id", *more) / F.lit(float(2**52))))
+    others = F.aggregate(F.sequence(F.lit(2), F.col("_draws")), F.lit(0), lambda acc, k: acc + draw(k))
+    count = draw() + F.when(F.col("_draws") > 1, others).otherwise(0)
     copies = counted.withColumn("_count", count).where("_count > 0").select(*kept.columns, F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("copy"))
     keyed = copies.withColumn("shuffle_key", hashed(F.lit("order"), "doc_id", "copy"))
     return keyed.repartition(partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")

@@ -222,6 +222,13 @@ def test_mixing_defined_cases(spark, odd):
         mixing.replicate(odd, {"s": 1.0}, total=10**6)
 
 
+def test_mixing_repeats_a_tiny_source_as_often_as_its_weight_asks(spark):
+    df = spark.range(1_000_001).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, "tiny").otherwise("large").alias("source"))
+    rate = {r.source: r.rate for r in mixing.rates(df).collect()}["tiny"]
+    n = mixing.replicate(df).where("source = 'tiny'").count()
+    assert rate > mixing.MOST_RATE and abs(n - rate) < 6 * rate**0.5
+
+
 def test_conversations_equal_brute_force(spark):
     df = spark.read.parquet(f"{DATA}/conversations.parquet")
     rows = [(r.conv_id, r.turn, r.role, r.text) for r in df.collect()] + [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
