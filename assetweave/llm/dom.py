@@ -12,7 +12,9 @@ PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Fixed values of HTML: elements without content, without markup inside, and such as stand in a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select".split())
+RAW = frozenset("script style title textarea iframe".split())
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.IGNORECASE | re.ASCII) for t in RAW}
+NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none(?![\w-])", re.IGNORECASE)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr button".split())
 #: An opening tag that ends an open element of these names, up to the nearest of the others.
 P_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
@@ -40,7 +42,7 @@ def hints(attributes: str) -> tuple[tuple[str, ...], str | None]:
             found += [w.lower() for w in PIECE.findall(m[2] or m[3] or m[4] or "")]
         elif name == "data-main":
             mark = m[2]
-        elif name == "hidden" or name == "style" and "none" in (m[2] or m[3] or ""):
+        elif name == "hidden" or name == "style" and NOT_SHOWN.search(m[2] or m[3] or m[4] or ""):
             found.append("hidden")
     return tuple(found), mark
 
@@ -49,7 +51,6 @@ def parse(page: str) -> Tree:
     """The tree of a page; comments, scripts, styles and other raw elements are left out."""
     t = Tree()
     open_, at, gap = [0], 0, True
-    lowered = None
 
     def text(piece: str) -> None:
         nonlocal gap
@@ -77,9 +78,9 @@ def parse(page: str) -> Tree:
                     break
             continue
         if tag in RAW:
-            lowered = lowered if lowered is not None else page.lower()
-            end = lowered.find(f"</{tag}", at) if not m[0].endswith("/>") else at
-            at = len(page) if end < 0 else max(at, page.find(">", end) + 1 or len(page)) if end > at or page.startswith("</", at) else at
+            if not m[0].endswith("/>"):
+                end = RAW_END[tag].search(page, at)
+                at = end.end() if end else len(page)
             continue
         if tag in P_ENDS:
             _close(t, open_, {"p"}, {"table", "td", "th", "button"})

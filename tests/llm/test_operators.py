@@ -163,6 +163,14 @@ def test_components_of_a_long_path(spark):
     assert components.components(links.limit(0)).count() == 0
 
 
+def test_parse_drops_raw_elements_only():
+    text = lambda page: " ".join(p for _, p, _ in dom.parse(page).pieces).split()
+    assert text("<p>a <math><mi>x</mi></math> b<noscript>c</noscript><p>d<svg>e<p>f<select>g") == list("axbcdefg")
+    assert text("<p>" + "\u0130" * 40 + "</p><SCRIPT>x</Script ><p>kept</p><p>too</p>") == ["\u0130" * 40, "kept", "too"]
+    assert text("<title>a</titles></title>b<style/>c<script>d") == ["b", "c"]
+    assert dom.hints(' style="border: none"')[0] == () and dom.hints(' style="a:b; DISPLAY : none"')[0] == ("hidden",)
+
+
 def test_pages_held_out():
     pages = labelled_pages.labelled_pages(120, seed=77)
     model = extract.default_model()
