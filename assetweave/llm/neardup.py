@@ -1,28 +1,26 @@
 """Near-duplicate documents by a MinHash LSH forest.
 
-Documents with equal shingle sets form a class, of which one goes on. A class has a signature of TREES x DEPTH
-minima of a one-permutation MinHash. Each tree sorts all classes by its own DEPTH minima, so that classes next to each
-other share the longest prefixes. A class is a candidate with the nearest classes before it, as long as they share its
-first FLOOR minima: where classes lie thin that is all of them, where they lie dense those of the deepest prefixes.
-Candidates whose sizes allow it and whose signatures are near enough are confirmed on the full sets, and the links'
-components are worked out by star contractions.
-
-The trees are searched in ROUNDS. Later rounds leave out pairs that are in one component already, which do not count
-as neighbours either: so a large group of copies, which a few trees connect for the most part, isn't confirmed link by
-link, and what is left of it is compared with far more neighbours.
-
-Blocks of classes with equal first minima in a tree that are larger than the round's reach, and not of one component
-after the rounds, are crowded: their pairs are then compared one and all, in chunks of bounded size, the best
-estimates first (RANKS), as one hub may connect all the others. So no pair is left out for its block's size; where many
-classes are alike but unlinked that is quadratic in their number.
-
-A pair at the threshold of 0.8 shares FLOOR minima in at least one of the trees of the last round but for a
-chance of (1 - 0.8**3)**16 = 1e-5, and of all rounds of 3e-8, however dense its region is.
+Documents with equal shingle sets form a class, of which one goes on. A class has TREES keys of DEPTH minima of a
+one-permutation MinHash each. A tree is the order of all classes by one key: classes next to each other have the longest
+common prefixes. Classes with the same first minima, as many as floor_depth says, are a block of the tree; a pair at the
+threshold is in one block of some tree but for a chance of MISSED.
+
+Candidates are neighbours in these orders. First SWEEPS go through the sorted trees and take the nearest classes of
+the longest common prefixes, whatever the region's depth; their links join most of a group of copies. Regions that are
+of several components after that are searched less and less deep, down to the whole block: its classes of different
+components are compared one and all. So the depth is that of each region's density, and no candidate is left out for
+its block's size. A block of many classes is dealt in chunks; its largest component is not compared with itself.
+
+Candidates are compared by their sizes and odd sketches, from which the size of the sets' difference follows with an
+error of a few shingles, where they meet, and never become rows unless they pass. Of what passes in one place only a
+spanning forest over the components, the best estimates first, is confirmed on the full sets; components are then worked out
+by star contractions. Blocks that had more candidates are looked at again, and all that are left are confirmed, so that
+the components are those of all links.
 
 Defined cases: texts without words have no shingles and link with nothing; a text with fewer words than the
 shingle width has one shingle, all its words; rows that share a doc_id are one document, which is linked if any
 of its texts is; a row without doc_id links with nothing, has no component and is kept; extra columns pass
-through; an empty table gives an empty result.
+through; an empty table gives an empty result; thresholds under a half are refused.
 """
 
 from __future__ import annotations
@@ -32,194 +30,287 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetweave.llm.common import arrow_limits, partitions, remove, written
 from assetweave.llm.components import components
 from assetweave.llm.shingles import distinct_sets, one_permutation, shingle_hashes
 
-#: Trees, most candidates a class gets from those before it in a tree, and how far back they may be.
-ROUNDS = ((2, 4, 4), (3, 4, 8), (3, 8, 16), (16, 16, 24))
-TREES = sum(r[0] for r in ROUNDS)
-DEPTH = 8
-FLOOR = 3
-#: Crowded blocks: classes in a chunk, and the ranks of a class's candidates that each pass confirms; the last takes the rest.
-CHUNK = 1024
-RANKS = ((0, 16), (16, 256), (256, CHUNK))
+TREES = 20
+#: Minima in a key, and bits kept of each.
+DEPTH, MINIMUM_BITS = 5, 12
 BINS = 1024
-#: Candidates are dropped when their estimate is so many standard errors under the likeness of 0.8.
+#: The most that the chance to meet in no block may be, for a pair at the threshold.
+MISSED = 1e-6
+#: Trees of each sweep, and how many rows back a class looks in it.
+SWEEPS = ((2, 2), (TREES, 2))
+#: Classes of a block in one chunk.
+CHUNK = 1024
+#: Bits of an odd sketch, and the set size from which it is of a half, a quarter, ... of the hashes.
+SKETCH, SKETCHED = 1024, 2048
+#: Candidates are dropped when their sketches differ by so many standard deviations more than at the threshold.
 ERRORS = 5.5
-#: Sets of fewer shingles aren't estimated; they are confirmed on the sets at once.
-ESTIMATED_FROM = 64
-#: Bytes of a hash in a full set.
-WIDE = 5
+#: Pairs that one step compares.
+PAIRS = 1 << 16
 #: Up to this number of ids a list is broadcast, as 8 bytes each.
 BROADCAST_IDS = 500_000
 
 
+def floor_depth(least: int, most: int) -> int:
+    """The most minima that a block may share for pairs of likeness least / most."""
+    fit = [k for k in range(1, DEPTH + 1) if (1 - (least / most) ** k) ** TREES <= MISSED]
+    if not fit:
+        raise ValueError(f"the search is not built for a likeness of {least} / {most}")
+    return fit[-1]
+
+
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Rows x two odd sketches: bit i is whether an odd number of hashes fall on i, of those that the row's level takes,
+    and of those that the next level takes."""
+    size = np.array([len(s) for s in sets], np.int64)
+    hashes, row, level = np.concatenate([*sets, np.empty(0, np.uint64)]), np.repeat(np.arange(len(sets)), size), levels(size)
+    place = ((hashes >> np.uint64(40)) % np.uint64(SKETCH)).astype(np.int64)
+    out = np.empty((len(sets), 2, SKETCH // 8), np.uint8)
+    for k in (0, 1):
+        mask = (np.uint64(1) << (level[row] + k).astype(np.uint64)) - np.uint64(1)
+        on = (hashes & mask) == 0
+        count = np.bincount(row[on] * SKETCH + place[on], minlength=len(sets) * SKETCH)
+        out[:, k] = np.packbits((count & 1).astype(np.uint8).reshape(len(sets), SKETCH), axis=1)
+    return out
+
+
+def levels(size: np.ndarray) -> np.ndarray:
+    """How often the hashes are halved for a sketch of sets of these sizes."""
+    return np.ceil(np.log2(np.maximum(size / SKETCHED, 1))).astype(np.int64)
+
+
 def digests(docs: DataFrame, width: int, forest: bool) -> DataFrame:
-    """doc_id, n_shingles and set_key of each row, and the forest's minima or the packed set."""
-    extra = "minima binary" if forest else "shingles binary"
+    """doc_id, n_shingles and set_key of each row, and the trees' keys and the sketches, or the set's hashes."""
+    extra = "keys array<long>, sketch binary" if forest else "shingles binary"
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes, at = shingle_hashes(batch["text"], width)
             sets = list(distinct_sets(hashes, at))
+            columns = {
+                "doc_id": batch["doc_id"],
+                "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
+                "set_key": pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()),
+            }
             if forest:
-                rows = one_permutation(hashes, at, BINS, TREES * DEPTH).astype(">u2")
+                minima = (one_permutation(hashes, at, BINS, TREES * DEPTH) & np.uint32(2**MINIMUM_BITS - 1)).astype(np.int64).reshape(len(sets), TREES, DEPTH)
+                keys = minima @ (1 << MINIMUM_BITS * np.arange(DEPTH - 1, -1, -1, dtype=np.int64))
+                columns["keys"] = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * TREES, pa.int32()), pa.array(keys.ravel()))
+                columns["sketch"] = pa.array([s.tobytes() for s in sketches(sets)], pa.binary())
             else:
-                rows = [np.ascontiguousarray(s.view(np.uint8).reshape(-1, 8)[:, :WIDE]) for s in sets]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"],
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.array([r.tobytes() for r in rows], pa.binary()),
-                ],
-                names=["doc_id", "n_shingles", "set_key", extra.split()[0]],
-            )
+                columns["shingles"] = pa.array([s.tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_pydict(columns)
 
     arrow_limits(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(made, f"doc_id long, n_shingles long, set_key binary, {extra}")
 
 
-def sweep(least: int, most: int, reach: int, back: int):
-    """For rows (tree, minima, n, id, part) in order: pairs of ids that are candidates, of different parts, sizes allowing."""
+def close(a: np.ndarray, b: np.ndarray, n: np.ndarray, sketch: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of rows (a, b) those near enough by their sizes n and sketches, with the estimated share of the difference.
+
+    At the threshold the difference has d = (n_a + n_b) * (most - least) / (most + least) shingles, each of which
+    turns a bit with the chance that the level takes it; the number of unlike bits and its variance follow.
+    """
+    fits = most * np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b])
+    a, b = a[fits], b[fits]
+    level = levels(n)
+    at = np.maximum(level[a], level[b])
+    unlike = np.bitwise_count(sketch[a, at - level[a]] ^ sketch[b, at - level[b]]).sum(axis=1, dtype=np.int64)
+    both = (n[a] + n[b]).astype(float)
+    most_apart, share = both * (most - least) / (most + least), 0.5**at
+    one, two = (1 - 2 * share / SKETCH) ** most_apart, (1 - 4 * share / SKETCH) ** most_apart
+    mean, variance = SKETCH / 2 * (1 - one), (SKETCH + SKETCH * (SKETCH - 1) * two - (SKETCH * one) ** 2) / 4
+    near = unlike <= mean + ERRORS * np.sqrt(np.maximum(variance, 0)) + 1e-6
+    apart = np.log(np.maximum(1 - 2 * unlike[near] / SKETCH, 1 / SKETCH)) / np.log(1 - 2 * share[near] / SKETCH)
+    return a[near], b[near], apart / both[near]
+
+
+def spanning(u: np.ndarray, v: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Indices of a least spanning forest of the edges between the nodes u and v, by Boruvka's rounds."""
+    if not len(u):
+        return np.empty(0, np.int64)
+    order = np.argsort(cost, kind="stable")
+    nodes, at = np.unique(np.concatenate([u[order], v[order]]), return_inverse=True)
+    u, v = at[: len(order)], at[len(order) :]
+    label, live, chosen = np.arange(len(nodes)), np.arange(len(order)), []
+    while True:
+        live = live[label[u[live]] != label[v[live]]]
+        if not len(live):
+            break
+        best = np.full(len(nodes), len(order))
+        np.minimum.at(best, label[u[live]], live)
+        np.minimum.at(best, label[v[live]], live)
+        new = np.unique(best[best < len(order)])
+        chosen.append(new)
+        # every tree of the chosen edges gets its least label
+        up = np.arange(len(nodes))
+        while True:
+            x, y = up[label[u[new]]], up[label[v[new]]]
+            low = np.minimum(x, y)
+            np.minimum.at(up, x, low)
+            np.minimum.at(up, y, low)
+            up = up[up]
+            if (up[label[u[new]]] == up[label[v[new]]]).all() and (up == up[up]).all():
+                break
+        label = up[label]
+    return order[np.concatenate(chosen)]
+
+
+def numbers(batch: pa.RecordBatch, names: tuple[str, ...]) -> dict[str, np.ndarray]:
+    """Columns as arrays; the sketches as rows x two x words."""
+    out = {c: batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in names}
+    return out | {"sketch": np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint64).reshape(batch.num_rows, 2, -1)}
+
+
+def joined(x: dict[str, np.ndarray] | None, y: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return y if x is None else {c: np.concatenate([x[c], y[c]]) for c in y}
+
+
+def found_rows(a: np.ndarray, b: np.ndarray, tree: np.ndarray, head: np.ndarray) -> pa.RecordBatch:
+    """Pairs of ids, followed by the (tree, head) of blocks that have more."""
+    empty = lambda n: pa.nulls(n, pa.int64())
+    put = lambda x, y: pa.concat_arrays([x, y])
+    return pa.RecordBatch.from_pydict(
+        {"a": put(pa.array(np.minimum(a, b)), empty(len(tree))), "b": put(pa.array(np.maximum(a, b)), empty(len(tree))), "tree": put(empty(len(a)), pa.array(tree)), "head": put(empty(len(a)), pa.array(head))}
+    )
+
+
+FOUND = "a long, b long, tree long, head long"
+
+
+def sweep(back: int, least: int, most: int):
+    """For rows (tree, head, id, part, n, sketch) in the trees' orders: candidates at most back rows apart, of one block
+    and different parts, as a spanning forest of the parts of an Arrow batch."""
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, key, n, ids, part = np.empty(0, np.int32), np.empty((0, FLOOR), np.uint16), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        before = 0  # rows before the last one that share its first minima
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held = len(ids)
-            tree = np.concatenate([tree, batch["tree"].to_numpy(zero_copy_only=False)])
-            key = np.concatenate([key, np.frombuffer(b"".join(batch["minima"].to_pylist()), ">u2").reshape(-1, DEPTH)[:, :FLOOR]])
-            n = np.concatenate([n, batch["n"].to_numpy(zero_copy_only=False)])
-            ids = np.concatenate([ids, batch["id"].to_numpy(zero_copy_only=False)])
-            part = np.concatenate([part, batch["part"].to_numpy(zero_copy_only=False)])
-            same = np.zeros(len(ids), bool)
-            same[1:] = (key[1:] == key[:-1]).all(axis=1) & (tree[1:] == tree[:-1])
-            place = np.arange(len(ids) - held)
-            cut = np.maximum.accumulate(np.where(same[held:], -1, place))
-            count = np.where(cut >= 0, place - cut, before + place + 1)
-            before = count[-1]
-            new, taken = np.flatnonzero(count > 0) + held, np.zeros(len(ids), np.int32)
+            x = joined(held, numbers(batch, ("tree", "head", "id", "part", "n")))
+            n, first = len(x["id"]), len(x["id"]) - batch.num_rows
+            a, b = [], []
             for lag in range(1, back + 1):
-                new = new[(count[new - held] >= lag) & (taken[new] < reach)]
-                if not len(new):
-                    break
-                other = new[part[new] != part[new - lag]]
-                taken[other] += 1
-                old = other - lag
-                fits = most * np.minimum(n[other], n[old]) >= least * np.maximum(n[other], n[old])
-                if fits.any():
-                    a, b = ids[old[fits]], ids[other[fits]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-            tree, key, n, ids, part = (x[-back:] for x in (tree, key, n, ids, part))
+                new = np.arange(max(first, lag), n)
+                old = new - lag
+                own = (x["tree"][new] == x["tree"][old]) & (x["head"][new] == x["head"][old]) & (x["part"][new] != x["part"][old])
+                a.append(old[own])
+                b.append(new[own])
+            p, q, cost = close(np.concatenate(a), np.concatenate(b), x["n"], x["sketch"], least, most)
+            kept = spanning(x["part"][p], x["part"][q], cost)
+            none = np.empty(0, np.int64)
+            yield found_rows(x["id"][p[kept]], x["id"][q[kept]], none, none)
+            held = {c: v[-back:] for c, v in x.items()}
 
     return pairs
 
 
-def candidates(classes: DataFrame, trees: range, reach: int, back: int, least: int, most: int) -> DataFrame:
-    """Distinct pairs (a, b) of ids of classes (id, n_shingles, minima, part) that are neighbours in some tree."""
-    size = 2 * DEPTH
-    own = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("minima", t * size + 1, size).alias("minima")) for t in trees])
-    rows = classes.select("id", "part", F.col("n_shingles").alias("n"), F.explode(own).alias("x")).select("x.tree", "x.minima", "n", "id", "part")
-    rows = rows.repartition(partitions(classes.sparkSession), "tree", F.substring("minima", 1, 2 * FLOOR)).sortWithinPartitions("tree", "minima", F.xxhash64("tree", "id"), "id")
-    return rows.mapInArrow(sweep(least, most, reach, back), "a long, b long").distinct()
+def compare(every: bool, least: int, most: int):
+    """For rows (tree, head, i, j, slot, id, part, n, sketch) ordered by these: candidates of different parts among the rows of
+    one (tree, head, i, j), all of them or a spanning forest of the parts, and the blocks that have more."""
+    group_of, names = ("tree", "head", "i", "j"), ("tree", "head", "i", "j", "slot", "id", "part", "n")
+
+    def whole(x: dict[str, np.ndarray]) -> pa.RecordBatch:
+        rows = len(x["id"])
+        new = np.ones(rows, bool)
+        new[1:] = np.any([x[c][1:] != x[c][:-1] for c in group_of], axis=0)
+        starts = np.flatnonzero(new)
+        sizes = np.diff(np.append(starts, rows))
+        group = np.repeat(np.arange(len(starts)), sizes)
+        end, row = (starts + sizes)[group], np.arange(rows)
+        # the rows of slot i stand before those of slot j
+        before = np.bincount(group, x["slot"] == x["i"], minlength=len(starts)).astype(np.int64)
+        partner = np.where(x["i"] == x["j"], row + 1, np.where(x["slot"] == x["i"], starts[group] + before[group], end))
+        upto = np.cumsum(end - partner)
+        found, low = [], 0
+        while low < rows:
+            high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + PAIRS, "right")))
+            count = (end - partner)[low:high]
+            a = np.repeat(row[low:high], count)
+            b = np.arange(len(a)) + np.repeat(partner[low:high] - np.cumsum(count) + count, count)
+            own = x["part"][a] != x["part"][b]
+            found.append(close(a[own], b[own], x["n"], x["sketch"], least, most))
+            low = high
+        a, b, cost = (np.concatenate([f[k] for f in found]) for k in range(3))
+        if every:
+            return found_rows(x["id"][a], x["id"][b], a[:0], a[:0])
+        _, part = np.unique(x["part"], return_inverse=True)
+        node = group * (part.max(initial=0) + 1) + part
+        kept = spanning(node[a], node[b], cost)
+        more = np.ones(len(a), bool)
+        more[kept] = False
+        block = starts[np.unique(group[a[more]])]
+        return found_rows(x["id"][a[kept]], x["id"][b[kept]], x["tree"][block], x["head"][block])
 
-
-def near_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (a, b, n, minima_a, minima_b), those whose minima are equal often enough.
-
-    The estimate's variance at 0.8 is that of TREES * DEPTH draws, and a part that falls with the set's size n, as
-    shingles in one bin hide each other.
-    """
-    for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), ">u2").reshape(batch.num_rows, -1) for c in ("minima_a", "minima_b"))
-            n = batch["n"].to_numpy(zero_copy_only=False)
-            floor = 0.8 - ERRORS * np.sqrt(0.16 / (TREES * DEPTH) + 0.025 / n)
-            near = pa.array(((x == y).mean(axis=1) >= floor) | (n < ESTIMATED_FROM))
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(near), batch["b"].filter(near)], names=["a", "b"])
-
-
-def crowded(classes: DataFrame) -> DataFrame:
-    """(tree, head, chunks): blocks that the sweep of their tree may have cut short, not of one component."""
-    trees = [(t, reach) for t, reach in enumerate(r[1] for r in ROUNDS for _ in range(r[0]))]
-    heads = F.array(*[F.struct(F.lit(t).alias("tree"), F.lit(reach).alias("reach"), head_of(t).alias("head")) for t, reach in trees])
-    blocks = classes.select("part", F.explode(heads).alias("x")).groupBy("x.tree", "x.reach", "x.head").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
-    return blocks.where("n > reach + 1 AND low < high").select("tree", "head", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-
-
-def head_of(tree: int) -> Column:
-    return F.substring("minima", tree * 2 * DEPTH + 1, 2 * FLOOR)
-
-
-def compare(low: int, high: int, least: int, most: int):
-    """For one chunk of a block against one (tree, i, j, salt, id, part, n, minima): pairs of ids near enough, in the
-    first tree that they meet in, of different parts, whose rank for either lies in [low, high)."""
-
-    def pairs(rows: pa.Table) -> pa.Table:
-        tree, i, j = (rows[c][0].as_py() for c in ("tree", "i", "j"))
-        salt, ids, part, n = (rows[c].to_numpy() for c in ("salt", "id", "part", "n"))
-        minima = np.frombuffer(b"".join(rows["minima"].to_pylist()), ">u2").astype(np.uint16).reshape(len(ids), -1)
-        heads = np.ascontiguousarray(minima.reshape(len(ids), TREES, DEPTH)[:, :tree, :FLOOR]).astype(np.uint64)
-        heads = heads[:, :, 0] << np.uint64(32) | heads[:, :, 1] << np.uint64(16) | heads[:, :, 2]
-        # the hash of an id deals chunks about evenly; what one has over CHUNK goes in slices
-        x, y = (np.array_split(k, -(-len(k) // CHUNK) or 1) for k in (np.flatnonzero(salt == i), np.flatnonzero(salt == j)))
-        found = []
-        for s, a in enumerate(x):
-            for t, b in enumerate(y):
-                if (i != j or s <= t) and len(a) and len(b):
-                    found.append(block_pairs(a, b, i == j and s == t, ids, part, n, minima, heads))
-        a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    def block_pairs(a: np.ndarray, b: np.ndarray, same: bool, ids: np.ndarray, part: np.ndarray, n: np.ndarray, minima: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        small, large = np.minimum(n[a][:, None], n[b][None, :]), np.maximum(n[a][:, None], n[b][None, :])
-        fits = most * small >= least * large
-        if same:
-            np.fill_diagonal(fits, False)
-        for t in range(heads.shape[1]):
-            fits &= heads[a, t][:, None] != heads[b, t][None, :]
-        p, q = minima[a].T.copy(), minima[b].T.copy()
-        equal = np.zeros(fits.shape, np.uint8)
-        for k in range(len(p)):
-            equal += p[k][:, None] == q[k][None, :]
-        fits &= (equal / np.float32(TREES * DEPTH) >= (0.8 - ERRORS * np.sqrt(0.16 / (TREES * DEPTH) + 0.025 / small) - 1e-6)) | (small < ESTIMATED_FROM)
-        open_ = fits & (part[a][:, None] != part[b][None, :])
-        if not open_.any():
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        # ranks count pairs of one part too, so that each pass means the same ones
-        score = np.where(fits, -equal.astype(np.int16), 1)
-        first = np.minimum(ranks(score), ranks(score.T).T)
-        open_ &= (first >= low) & (first < high)
-        if same:
-            open_ = np.triu(open_ | open_.T)
-        u, v = np.nonzero(open_)
-        return ids[a[u]], ids[b[v]]
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = joined(held, numbers(batch, names))
+            # the last group may go on in the next batch
+            last = np.flatnonzero(np.any([x[c] != x[c][-1] for c in group_of], axis=0))
+            cut = last[-1] + 1 if len(last) else 0
+            if cut:
+                yield whole({c: v[:cut] for c, v in x.items()})
+            held = {c: v[cut:] for c, v in x.items()}
+        if held is not None:
+            yield whole(held)
 
     return pairs
 
 
-def ranks(score: np.ndarray) -> np.ndarray:
-    """The rank of each number in its row, from 0; ties by place."""
-    out = np.empty(score.shape, np.int32)
-    np.put_along_axis(out, np.argsort(score, axis=1, kind="stable"), np.arange(score.shape[1], dtype=np.int32)[None, :], axis=1)
-    return out
+class Forest:
+    """The trees of some classes (id, number, n_shingles, keys, sketch), without those that are alone in all their blocks.
 
+    id is the class's node; classes of one document may share it, and number tells them apart.
+    """
 
-def crowded_pairs(classes: DataFrame, blocks: DataFrame, low: int, high: int, least: int, most: int) -> DataFrame:
-    """Distinct pairs (a, b) of ids of classes (id, n_shingles, minima, part) in crowded blocks, of these ranks."""
-    heads = F.array(*[F.struct(F.lit(t).alias("tree"), head_of(t).alias("head")) for t in range(TREES)])
-    rows = classes.select("id", "part", F.col("n_shingles").alias("n"), "minima", F.explode(heads).alias("x")).select("id", "part", "n", "minima", "x.tree", "x.head")
-    rows = rows.join(blocks, ["tree", "head"]).withColumn("salt", F.pmod(F.xxhash64("id"), "chunks").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")
-    dealt = rows.select("*", other).select("tree", "head", F.least("salt", "other").alias("i"), F.greatest("salt", "other").alias("j"), "salt", "id", "part", "n", "minima")
-    return dealt.groupBy("tree", "head", "i", "j").applyInArrow(compare(low, high, least, most), "a long, b long").distinct()
+    def __init__(self, classes: DataFrame, least: int, most: int):
+        self.least, self.most = least, most
+        shift = MINIMUM_BITS * (DEPTH - floor_depth(least, most))
+        keyed = classes.select("id", "number", F.posexplode("keys").alias("tree", "key")).withColumn("head", F.shiftright("key", shift))
+        shared = keyed.groupBy("tree", "head").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("tree", "head")
+        self.rows = written(keyed.join(shared, ["tree", "head"]).select("id", "number", "tree", "key", "head"), "trees")
+        self.wide = written(classes.join(self.rows.select("id").distinct(), "id", "left_semi").select("id", "number", F.col("n_shingles").alias("n"), "sketch"), "sketches")
+
+    def remove(self) -> None:
+        for df in (self.rows, self.wide):
+            remove(df.sparkSession, df)
+
+    def open_rows(self, parts: DataFrame | None, trees: int, blocks: DataFrame | None = None) -> DataFrame:
+        """The rows of blocks of several parts, with the block's sizes: all, of its largest part, and that part."""
+        rows = self.rows.where(F.col("tree") < trees)
+        rows = rows.withColumn("part", F.col("id")) if parts is None else rows.join(parts, "id", "left").withColumn("part", F.coalesce("component_id", "id")).drop("component_id")
+        if blocks is not None:
+            rows = rows.join(blocks, ["tree", "head"], "left_semi")
+        sizes = rows.groupBy("tree", "head", "part").agg(F.count(F.lit(1)).alias("size"))
+        sizes = sizes.groupBy("tree", "head").agg(F.sum("size").alias("all"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "part")).alias("main")).where("parts > 1")
+        return rows.join(sizes.select("tree", "head", "all", "main"), ["tree", "head"])
+
+    def swept(self, parts: DataFrame | None, trees: int, back: int) -> DataFrame:
+        rows = self.open_rows(parts, trees).select("id", "number", "tree", "key", "head", "part").join(self.wide, ["id", "number"]).withColumn("salt", F.xxhash64("tree", "id"))
+        rows = rows.repartitionByRange(partitions(rows.sparkSession), "tree", "key", "salt").sortWithinPartitions("tree", "key", "salt", "id")
+        return rows.select("tree", "head", "id", "part", "n", "sketch").mapInArrow(sweep(back, self.least, self.most), FOUND)
+
+    def compared(self, parts: DataFrame | None, blocks: DataFrame | None, every: bool) -> DataFrame:
+        rows = self.open_rows(parts, TREES, blocks)
+        small, main = F.col("all") <= CHUNK, F.col("part") == F.col("main.part")
+        chunks = lambda n: F.ceil(n / CHUNK).cast("long")
+        other, own = chunks(F.col("all") - F.col("main.size")), chunks(F.col("main.size"))
+        deal = F.xxhash64("id", "number")
+        rows = rows.withColumns({"slot": F.when(small, F.lit(0).cast("long")).when(main, other + F.pmod(deal, own)).otherwise(F.pmod(deal, other)), "last": F.when(small, F.lit(0).cast("long")).when(main, other - 1).otherwise(other + own - 1)})
+        # a chunk of the largest part meets the other parts' chunks, those meet all
+        dealt = rows.select("id", "number", "tree", "head", "part", "slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("with"))
+        dealt = dealt.select("id", "number", "tree", "head", "part", "slot", F.least("slot", "with").alias("i"), F.greatest("slot", "with").alias("j")).join(self.wide, ["id", "number"])
+        dealt = dealt.repartition(partitions(dealt.sparkSession), "tree", "head", "i", "j").sortWithinPartitions("tree", "head", "i", "j", "slot", "id")
+        return dealt.select("tree", "head", "i", "j", "slot", "id", "part", "n", "sketch").mapInArrow(compare(every, self.least, self.most), FOUND)
 
 
 def confirmed(least: int, most: int):
@@ -229,7 +320,7 @@ def confirmed(least: int, most: int):
         for batch in batches:
             keep = []
             for x, y in zip(batch["set_a"], batch["set_b"], strict=True):
-                both = np.concatenate([unpacked(x.as_py()), unpacked(y.as_py())])
+                both = np.concatenate([np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)])
                 both.sort()
                 inter = int((both[1:] == both[:-1]).sum())
                 keep.append(most * inter >= least * (len(both) - inter))
@@ -239,27 +330,15 @@ def confirmed(least: int, most: int):
     return links
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    narrow = np.frombuffer(data, np.uint8).reshape(-1, WIDE)
-    wide = np.zeros((len(narrow), 8), np.uint8)
-    wide[:, :WIDE] = narrow
-    return np.unique(wide.view(np.uint64).ravel())
-
-
-def links_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, least: int, most: int) -> DataFrame:
-    """Those of the candidate pairs (a, b) of classes (id, n_shingles, minima) of docs that are links."""
+def links_of(docs: DataFrame, pairs: DataFrame, width: int, least: int, most: int) -> DataFrame:
+    """Those of the pairs (a, b) of doc_ids of docs of which some texts are links."""
     spark = docs.sparkSession
-    a = classes.select(F.col("id").alias("a"), F.col("n_shingles").alias("n"), F.col("minima").alias("minima_a"))
-    b = classes.select(F.col("id").alias("b"), F.col("minima").alias("minima_b"))
-    near = written(pairs.join(a, "a").join(b, "b").select("a", "b", "n", "minima_a", "minima_b").mapInArrow(near_enough, "a long, b long").distinct(), "near")
-    asked = written(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
     some = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
-    sets = digests(docs.select("doc_id", "text").join(some, "doc_id", "left_semi"), width, False).select("doc_id", "set_key", "shingles").where("length(shingles) > 0")
-    # copies of a class stand in for each other, so that a repeated row counts once
-    x = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-    y = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-    found = written(near.join(x, "a").join(y, "b").select("a", "b", "set_a", "set_b").mapInArrow(confirmed(least, most), "a long, b long").distinct(), "links")
-    remove(spark, near)
+    sets = digests(docs.select("doc_id", "text").join(some, "doc_id", "left_semi"), width, False).where("n_shingles > 0")
+    sets = sets.groupBy("doc_id", "set_key").agg(F.first("shingles").alias("shingles")).select("doc_id", "shingles")
+    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
+    found = written(both.mapInArrow(confirmed(least, most), "a long, b long").distinct(), "links")
     remove(spark, asked)
     return found
 
@@ -267,32 +346,46 @@ def links_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int,
 def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, most: int = 100) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, set_key, component_id, kept (the component's least doc_id is the row's).
 
-    width: words in a shingle; documents link where |intersection| / |union| >= least / most.
+    width: words in a shingle; documents link where |intersection| / |union| >= least / most, a half at least.
     """
     spark = docs.sparkSession
-    each = written(digests(docs, width, True), "minima")
+    floor_depth(least, most)
+    each = written(digests(docs, width, True), "digests")
     whole = each.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = written(whole.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n_shingles"), F.max("minima").alias("minima")), "classes")
-    members = whole.select("set_key", "doc_id").join(classes.select("set_key", "id"), "set_key").select("doc_id", "id").distinct()
+    of_key = whole.groupBy("set_key").agg(F.min("doc_id").alias("id"), *[F.max(c).alias(c) for c in ("n_shingles", "keys", "sketch")])
+    classes = written(of_key.withColumn("number", F.xxhash64("set_key")), "classes")
+    members = written(whole.select("set_key", "doc_id").join(classes.select("set_key", "id"), "set_key").select("doc_id", "id").distinct(), "members")
     # a document of several texts is in several classes and so links them
-    links = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("a", "b")
-    found, tree = None, 0
-
-    def known() -> DataFrame:
-        return classes.withColumn("part", F.col("id")) if found is None else classes.join(found, "id", "left").withColumn("part", F.coalesce("component_id", "id"))
-
-    for n, reach, back in ROUNDS:
-        new = links_of(docs, classes, candidates(known(), range(tree, tree + n), reach, back, least, most), width, least, most)
-        found = written(components(links.union(new)).withColumnRenamed("node", "id"), "parts")
-        links, tree = found.toDF("a", "b"), tree + n
-    for low, high in RANKS:
-        blocks = written(crowded(known()), "crowded")
-        if blocks.isEmpty():
-            break
-        new = links_of(docs, classes, crowded_pairs(known(), blocks, low, high, least, most), width, least, most)
-        found = written(components(links.union(new)).withColumnRenamed("node", "id"), "parts")
-        links = found.toDF("a", "b")
-    roots = members.join(found, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component_id", "id")).alias("component_id"))
+    several = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("doc_id", "a")
+    links = members.join(several, "doc_id").where("a < id").select("a", F.col("id").alias("b"))
+    forest, parts, refuted = Forest(classes, least, most), None, None
+
+    def contract(found: DataFrame) -> DataFrame | None:
+        """Confirms the pairs found, updates the parts, and returns the blocks that have more."""
+        nonlocal links, parts, refuted
+        found = written(found, "found")
+        pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
+        if refuted is not None:
+            pairs = pairs.join(refuted, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        new = links_of(docs, pairs, width, least, most)
+        failed = pairs.join(new, ["a", "b"], "left_anti")
+        refuted = written(failed if refuted is None else refuted.union(failed), "refuted")
+        last, parts = parts, written(components(links.union(new)).withColumnRenamed("node", "id"), "parts")
+        links = parts.toDF("b", "a")
+        for df in (pairs, new, *([last] if last is not None else [])):
+            remove(spark, df)
+        return found.where("a IS NULL").select("tree", "head").distinct()
+
+    for trees, back in SWEEPS:
+        contract(forest.swept(parts, trees, back))
+    blocks = contract(forest.compared(parts, None, False))
+    if not blocks.isEmpty():
+        contract(forest.compared(parts, blocks, True))
+    forest.remove()
+    remove(spark, refuted)
+    remove(spark, classes)
+    roots = members.join(parts, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component_id", "id")).alias("component_id"))
     out = each.select("doc_id", "n_shingles", "set_key").join(roots, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -305,5 +398,6 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
     """docs without those that have a near duplicate with a lesser doc_id in their component."""
     out = near_duplicates(docs, width)
-    gone = out.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = written(out.where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    return docs.join(few, "doc_id", "left_anti").select(*docs.columns)

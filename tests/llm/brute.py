@@ -19,7 +19,7 @@ def jaccard(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
-def near_components(rows: list[tuple], width: int) -> dict[int, tuple[int, int]]:
+def near_components(rows: list[tuple], width: int, least: int = 80) -> dict[int, tuple[int, int]]:
     """doc_id -> (shingles, component) for rows of distinct ids."""
     sets = {i: shingles(t, width) for i, t in rows}
     up = {i: i for i in sets}
@@ -33,7 +33,7 @@ def near_components(rows: list[tuple], width: int) -> dict[int, tuple[int, int]]
     for i in sorted(sets):
         shared = Counter(j for s in sets[i] for j in inverse[s])
         for j, n in shared.items():
-            if 100 * n >= 80 * (len(sets[i]) + len(sets[j]) - n):
+            if 100 * n >= least * (len(sets[i]) + len(sets[j]) - n):
                 a, b = sorted((root(i), root(j)))
                 up[b] = a
         for s in sets[i]:

@@ -118,20 +118,69 @@ def test_near_duplicates_equal_brute_force(spark, docs, width):
     assert got == wanted
 
 
-def test_near_duplicates_in_a_dense_group(spark):
+@pytest.mark.parametrize(("n", "words", "low", "high"), [(300, 60, 0, 4), (1500, 100, 4, 6)])
+def test_near_duplicates_in_a_dense_group(spark, monkeypatch, n, words, low, high):
+    monkeypatch.setattr(neardup, "CHUNK", 256)
     r = random.Random(5)
-    base = [f"w{k}" for k in range(60)]
+    base = [f"w{k}" for k in range(words)]
     rows = []
-    for k in range(300):
+    for k in range(n):
         w = list(base)
-        for _ in range(r.randint(0, 4)):
-            w[r.randrange(60)] = f"v{r.randrange(10_000)}"
+        for _ in range(r.randint(low, high)):
+            w[r.randrange(words)] = f"v{r.randrange(100_000)}"
         rows.append((k, " ".join(w)))
     wanted = brute.near_components(rows, 2)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicate_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == wanted
 
 
+def test_near_duplicates_of_other_likeness(spark, docs):
+    """Links at a likeness of a half and of 0.9; thresholds that the search isn't built for are refused."""
+    some = [(r.doc_id, r.text) for r in docs.collect()]
+    for least in (50, 90):
+        rows = [*some, (10_001, "a b c d e f"), (10_002, "a b c d x y z"), (10_003, " ".join(f"w{k}" for k in range(60))), (10_004, " ".join(f"w{k}" for k in range(57)))]
+        wanted = brute.near_components(rows, 2, least)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, least).collect()}
+        assert got == wanted
+    with pytest.raises(ValueError, match="likeness"):
+        neardup.near_duplicates(docs, 2, 40)
+
+
+def test_near_duplicates_of_a_document_of_several_texts(spark):
+    word = lambda k: " ".join(f"{k}w{i}" for i in range(20))
+    rows = [(1, word("a")), (1, word("b")), (1, word("c")), (2, word("a")), (3, word("b") + " more"), (4, word("c")), (0, word("d")), (1, word("b")), (1, None)]
+    got = neardup.near_duplicate_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == {(0, 0), (1, 1), (2, 1), (3, 1), (4, 1)}
+
+
+def test_sketches_estimate_the_difference():
+    r = np.random.default_rng(3)
+    for n in (50, 500, 2040, 9000):
+        base = r.integers(0, 2**63, n, np.int64).astype(np.uint64)
+        sets = [base] + [np.concatenate([base[: n - k], r.integers(0, 2**63, k, np.int64).astype(np.uint64)]) for k in (n // 10, n // 9 - 2, n // 3)]
+        sketch = neardup.sketches(sets).view(np.uint64)
+        a, b, apart = neardup.close(np.zeros(3, int), np.array([1, 2, 3]), np.full(4, n), sketch, 80, 100)
+        assert b.tolist() == [1, 2] and abs(apart[0] - 0.1) < 0.03
+
+
+def test_spanning_forest_is_least():
+    r = np.random.default_rng(4)
+    for _ in range(20):
+        u, v, cost = r.integers(0, 12, 30), r.integers(0, 12, 30), r.random(30)
+        up, wanted = {k: k for k in range(12)}, set()
+
+        def root(x, up=up):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for e in np.argsort(cost):
+            if root(u[e]) != root(v[e]):
+                up[root(u[e])] = root(v[e])
+                wanted.add(int(e))
+        assert set(neardup.spanning(u, v, cost).tolist()) == wanted
+
+
 def test_near_duplicates_of_a_hub(spark):
     """1,500 copies of one text that are linked with it only: more than the forest's sweeps look at."""
     r = random.Random(6)
