@@ -25,17 +25,15 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component_id) for each node of links (a, b): the least node that it reaches.
 
     Nodes without links don't come out. Each round is written to the shared folder, so that lineage stays short;
-    rounds go on until one changes nothing, which takes about the logarithm of the longest path.
+    rounds go on until all links are stars, which takes about the logarithm of the longest path.
     """
     now = written(links.where(F.col("a") != F.col("b")).select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(), "links")
-    mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
-    seen = mark(now)
     while True:
-        new = written(_stars(_stars(now, True), False), "links")
-        remove(now.sparkSession, now)
-        now, last = new, seen
-        seen = mark(now)
-        if seen == last:
+        # stars already: every upper end has one link, and none is a lower end
+        ends = now.select(F.col("hi").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(now.select("lo", F.lit(0), F.lit(1)))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty():
             break
+        now, last = written(_stars(_stars(now, True), False), "links"), now
+        remove(now.sparkSession, last)
     # every component is a star now
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component_id")).union(now.select(F.col("lo"), F.col("lo")).distinct())

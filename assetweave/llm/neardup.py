@@ -5,17 +5,17 @@ one-permutation MinHash each. A tree is the order of all classes by one key: cla
 common prefixes. Classes with the same first minima, as many as floor_depth says, are a block of the tree; a pair at the
 threshold is in one block of some tree but for a chance of MISSED.
 
-Candidates are neighbours in these orders. First SWEEPS go through the sorted trees and take the nearest classes of
-the longest common prefixes, whatever the region's depth; their links join most of a group of copies. Regions that are
+Candidates are neighbours in these orders. First a sweep goes through some sorted trees and takes the nearest classes
+of the longest common prefixes, whatever the region's depth; their links join most of a group of copies. Regions that are
 of several components after that are searched less and less deep, down to the whole block: its classes of different
 components are compared one and all. So the depth is that of each region's density, and no candidate is left out for
 its block's size. A block of many classes is dealt in chunks; its largest component is not compared with itself.
 
 Candidates are compared by their sizes and odd sketches, from which the size of the sets' difference follows with an
 error of a few shingles, where they meet, and never become rows unless they pass. Of what passes in one place only a
-spanning forest over the components, the best estimates first, is confirmed on the full sets; components are then worked out
-by star contractions. Blocks that had more candidates are looked at again, and all that are left are confirmed, so that
-the components are those of all links.
+spanning forest over the components, the best estimates first, is confirmed on the full sets; components are then worked
+out by star contractions. Blocks that had more candidates and are still of several components are compared again with
+their full sets at hand, each pair in the first tree that it meets in, so that the components are those of all links.
 
 Defined cases: texts without words have no shingles and link with nothing; a text with fewer words than the
 shingle width has one shingle, all its words; rows that share a doc_id are one document, which is linked if any
@@ -43,10 +43,10 @@ DEPTH, MINIMUM_BITS = 5, 12
 BINS = 1024
 #: The most that the chance to meet in no block may be, for a pair at the threshold.
 MISSED = 1e-6
-#: Trees of each sweep, and how many rows back a class looks in it.
-SWEEPS = ((2, 2), (TREES, 2))
-#: Classes of a block in one chunk.
-CHUNK = 1024
+#: Trees that are swept, and how many rows back a class looks in them.
+SWEPT, BACK = 3, 2
+#: Most classes of a block in one chunk, and most shingles where full sets are compared, on average.
+CHUNK, CHUNK_SHINGLES = 1024, 1 << 20
 #: Bits of an odd sketch, and the set size from which it is of a half, a quarter, ... of the hashes.
 SKETCH, SKETCHED = 1024, 2048
 #: Candidates are dropped when their sketches differ by so many standard deviations more than at the threshold.
@@ -165,6 +165,9 @@ def spanning(u: np.ndarray, v: np.ndarray, cost: np.ndarray) -> np.ndarray:
 def numbers(batch: pa.RecordBatch, names: tuple[str, ...]) -> dict[str, np.ndarray]:
     """Columns as arrays; the sketches as rows x two x words."""
     out = {c: batch[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in names}
+    if "shingles" in batch.schema.names:
+        out["shingles"] = np.array([np.frombuffer(x, np.uint64) for x in batch["shingles"].to_pylist()] + [None], object)[:-1]
+        out["heads"] = batch["heads"].flatten().to_numpy().reshape(batch.num_rows, -1)
     return out | {"sketch": np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint64).reshape(batch.num_rows, 2, -1)}
 
 
@@ -172,16 +175,15 @@ def joined(x: dict[str, np.ndarray] | None, y: dict[str, np.ndarray]) -> dict[st
     return y if x is None else {c: np.concatenate([x[c], y[c]]) for c in y}
 
 
-def found_rows(a: np.ndarray, b: np.ndarray, tree: np.ndarray, head: np.ndarray) -> pa.RecordBatch:
-    """Pairs of ids, followed by the (tree, head) of blocks that have more."""
-    empty = lambda n: pa.nulls(n, pa.int64())
-    put = lambda x, y: pa.concat_arrays([x, y])
-    return pa.RecordBatch.from_pydict(
-        {"a": put(pa.array(np.minimum(a, b)), empty(len(tree))), "b": put(pa.array(np.maximum(a, b)), empty(len(tree))), "tree": put(empty(len(a)), pa.array(tree)), "head": put(empty(len(a)), pa.array(head))}
-    )
+def found_rows(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    """Pairs of rows with their parts, followed by the (tree, head) of the rows more, whose blocks have more."""
+    a, b = np.where(x["id"][a] < x["id"][b], a, b), np.where(x["id"][a] < x["id"][b], b, a)
+    put = lambda pair, block: pa.concat_arrays([pa.array(pair) if pair is not None else pa.nulls(len(a), pa.int64()), pa.array(block) if block is not None else pa.nulls(len(more), pa.int64())])
+    columns = {"a": (x["id"][a], None), "b": (x["id"][b], None), "part_a": (x["part"][a], None), "part_b": (x["part"][b], None), "tree": (None, x["tree"][more]), "head": (None, x["head"][more])}
+    return pa.RecordBatch.from_pydict({c: put(*v) for c, v in columns.items()})
 
 
-FOUND = "a long, b long, tree long, head long"
+FOUND = "a long, b long, part_a long, part_b long, tree long, head long"
 
 
 def sweep(back: int, least: int, most: int):
@@ -204,16 +206,45 @@ def sweep(back: int, least: int, most: int):
                 b.append(new[own])
             p, q, cost = close(np.concatenate(a), np.concatenate(b), x["n"], x["sketch"], least, most)
             kept = spanning(x["part"][p], x["part"][q], cost)
-            none = np.empty(0, np.int64)
-            yield found_rows(x["id"][p[kept]], x["id"][q[kept]], none, none)
+            yield found_rows(x, p[kept], q[kept], p[:0])
             held = {c: v[-back:] for c, v in x.items()}
 
     return pairs
 
 
-def compare(every: bool, least: int, most: int):
+def is_link(x: np.ndarray, y: np.ndarray, least: int, most: int) -> bool:
+    """Whether most * |intersection| >= least * |union| of two ascending arrays."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    inter = int((both[1:] == both[:-1]).sum())
+    return most * inter >= least * (len(both) - inter)
+
+
+def linked(x: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, node: np.ndarray, least: int, most: int) -> np.ndarray:
+    """Indices of pairs of rows that are links, as a spanning forest of the nodes; what it joins isn't looked at again."""
+    up, kept = {}, []
+
+    def root(k: int) -> int:
+        while k in up:
+            if up[k] in up:
+                up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    for k, (p, q) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        u, v = root(int(node[p])), root(int(node[q]))
+        if u != v and is_link(x["shingles"][p], x["shingles"][q], least, most):
+            up[u] = v
+            kept.append(k)
+    return np.array(kept, np.int64)
+
+
+def compare(exact: bool, least: int, most: int):
     """For rows (tree, head, i, j, slot, id, part, n, sketch) ordered by these: candidates of different parts among the rows of
-    one (tree, head, i, j), all of them or a spanning forest of the parts, and the blocks that have more."""
+    one (tree, head, i, j), as a spanning forest of the parts, and the blocks that have more.
+
+    exact: rows have their shingles and the heads of all trees, links are returned and all candidates looked at.
+    """
     group_of, names = ("tree", "head", "i", "j"), ("tree", "head", "i", "j", "slot", "id", "part", "n")
 
     def whole(x: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -238,15 +269,18 @@ def compare(every: bool, least: int, most: int):
             found.append(close(a[own], b[own], x["n"], x["sketch"], least, most))
             low = high
         a, b, cost = (np.concatenate([f[k] for f in found]) for k in range(3))
-        if every:
-            return found_rows(x["id"][a], x["id"][b], a[:0], a[:0])
         _, part = np.unique(x["part"], return_inverse=True)
         node = group * (part.max(initial=0) + 1) + part
+        if exact:
+            order = np.argsort(cost, kind="stable")
+            met = (x["heads"][a] == x["heads"][b]) & (np.arange(TREES) < x["tree"][a][:, None])
+            order = order[~met.any(axis=1)[order]]
+            kept = order[linked(x, a[order], b[order], node, least, most)]
+            return found_rows(x, a[kept], b[kept], a[:0])
         kept = spanning(node[a], node[b], cost)
         more = np.ones(len(a), bool)
         more[kept] = False
-        block = starts[np.unique(group[a[more]])]
-        return found_rows(x["id"][a[kept]], x["id"][b[kept]], x["tree"][block], x["head"][block])
+        return found_rows(x, a[kept], b[kept], starts[np.unique(group[a[more]])])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -275,10 +309,10 @@ class Forest:
     def __init__(self, classes: DataFrame, least: int, most: int):
         self.least, self.most = least, most
         shift = MINIMUM_BITS * (DEPTH - floor_depth(least, most))
-        keyed = classes.select("id", "number", F.posexplode("keys").alias("tree", "key")).withColumn("head", F.shiftright("key", shift))
+        keyed = classes.select("id", "number", F.col("n_shingles").alias("n"), F.posexplode("keys").alias("tree", "key")).withColumn("head", F.shiftright("key", shift))
         shared = keyed.groupBy("tree", "head").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("tree", "head")
-        self.rows = written(keyed.join(shared, ["tree", "head"]).select("id", "number", "tree", "key", "head"), "trees")
-        self.wide = written(classes.join(self.rows.select("id").distinct(), "id", "left_semi").select("id", "number", F.col("n_shingles").alias("n"), "sketch"), "sketches")
+        self.rows = written(keyed.join(shared, ["tree", "head"]).select("id", "number", "n", "tree", "key", "head"), "trees")
+        self.wide = written(classes.join(self.rows.select("id").distinct(), "id", "left_semi").select("id", "number", "sketch", F.transform("keys", lambda k: F.shiftright(k, shift)).alias("heads")), "sketches")
 
     def remove(self) -> None:
         for df in (self.rows, self.wide):
@@ -290,56 +324,58 @@ class Forest:
         rows = rows.withColumn("part", F.col("id")) if parts is None else rows.join(parts, "id", "left").withColumn("part", F.coalesce("component_id", "id")).drop("component_id")
         if blocks is not None:
             rows = rows.join(blocks, ["tree", "head"], "left_semi")
-        sizes = rows.groupBy("tree", "head", "part").agg(F.count(F.lit(1)).alias("size"))
-        sizes = sizes.groupBy("tree", "head").agg(F.sum("size").alias("all"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "part")).alias("main")).where("parts > 1")
-        return rows.join(sizes.select("tree", "head", "all", "main"), ["tree", "head"])
+        sizes = rows.groupBy("tree", "head", "part").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+        sizes = sizes.groupBy("tree", "head").agg(F.sum("size").alias("all"), F.sum("shingles").alias("all_shingles"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("size", "part", "shingles")).alias("main")).where("parts > 1")
+        return rows.join(sizes.select("tree", "head", "all", "all_shingles", "main"), ["tree", "head"])
 
-    def swept(self, parts: DataFrame | None, trees: int, back: int) -> DataFrame:
-        rows = self.open_rows(parts, trees).select("id", "number", "tree", "key", "head", "part").join(self.wide, ["id", "number"]).withColumn("salt", F.xxhash64("tree", "id"))
+    def swept(self, trees: int, back: int) -> DataFrame:
+        """Candidates that are neighbours in the first trees, when each class is a part."""
+        rows = self.open_rows(None, trees).select("id", "number", "n", "tree", "key", "head", "part").join(self.wide, ["id", "number"]).withColumn("salt", F.xxhash64("tree", "id"))
         rows = rows.repartitionByRange(partitions(rows.sparkSession), "tree", "key", "salt").sortWithinPartitions("tree", "key", "salt", "id")
         return rows.select("tree", "head", "id", "part", "n", "sketch").mapInArrow(sweep(back, self.least, self.most), FOUND)
 
-    def compared(self, parts: DataFrame | None, blocks: DataFrame | None, every: bool) -> DataFrame:
+    def compared(self, parts: DataFrame, blocks: DataFrame | None = None, sets: DataFrame | None = None) -> DataFrame:
+        """Candidates of all trees' blocks; or with sets (id, number, shingles) the links of these blocks."""
         rows = self.open_rows(parts, TREES, blocks)
-        small, main = F.col("all") <= CHUNK, F.col("part") == F.col("main.part")
-        chunks = lambda n: F.ceil(n / CHUNK).cast("long")
-        other, own = chunks(F.col("all") - F.col("main.size")), chunks(F.col("main.size"))
-        deal = F.xxhash64("id", "number")
-        rows = rows.withColumns({"slot": F.when(small, F.lit(0).cast("long")).when(main, other + F.pmod(deal, own)).otherwise(F.pmod(deal, other)), "last": F.when(small, F.lit(0).cast("long")).when(main, other - 1).otherwise(other + own - 1)})
+        chunks = lambda n, shingles: F.ceil(F.greatest(n / CHUNK, shingles / CHUNK_SHINGLES) if sets is not None else n / CHUNK).cast("long")
+        small, main = chunks(F.col("all"), F.col("all_shingles")) <= 1, F.col("part") == F.col("main.part")
+        other, own = chunks(F.col("all") - F.col("main.size"), F.col("all_shingles") - F.col("main.shingles")), chunks(F.col("main.size"), F.col("main.shingles"))
+        deal, zero = F.xxhash64("id", "number"), F.lit(0).cast("long")
+        rows = rows.withColumns({"slot": F.when(small, zero).when(main, other + F.pmod(deal, own)).otherwise(F.pmod(deal, other)), "last": F.when(small, zero).when(main, other - 1).otherwise(other + own - 1)})
         # a chunk of the largest part meets the other parts' chunks, those meet all
-        dealt = rows.select("id", "number", "tree", "head", "part", "slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("with"))
-        dealt = dealt.select("id", "number", "tree", "head", "part", "slot", F.least("slot", "with").alias("i"), F.greatest("slot", "with").alias("j")).join(self.wide, ["id", "number"])
+        dealt = rows.select("id", "number", "n", "tree", "head", "part", "slot", F.explode(F.sequence(zero, F.col("last"))).alias("with"))
+        dealt = dealt.select("id", "number", "n", "tree", "head", "part", "slot", F.least("slot", "with").alias("i"), F.greatest("slot", "with").alias("j")).join(self.wide, ["id", "number"])
+        dealt = dealt if sets is None else dealt.join(sets, ["id", "number"])
         dealt = dealt.repartition(partitions(dealt.sparkSession), "tree", "head", "i", "j").sortWithinPartitions("tree", "head", "i", "j", "slot", "id")
-        return dealt.select("tree", "head", "i", "j", "slot", "id", "part", "n", "sketch").mapInArrow(compare(every, self.least, self.most), FOUND)
+        return dealt.select("tree", "head", "i", "j", "slot", "id", "part", "n", "sketch", *([] if sets is None else ["heads", "shingles"])).mapInArrow(compare(sets is not None, self.least, self.most), FOUND)
 
 
 def confirmed(least: int, most: int):
-    """Of rows (a, b, set_a, set_b), those with most * |intersection| >= least * |union|."""
+    """(part_a, part_b, a, b) of rows with set_a and set_b, those with most * |intersection| >= least * |union|."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["set_a"], batch["set_b"], strict=True):
-                both = np.concatenate([np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)])
-                both.sort()
-                inter = int((both[1:] == both[:-1]).sum())
-                keep.append(most * inter >= least * (len(both) - inter))
+            keep = [is_link(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), least, most) for x, y in zip(batch["set_a"], batch["set_b"], strict=True)]
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], names=["a", "b"])
+            yield batch.select(["a", "b", "part_a", "part_b"]).filter(mask)
 
     return links
 
 
-def links_of(docs: DataFrame, pairs: DataFrame, width: int, least: int, most: int) -> DataFrame:
-    """Those of the pairs (a, b) of doc_ids of docs of which some texts are links."""
-    spark = docs.sparkSession
-    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
+def sets_of(docs: DataFrame, asked: DataFrame, width: int) -> DataFrame:
+    """(doc_id, set_key, shingles) of the documents asked for (doc_id), each set of a document once."""
     some = F.broadcast(asked) if asked.count() <= BROADCAST_IDS else asked
     sets = digests(docs.select("doc_id", "text").join(some, "doc_id", "left_semi"), width, False).where("n_shingles > 0")
-    sets = sets.groupBy("doc_id", "set_key").agg(F.first("shingles").alias("shingles")).select("doc_id", "shingles")
-    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-    found = written(both.mapInArrow(confirmed(least, most), "a long, b long").distinct(), "links")
-    remove(spark, asked)
+    return sets.groupBy("doc_id", "set_key").agg(F.first("shingles").alias("shingles"))
+
+
+def links_of(docs: DataFrame, pairs: DataFrame, width: int, least: int, most: int) -> DataFrame:
+    """Those of the pairs (a, b, part_a, part_b) of doc_ids of docs of which some texts are links."""
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "asked")
+    sets = sets_of(docs, asked, width).select("doc_id", "shingles")
+    both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "part_a", "part_b", "set_a", "set_b")
+    found = written(both.mapInArrow(confirmed(least, most), "a long, b long, part_a long, part_b long"), "links")
+    remove(docs.sparkSession, asked)
     return found
 
 
@@ -358,32 +394,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, most: int
     # a document of several texts is in several classes and so links them
     several = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("doc_id", "a")
     links = members.join(several, "doc_id").where("a < id").select("a", F.col("id").alias("b"))
-    forest, parts, refuted = Forest(classes, least, most), None, None
-
-    def contract(found: DataFrame) -> DataFrame | None:
-        """Confirms the pairs found, updates the parts, and returns the blocks that have more."""
-        nonlocal links, parts, refuted
-        found = written(found, "found")
-        pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
-        if refuted is not None:
-            pairs = pairs.join(refuted, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        new = links_of(docs, pairs, width, least, most)
-        failed = pairs.join(new, ["a", "b"], "left_anti")
-        refuted = written(failed if refuted is None else refuted.union(failed), "refuted")
-        last, parts = parts, written(components(links.union(new)).withColumnRenamed("node", "id"), "parts")
-        links = parts.toDF("b", "a")
-        for df in (pairs, new, *([last] if last is not None else [])):
-            remove(spark, df)
-        return found.where("a IS NULL").select("tree", "head").distinct()
-
-    for trees, back in SWEEPS:
-        contract(forest.swept(parts, trees, back))
-    blocks = contract(forest.compared(parts, None, False))
+    forest = Forest(classes, least, most)
+
+    def confirm(found: DataFrame) -> DataFrame:
+        return links_of(docs, written(found.where("a IS NOT NULL").select("a", "b", "part_a", "part_b").distinct(), "pairs"), width, least, most)
+
+    def contracted(new: DataFrame, parts: DataFrame) -> DataFrame:
+        """The parts (id, component_id) after links of parts."""
+        joined = components(new.select(F.col("part_a").alias("a"), F.col("part_b").alias("b"))).toDF("part", "component_id")
+        nodes = parts.toDF("id", "part").union(joined.select("part", "part")).distinct()
+        return written(nodes.join(joined, "part", "left").select("id", F.coalesce("component_id", "part").alias("component_id")), "parts")
+
+    swept = confirm(forest.swept(SWEPT, BACK))
+    parts = written(components(swept.select("a", "b").union(links)).toDF("id", "component_id"), "parts")
+    found = written(forest.compared(parts), "found")
+    parts = contracted(confirm(found), parts)
+    blocks = written(found.where("a IS NULL").select("tree", "head").distinct(), "blocks")
     if not blocks.isEmpty():
-        contract(forest.compared(parts, blocks, True))
+        asked = written(forest.open_rows(parts, TREES, blocks).select(F.col("id").alias("doc_id")).distinct(), "asked")
+        sets = sets_of(docs, asked, width).select(F.col("doc_id").alias("id"), F.xxhash64("set_key").alias("number"), "shingles")
+        parts = contracted(written(forest.compared(parts, blocks, sets), "links"), parts)
     forest.remove()
-    remove(spark, refuted)
     remove(spark, classes)
     roots = members.join(parts, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component_id", "id")).alias("component_id"))
     out = each.select("doc_id", "n_shingles", "set_key").join(roots, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
