@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,19 +38,37 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_path(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Deletes the files behind a frame made by written(), when nothing reads it any more."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove_path(spark, folder)
 
 
-def arrow_limits(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds the Arrow batches of this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def arrow_limits(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session, for plans that run after the caller has returned them."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    """Bounds the Arrow batches of what runs within."""
+    names = {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": ARROW_BYTES}
+    before = {n: spark.conf.get(n) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    try:
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -57,6 +77,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, or ones like them that df has no column of."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def cut_points(df: DataFrame, key: str, pieces: int) -> list:
     """Up to pieces - 1 values of key that split the rows about evenly. Reads that one column."""
     found = df.where(F.col(key).isNotNull()).approxQuantile(key, [i / pieces for i in range(1, pieces)], 1 / (4 * pieces))
