@@ -8,8 +8,7 @@ and all copies are shuffled: a hash of seed, id and copy deals them to partition
 Defined cases: null sources are one source; a null doc_id is hashed as the text 'null'; rows that repeat a doc_id
 get the same count each; sources of weight 0 go; a count of a rate over MOST_RATE is the sum of such draws of equal
 lesser rates, each at a hash of its own; weights or a total that are given and lead to such rates are refused; an
-empty table gives no rows;
-the columns of docs pass through, of which copy and shuffle_key are overwritten.
+empty table gives no rows; the columns of docs pass through whatever their names, of which copy and shuffle_key are overwritten.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetweave.llm.common import partitions
+from assetweave.llm.common import partitions, unused, written
 
 SEED = "mix-1"
 #: The default weight of a source is its size to this power.
@@ -45,12 +44,13 @@ def distribution(rate: Column) -> Column:
 
 def rates(docs: DataFrame, weights: dict[str | None, float] | None = None, total: int | None = None) -> DataFrame:
     """(source, rate): weights default to size ** TEMPERATURE, total to the number of documents."""
-    sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    sizes = written(docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "sizes")
     if weights is None:
         sizes = sizes.withColumn("weight", F.pow("n", F.lit(TEMPERATURE)))
     else:
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "name string, weight double")
-        sizes = sizes.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("name")), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))).drop("name")
+        given = F.broadcast(given) if len(weights) <= BROADCAST_SOURCES else given
+        sizes = sizes.join(given, F.col("source").eqNullSafe(F.col("name")), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))).drop("name")
     all_weight, all_n = sizes.agg(F.sum("weight"), F.sum("n")).first()
     scale = float(total if total is not None else all_n or 0)
     share = F.col("weight") / F.lit(all_weight) if all_weight else F.lit(0.0)
@@ -65,15 +65,16 @@ def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, t
     if given and top is not None and not (math.isfinite(top) and top <= MOST_RATE):
         raise ValueError(f"a source would have to be repeated {top} times; the most is {MOST_RATE}")
     draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST_RATE).cast("int"))
-    by_source = by_source.select(F.col("source").alias("_source"), draws.alias("_draws"), distribution(F.col("rate") / draws).alias("_chances"))
+    kept = docs.drop("copy", "shuffle_key")
+    name, times, chances, repeats = unused(kept, "name", "draws", "chances", "count")
+    by_source = by_source.select(F.col("source").alias(name), draws.alias(times), distribution(F.col("rate") / draws).alias(chances))
     if n <= BROADCAST_SOURCES:
         by_source = F.broadcast(by_source)
-    kept = docs.drop("copy", "shuffle_key")
-    counted = kept.join(by_source, F.col("source").eqNullSafe(F.col("_source")))
-    draw = lambda *more: F.size(F.filter("_chances", lambda c: c <= hashed("doc_id", *more) / F.lit(float(2**52))))
-    others = F.aggregate(F.sequence(F.lit(2), F.col("_draws")), F.lit(0), lambda acc, k: acc + draw(k))
-    count = draw() + F.when(F.col("_draws") > 1, others).otherwise(0)
-    copies = counted.withColumn("_count", count).where("_count > 0").select(*kept.columns, F.explode(F.sequence(F.lit(1), F.col("_count"))).alias("copy"))
+    counted = kept.join(by_source, F.col("source").eqNullSafe(F.col(name)))
+    draw = lambda *more: F.size(F.filter(chances, lambda c: c <= hashed("doc_id", *more) / F.lit(float(2**52))))
+    others = F.aggregate(F.sequence(F.lit(2), F.col(times)), F.lit(0), lambda acc, k: acc + draw(k))
+    count = draw() + F.when(F.col(times) > 1, others).otherwise(0)
+    copies = counted.withColumn(repeats, count).where(F.col(repeats) > 0).select(*kept.columns, F.explode(F.sequence(F.lit(1), F.col(repeats))).alias("copy"))
     keyed = copies.withColumn("shuffle_key", hashed(F.lit("order"), "doc_id", "copy"))
     return keyed.repartition(partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")
 
@@ -81,7 +82,7 @@ def replicate(docs: DataFrame, weights: dict[str | None, float] | None = None, t
 ORACLE = f"""
 WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
 r AS (SELECT source, sqrt(n) / sum(sqrt(n)) OVER () * sum(n) OVER () / n AS rate FROM s),
-c AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS chance FROM r, range(80) t(k)),
+c AS (SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS chance FROM (SELECT source, rate, unnest(range(ceil(rate + 12 * sqrt(rate) + 31)::BIGINT)) AS k FROM r)),
 u AS (SELECT *, ('0x' || md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null'))[1:13])::BIGINT / 4503599627370496.0 AS at FROM documents),
 m AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, count(c.k) AS times
       FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.chance <= u.at GROUP BY ALL),
