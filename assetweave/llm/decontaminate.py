@@ -9,7 +9,8 @@ candidate), and a candidate is verified by the exact share of the item's shingle
 
 At containment 0.8 a window's likeness to the item is at least 0.31, so K = 40 minima miss it with a chance of 4e-7;
 at full containment of 0.41, 6e-10. Items go to the executors in blocks of bounded size, each for one pass over the
-documents; the documents stay where they are.
+documents, whose hits are written before the next block is read; the documents stay where they are. Items with equal
+shingle sets are one in the index.
 
 Defined cases: null texts, empty texts and items without words match nothing; an item or a text of fewer than five
 words is one shingle, all its words, so such an item is found only in a text of just those words; repeated items
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetweave.llm.common import arrow_limits, written
+from assetweave.llm.common import arrow_batches, remove, unused, written
 from assetweave.llm.shingles import mixed, shingle_hashes
 
 WIDTH = 5
@@ -40,13 +41,16 @@ MULTIPLIERS = mixed(np.arange(101, 101 + MINIMA, dtype=np.uint64)) | np.uint64(1
 
 
 class Items:
-    """One block of items: the shingle set of each, and for each size class the sorted minima with their items."""
+    """One block of items: the distinct shingle sets with the ids of each, and for each size class the sorted minima with
+    their sets."""
 
     def __init__(self, ids: list[int | None], texts: list[str]):
         hashes, at = shingle_hashes(pa.array(texts, pa.large_string()), WIDTH)
-        sets = [np.unique(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-        keep = [k for k, s in enumerate(sets) if len(s)]
-        self.ids, self.sets = [ids[k] for k in keep], [sets[k] for k in keep]
+        of_set: dict[bytes, list[int | None]] = {}
+        for item, a, b in zip(ids, at[:-1], at[1:], strict=True):
+            if a < b:
+                of_set.setdefault(np.unique(hashes[a:b]).tobytes(), []).append(item)
+        self.ids, self.sets = list(of_set.values()), [np.frombuffer(s, np.uint64) for s in of_set]
         size = np.array([len(s) for s in self.sets])
         kind = np.floor(np.log(np.maximum(size, 1)) / np.log(GROWTH) + 1e-9).astype(int)
         self.classes = []
@@ -57,7 +61,7 @@ class Items:
             self.classes.append((int(size[own].max()), np.take_along_axis(minima, order, 0), own[order]))
 
     def found(self, hashes: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(row, item, shared shingles) of all items contained enough in rows with these shingles."""
+        """(row, set, shared shingles) of all sets contained enough in rows with these shingles."""
         candidates = []
         for largest, minima, owner in self.classes:
             half = max(1, (largest + 1) // 2)
@@ -90,47 +94,57 @@ class Items:
                 yield r, k, shared
 
 
-def blocks(benchmark: DataFrame) -> list[list]:
-    """The items (item_id, text), in blocks of at most about BLOCK_CHARS characters; one block at a time is here."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def blocks(benchmark: DataFrame) -> Iterator[list]:
+    """The distinct items (item_id, text), in blocks of about BLOCK_CHARS characters; one block at a time is here."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    items = written(items, "items")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-chars // BLOCK_CHARS)
     for k in range(n):
         yield items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()
+    remove(benchmark.sparkSession, items)
+
+
+HITS = "doc_id long, item_id long, n_shingles long, n_shared long"
+
+
+def search(index: Items):
+    """For rows (doc_id, text): the items of the index that they hold."""
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(r, item, len(index.sets[k]), shared) for r, k, shared in index.found(*shingle_hashes(batch["text"], WIDTH)) for item in index.ids[k]]
+            row, *rest = (pa.array([f[c] for f in found], pa.int64()) for c in range(4))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(row), *rest], names=["doc_id", "item_id", "n_shingles", "n_shared"])
+
+    return hits
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_shingles, n_shared): items with CONTAINMENT of their shingles in a document."""
     spark = docs.sparkSession
-    arrow_limits(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     parts = []
-    for block in blocks(benchmark):
-        index = Items([r.item_id for r in block], [r.text for r in block])
-
-        def search(batches: Iterator[pa.RecordBatch], index: Items = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hits = list(index.found(*shingle_hashes(batch["text"], WIDTH)))
-                rows = [batch["doc_id"].take(pa.array([h[0] for h in hits], pa.int64())), pa.array([index.ids[h[1]] for h in hits], pa.int64()), pa.array([len(index.sets[h[1]]) for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.int64())]
-                yield pa.RecordBatch.from_arrays(rows, names=["doc_id", "item_id", "n_shingles", "n_shared"])
-
-        parts.append(texts.mapInArrow(search, "doc_id long, item_id long, n_shingles long, n_shared long"))
+    with arrow_batches(spark):
+        for block in blocks(benchmark):
+            index = Items([r.item_id for r in block], [r.text for r in block])
+            parts.append(written(texts.mapInArrow(search(index), HITS), "hits"))
     if not parts:
-        return spark.createDataFrame([], "doc_id long, item_id long, n_shingles long, n_shared long")
+        return spark.createDataFrame([], HITS)
     best = F.max(F.struct("n_shared", "n_shingles")).alias("best")
     return reduce(DataFrame.union, parts).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_shingles", "best.n_shared")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs that hold no item: rows go by their own text, whatever other rows have the same doc_id."""
-    hit = contaminated(docs, benchmark).select("doc_id").distinct()
+    hit, name = contaminated(docs, benchmark).select("doc_id").distinct(), unused(docs, "hit")[0]
     own = F.col("doc_id").cast("long")
-    suspect = docs.where("text IS NOT NULL").join(hit.withColumnRenamed("doc_id", "_hit"), own.eqNullSafe(F.col("_hit")), "left_semi").select(F.col("text").cast("string").alias("text")).distinct()
+    suspect = docs.where("text IS NOT NULL").join(hit.select(F.col("doc_id").alias(name)), own.eqNullSafe(F.col(name)), "left_semi").select(F.col("text").cast("string").alias("text")).distinct()
     # the texts of hit ids are searched again, each under a number of its own
     numbered = written(suspect.withColumn("doc_id", F.monotonically_increasing_id()), "suspect")
     found = contaminated(numbered, benchmark).select("doc_id").distinct()
-    texts = numbered.join(found, "doc_id", "left_semi").select(digest("text").alias("_text"))
-    return docs.join(texts, digest("text") == F.col("_text"), "left_anti").select(*docs.columns)
+    texts = numbered.join(found, "doc_id", "left_semi").select(digest("text").alias(name))
+    return docs.join(texts, digest("text") == F.col(name), "left_anti").select(*docs.columns)
 
 
 def digest(text: str) -> Column:
