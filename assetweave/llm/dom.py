@@ -14,7 +14,6 @@ PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea iframe".split())
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)", re.IGNORECASE | re.ASCII) for t in RAW}
-NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none(?![\w-])", re.IGNORECASE)
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr button".split())
 #: An opening tag that ends an open element of these names, up to the nearest of the others.
 P_ENDS = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
@@ -42,8 +41,6 @@ def hints(attributes: str) -> tuple[tuple[str, ...], str | None]:
             found += [w.lower() for w in PIECE.findall(m[2] or m[3] or m[4] or "")]
         elif name == "data-main":
             mark = m[2]
-        elif name == "hidden" or name == "style" and NOT_SHOWN.search(m[2] or m[3] or m[4] or ""):
-            found.append("hidden")
     return tuple(found), mark
 
 

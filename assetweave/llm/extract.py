@@ -7,8 +7,9 @@ exact marginal; elements over one half are content. Potentials are fitted to lab
 the exact log-likelihood, whose expected counts are the same marginals.
 
 Defined cases: a null or empty page has an empty text; broken markup is read as browsers about do; text within a
-content element that stands in a line goes with it unspaced, blocks and line breaks are set off by a space; extra
-columns pass through.
+content element that stands in a line goes with it unspaced, blocks and line breaks are set off by a space; text that
+a style or an attribute hides is text like other; repeated rows are extracted alike; an empty table gives no rows; the
+report has its own four columns, and main_text_column goes with any others.
 """
 
 from __future__ import annotations
@@ -28,9 +29,9 @@ PAGES = 800
 STEPS = 200
 
 TAGS = {t: k for k, t in enumerate("#root html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody tr td th blockquote pre figure figcaption nav header footer aside form fieldset label button details summary address center head a b strong em i span code small font".split())}
-WORDS = {w: k for k, w in enumerate(sorted({"hidden", "comment", "reply", "navigation", "complementary", "contentinfo", "subnav", "dropdown", "footnotes", "promoted", "overlay", "dialog", "tooltip", "feedback", "outbrain", "taboola", "pagination", "pager"} | {p for group in (lp.CONTENT, lp.MENU, lp.SIDE, lp.ADVERT, lp.NOTICE, lp.FORM, lp.COMMENTS, lp.HEADER, lp.FOOTER, lp.SHARE) for name in group for p in name.lower().split("-")}))}
+WORDS = {w: k for k, w in enumerate(sorted({"comment", "reply", "navigation", "complementary", "contentinfo", "subnav", "dropdown", "footnotes", "promoted", "overlay", "dialog", "tooltip", "feedback", "outbrain", "taboola", "pagination", "pager"} | {p for group in (lp.CONTENT, lp.MENU, lp.SIDE, lp.ADVERT, lp.NOTICE, lp.FORM, lp.COMMENTS, lp.HEADER, lp.FOOTER, lp.SHARE) for name in group for p in name.lower().split("-")}))}
 #: Words that belong to no layout of the training pages, each standing for one that does.
-LIKE = {"hidden": "popup", "navigation": "nav", "complementary": "sidebar", "contentinfo": "footer", "subnav": "nav", "dropdown": "menu", "footnotes": "legal", "promoted": "promo", "overlay": "popup", "dialog": "modal", "tooltip": "popup", "feedback": "comments", "outbrain": "ads", "taboola": "ads", "pagination": "nav", "pager": "nav", "cookies": "cookie", "footers": "footer", "headers": "header", "comments": "comments", "adverts": "advert", "adsense": "ads", "articletext": "text"}
+LIKE = {"navigation": "nav", "complementary": "sidebar", "contentinfo": "footer", "subnav": "nav", "dropdown": "menu", "footnotes": "legal", "promoted": "promo", "overlay": "popup", "dialog": "modal", "tooltip": "popup", "feedback": "comments", "outbrain": "ads", "taboola": "ads", "pagination": "nav", "pager": "nav", "cookies": "cookie", "footers": "footer", "headers": "header", "comments": "comments", "adverts": "advert", "adsense": "ads", "articletext": "text"}
 N_TAGS, N_WORDS = len(TAGS) + 1, len(WORDS)
 #: One feature for each tag and word, then always-on, link-share and length steps.
 LINK, LENGTH = 4, 4
