@@ -12,8 +12,10 @@ loss mask of a turn is the span of an assistant's text.
 
 Defined cases: a null text or role is an empty one; fields of other types are read as their JSON; a record of unknown
 layout, or that isn't JSON, gives one row of layout null with the record as its text, and is left out of the formatted
-output; turns with equal numbers are ordered by place, role and text; null numbers come first; a conversation without
-turns doesn't come out.
+output; turns with equal numbers are ordered by place, role and text, and repeated rows are turns each; null numbers come
+first; a conversation without turns doesn't come out; texts of any length are formatted whole. The report takes four columns
+of conversations and ignores others; of an empty table it has the one conversation -7 that it adds, which is one
+with a conversation of that id in the table.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ by a hash of the id; a fit takes memory for those only. Scores depend on the tex
 
 Defined cases: a null text is an empty one and is scored (by the bias and nothing else); a document labelled more
 than once counts with its lowest label, null labels don't count; without labels of both classes the score is the
-share of label 1, or 0.5 without labels; extra columns pass through.
+share of label 1, or 0.5 without labels; repeated rows are scored alike, and each counts where its doc_id is labelled;
+an empty table of documents gives no rows; extra columns pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assetweave.llm.common import arrow_limits
+from assetweave.llm.common import arrow_limits, unused
 from assetweave.llm.shingles import buffers, word_hashes
 
 #: Most labelled rows that the hinge-loss model is fitted on.
@@ -130,7 +131,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.shift, -40, 40)))
 
 
-def hinge_fit(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, size: int) -> tuple[np.ndarray, float]:
+def hinge_fit(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, size: int, epochs: int = EPOCHS, enough: float = 1e-4) -> tuple[np.ndarray, float]:
     """L1-loss linear support vector machine by dual coordinate descent; classes weigh the same in all.
 
     rows: features and their values of each document. Steps go through the documents in a fixed shuffled order.
@@ -140,7 +141,7 @@ def hinge_fit(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, size:
     square = np.array([float(v @ v) + 1 for _, v in rows])
     dual, weight, bias = np.zeros(len(rows)), np.zeros(size), 0.0
     order = np.random.default_rng(7)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         moved = 0.0
         for i in order.permutation(len(rows)):
             f, v = rows[i]
@@ -152,7 +153,7 @@ def hinge_fit(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, size:
                 bias += step
                 moved = max(moved, abs(new - dual[i]))
                 dual[i] = new
-        if moved < 1e-4:
+        if moved < enough:
             break
     return weight, bias
 
@@ -273,4 +274,5 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs that the classifier doesn't reject."""
     model = train(docs, labels)
     # one evaluation of the score per row: the filter is on the projected column
-    return docs.withColumn("_score", score(F.col("text"), model)).where(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    (own,) = unused(docs, "score")
+    return docs.withColumn(own, score(F.col("text"), model)).where(F.col(own) >= THRESHOLD).select(*docs.columns)

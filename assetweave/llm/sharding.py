@@ -7,7 +7,8 @@ each other in size, and few moves when a shard comes or goes. The table's size i
 of the data, and it is broadcast.
 
 Only DataFrame and SQL functions touch the rows. Defined cases: a null key is placed as the text 'null' is;
-equal keys share a shard; key collisions with the columns added (slot, shard) are overwritten by them.
+equal and repeated keys share a shard, however many they are and however long; an empty table gives no rows; extra columns
+pass through, of which slot and shard are overwritten.
 """
 
 from __future__ import annotations
