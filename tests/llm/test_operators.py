@@ -217,7 +217,15 @@ def test_parse_drops_raw_elements_only():
     assert text("<p>a <math><mi>x</mi></math> b<noscript>c</noscript><p>d<svg>e<p>f<select>g") == list("axbcdefg")
     assert text("<p>" + "\u0130" * 40 + "</p><SCRIPT>x</Script ><p>kept</p><p>too</p>") == ["\u0130" * 40, "kept", "too"]
     assert text("<title>a</titles></title>b<style/>c<script>d") == ["b", "c"]
-    assert dom.hints(' style="border: none"')[0] == () and dom.hints(' style="a:b; DISPLAY : none"')[0] == ("hidden",)
+
+
+@pytest.mark.parametrize("attribute", ["", ' style="border:none"', ' style="text-decoration:none"', ' style="list-style: none"', ' hidden=""', ' style="display:none"'])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_styles_take_no_text(tag, attribute):
+    words = "A first paragraph of the article with enough words to be one. " * 3
+    page = f"<html><body><nav class=menu><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><{tag} class=content{attribute}><h1>Title</h1><p>{words}</p><ul{attribute}><li>{words}</li></ul><p>{'\u0130' * 40}</p><script>x</script><p>{words}</p></{tag}><footer class=footer>Copyright</footer></body></html>"
+    wanted = f"Title {words} {words} {'\u0130' * 40} {words}".split()
+    assert extract.extracted([page], extract.default_model())[0].split() == wanted
 
 
 def test_pages_held_out():
@@ -279,6 +287,36 @@ def test_mixing_defined_cases(spark, odd):
         mixing.replicate(odd, {"s": 1.0}, total=10**6)
 
 
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Columns with the names that the operators make for themselves."""
+    names = ["_source", "_chances", "_count", "_flags", "_id", "_text", "_score", "score", "chances", "draws", "count", "name", "own", "body", "flags", "dropped", "hit", "_hit", "n_lines", "kept_text", "slot", "rate"]
+    rows = [(k, f"Some text of {k % 3} and more words\nsame line", "en", ["s", "t", None][k % 3], 1) for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return df.withColumns({n: F.concat(F.lit(n), "doc_id") for n in names})
+
+
+def carried(df, but=()):
+    """Whether each column made by clashing() still has its values."""
+    names = [c for c in df.columns if c not in {"doc_id", "text", "lang", "source", "n_chars", *but}]
+    return len(names) == 22 - len(set(but) & {"n_lines", "kept_text", "slot"}) and all(r[n] == f"{n}{r.doc_id}" for r in df.collect() for n in names)
+
+
+def test_columns_pass_through_whatever_their_names(spark, clashing):
+    assert carried(mixing.replicate(clashing), ("copy", "shuffle_key"))
+    assert mixing.replicate(clashing).columns == [*clashing.columns, "copy", "shuffle_key"]
+    lines = linededup.dedup_lines(clashing)
+    assert carried(lines, ("n_lines", "n_dropped", "kept_text")) and len(lines.columns) == len(set(lines.columns)) == len(clashing.columns) + 1
+    assert {r.n_dropped for r in lines.collect()} == {2}
+    labels = spark.createDataFrame([(k, int(k % 3 > 0), 0) for k in range(20)], "doc_id long, quality int, toxic int")
+    assert quality.keep_good(clashing, labels).columns == clashing.columns and carried(quality.keep_good(clashing, labels))
+    assert carried(sharding.place(clashing), ("slot", "shard"))
+    clean = decontaminate.keep_clean(clashing, spark.createDataFrame([(1, "text of 1 and more")], "item_id long, text string"))
+    assert clean.columns == clashing.columns and clean.count() == 20 and carried(clean)
+    one = neardup.keep_one(clashing)
+    assert one.columns == clashing.columns and one.count() == 3 and carried(one)
+
+
 def test_mixing_repeats_a_tiny_source_as_often_as_its_weight_asks(spark):
     df = spark.range(1_000_001).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 0, "tiny").otherwise("large").alias("source"))
     rate = {r.source: r.rate for r in mixing.rates(df).collect()}["tiny"]
@@ -354,6 +392,19 @@ def test_decontamination_defined_cases(spark, odd):
     assert clean.count() == len(ODD) - 3 and clean.columns == odd.columns
 
 
+def test_decontamination_in_blocks_of_repeated_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 200)
+    item = lambda k: " ".join(f"i{k}w{j}" for j in range(8))
+    items = [(k, item(k % 6)) for k in range(40)] + [(0, item(0)), (50, item(1).upper())]
+    docs = [(k, f"before {item(k)} after") for k in range(8)] + [(9, item(2) + " " + item(3))]
+    rows, items_df = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(x) for x in decontaminate.contaminated(rows, items_df).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute.contained(docs, items)
+    index = decontaminate.Items([i for i, _ in items], [t for _, t in items])
+    assert len(index.sets) == 6 and sum(map(len, index.ids)) == len(items)
+    assert decontaminate.keep_clean(rows, items_df).count() == 2
+
+
 def test_clean_rows_stay_whatever_their_ids(spark):
     item = "one two three four five six seven"
     rows = [(None, f"so {item} it goes"), (None, "a clean text of no id at all"), (None, None), (1, item), (1, "another clean text of the same id"), (2, item.upper())]
@@ -378,6 +429,55 @@ def test_hinge_fit_separates():
     assert all((weight[f] @ v + bias > 0) == (y == 1) for (f, v), y in zip(rows, label, strict=True))
 
 
+def test_class_counts_are_the_documents(spark):
+    texts = ["Aa bb bb", "Aa bb bb", "", "zz! 12", "bb cc dd", None, "Aa"]
+    rows = spark.createDataFrame([(k, t, k % 2) for k, t in enumerate(texts)], "doc_id long, text string, label int")
+    table, bad, good = quality.class_counts(rows.repartition(3))
+    wanted = np.zeros((2, quality.FEATURES))
+    for k, f in enumerate(quality.features(pa.array(texts, pa.large_string()))):
+        assert len(set(f.tolist())) == len(f)
+        for i in f:
+            wanted[k % 2][i] += 1
+    assert (bad, good) == (4, 3) and (table == wanted).all()
+
+
+def test_hinge_fit_is_the_optimum():
+    r = np.random.default_rng(1)
+    label = r.integers(0, 2, 60)
+    rows = [(np.sort(r.choice(15, 5, replace=False)), r.random(5) + y * (r.random(5) > 0.6)) for y in label]
+    sign = np.where(label == 1, 1, -1)
+    weight, bias = quality.hinge_fit(rows, sign, 15, epochs=2000, enough=1e-9)
+    top = np.array([quality.PENALTY * len(sign) / (2 * (sign == s).sum()) for s in sign])
+    loss = np.array([max(0.0, 1 - s * (weight[f] @ v + bias)) for (f, v), s in zip(rows, sign, strict=True)])
+    primal = 0.5 * (weight @ weight + bias**2) + top @ loss
+    # no small move makes it better, in any direction
+    for _ in range(300):
+        step, shift = r.normal(size=15) * 1e-3, r.normal() * 1e-3
+        other = np.array([max(0.0, 1 - s * ((weight + step)[f] @ v + bias + shift)) for (f, v), s in zip(rows, sign, strict=True)])
+        assert 0.5 * ((weight + step) @ (weight + step) + (bias + shift) ** 2) + top @ other >= primal - 1e-7
+
+
+def test_scores_equal_a_plain_evaluation(spark, docs):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    label = {r.doc_id: r.quality for r in labels.collect() if r.doc_id in texts and not held(r.doc_id)}
+    on = {i: quality.features(pa.array([t], pa.large_string()))[0] for i, t in texts.items()}
+    table = np.zeros((2, quality.FEATURES))
+    for i, y in label.items():
+        table[y][on[i]] += 1
+    good = sum(label.values())
+    ratio = np.log((table[1] + 1) / (good + 2)) - np.log((table[0] + 1) / (len(label) - good + 2))
+    ratio[table.sum(axis=0) == 0] = 0
+    ids = sorted(label)
+    model = quality.fit_rows(ratio, [on[i] for i in ids], np.array([label[i] for i in ids]))
+    for r in quality.quality_report(docs, labels).collect():
+        v = ratio[on[r.doc_id]]
+        margin = sum(model.weight[on[r.doc_id]]) / max(1.0, float(v @ v) ** 0.5) + model.bias
+        assert abs(r.score - 1 / (1 + np.exp(-(model.slope * margin + model.shift)))) < 1e-6
+        assert r.predicted == int(r.score >= 0.7) and r.held_out == held(r.doc_id)
+
+
 def test_quality_defined_cases(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.quality_report(odd, none).collect()
@@ -425,6 +525,32 @@ def test_encoder_on_hard_texts():
             assert ids[at[k] : at[k + 1]].tolist() == whole.encode(t or "", add_special_tokens=False).ids + [1]
 
 
+def test_start_of_repeated_ids_is_that_of_the_files(spark, tmp_path):
+    rows = [(1, "a much longer text than the other one"), (1, "zed"), (0, "first"), (1, "zed"), (2, "b")] + [(7, f"text {k} " * (k % 5)) for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = str(tmp_path / "ids")
+    tokenfile.write_tokens(df, path, tokenizer())
+    ids, wanted = [], []
+    for f in sorted((tmp_path / "ids").glob("part-*.orc")):
+        for r in spark.read.orc(str(f)).collect():
+            wanted.append((r.doc_id, len(ids), len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())))
+            ids += r.ids
+    assert [w[0] for w in wanted] == sorted(i for i, _ in rows)
+    assert sorted(map(tuple, tokenfile.token_report(tokenfile.read_tokens(spark, path)).collect())) == sorted(wanted)
+
+
+def test_encoder_memory_lets_old_units_go(monkeypatch):
+    monkeypatch.setattr(tokenfile.Memory, "MOST", 50)
+    encoder, whole = tokenfile.Encoder(tokenizer()), tokenfile.Encoder(tokenizer())
+    whole.pieces = False
+    r = random.Random(8)
+    for k in range(12):
+        texts = pa.array([" ".join(f"word{r.randrange(80)}x{'.' * r.randrange(3)}" for _ in range(30)) for _ in range(4)])
+        for a, b in zip(encoder.ids(texts), whole.ids(texts), strict=True):
+            assert a.tolist() == b.tolist()
+    assert len(encoder.memory.used) < 200
+
+
 def test_token_files_defined_cases(spark, odd, tmp_path):
     got = sorted(tokenfile.stored_report(odd, tokenizer()).collect(), key=lambda r: r.start)
     assert len(got) == len(ODD) and got[0].doc_id is None and [r.n_tokens for r in got if r.doc_id == 1] == [1, 1]
@@ -432,6 +558,11 @@ def test_token_files_defined_cases(spark, odd, tmp_path):
     assert tokenfile.stored_report(odd.limit(0), tokenizer()).count() == 0
     path = str(tmp_path / "ids")
     tokenfile.write_tokens(odd, path, tokenizer())
+    stored = sorted(tokenfile.read_tokens(spark, path).collect(), key=lambda r: (r.piece, r.place))
+    start = 0
+    for r, x in zip(stored, got, strict=True):
+        assert (x.doc_id, x.start, x.n_tokens) == (r.doc_id, start, len(r.ids))
+        start += len(r.ids)
     plan = tokenfile.read_tokens(spark, path).where("doc_id = 7")
     assert plan.count() == 1 and "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in plan._jdf.queryExecution().executedPlan().toString()
 
@@ -449,6 +580,16 @@ def test_line_runs_over_batches(spark):
     runs = linededup.LineRuns(spark, documents=3, fanout=2)
     for k in range(5):
         runs.add(spark.createDataFrame([(k, f"same\nown {k}")], "doc_id long, text string"))
-    assert runs.settled().count() == 1 and sum(map(len, runs.levels)) < 5
+    assert runs.settled().count() == 1 and [len(x) for x in runs.levels] == [1, 0, 1]
+    # by the fourth batch the key was settled, so the fifth run is without it
+    assert runs.done.rows().count() == 1 and runs.levels[0][0].rows().count() == 1
+    with linededup.sorted_scans(spark):
+        for plan in (runs.counts(spark.createDataFrame([(9, "x\ny")], "doc_id long, text string")), linededup.merged(runs.done.rows(), runs.levels[2][0].rows())):
+            text = plan._jdf.queryExecution().executedPlan().toString()
+            side = text[text.index("SortMergeJoin") :]
+            assert side.count("line_run_") == side.count("Bucketed: true") and side.count("Exchange") == (1 if "LeftOuter" in text else 0) == side.count("Sort [")
     new = spark.createDataFrame([(9, " SAME \nother")], "doc_id long, text string")
     assert linededup.drop_lines(new, runs).first().kept_text == "other"
+    many = spark.createDataFrame([(1, "same\na\nsame\nsame\nb"), (1, "same"), (2, "c\nsame"), (1, "same\na\nsame\nsame\nb")], "doc_id long, text string")
+    assert sorted((r.n_lines, r.n_dropped, r.kept_text) for r in linededup.drop_lines(many, runs).collect()) == [(1, 1, ""), (2, 1, "c"), (5, 3, "a\nb"), (5, 3, "a\nb")]
+    runs.remove()

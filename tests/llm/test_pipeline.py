@@ -32,3 +32,13 @@ def test_pipeline_of_no_documents(spark, tmp_path):
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{DATA}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_carry_columns_of_any_name(spark):
+    """Columns with the names that stages use; slot and shard are the last stage's."""
+    names = ["_score", "score", "component_id", "kept", "_text", "hit", "chances", "count", "copy", "slot", "shard"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumns({n: F.concat(F.lit(n), "doc_id") for n in names})
+    for _, stage in corpus_pipeline.STAGES:
+        before, docs = docs, written(stage(spark, docs, DATA), "stage")
+    assert before.columns[-2:] == ["slot", "shard"] and set(docs.columns) == set(before.columns) and docs.count() > 0
+    assert all(r[n] == f"{n}{r.doc_id}" for r in docs.collect() for n in names[:-3])
