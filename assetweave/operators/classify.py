@@ -45,15 +45,18 @@ class Taxonomy:
         """The currency that an asset's symbol or name tells; all in lower case."""
         extract = lambda c, pattern: F.nullif(F.regexp_extract(c, pattern, 1), F.lit(""))
         by_symbol = self._known(extract(symbol, r"^([a-z]{3})(?:[tc]|[-_](?:token|coin|t))?\z"))
-        by_name = F.coalesce(*[F.when(name.rlike(rf"\b(?:{p})\b") | slug.rlike(rf"\b(?:{p})\b"), self.alias(F.lit(code))) for code, p in self.names])
+        # one look for all names first; few rows have any
+        text = F.concat_ws("\n", name, slug)
+        names = [(code, rf"\b(?:{p})\b") for code, p in self.names]
+        by_name = F.when(text.rlike(rf"\b(?:{'|'.join(p for _, p in self.names)})\b"), F.coalesce(*[F.when(text.rlike(p), self.alias(F.lit(code))) for code, p in names]))
         prefix = self._known(F.coalesce(extract(symbol, r"^([a-z]{3})[tc]?\z"), extract(symbol, r"^([a-z]{3})[-_]")))
         x_prefix = self._known(extract(symbol, r"^x([a-z]{3})\z"))
         word = self._known(extract(F.concat_ws(" ", name, slug), r"\b([a-z]{3})\b"))
         return F.coalesce(F.try_element_at(self.aliases, F.upper(symbol)), by_symbol, by_name, prefix, x_prefix, word)
 
     def metal(self, symbol: Column, name: Column, slug: Column) -> Column:
-        gold = symbol.rlike(tx.GOLD_SYMBOLS) | name.rlike(tx.GOLD_NAMES) | slug.rlike(tx.GOLD_NAMES)
-        silver = symbol.rlike(tx.SILVER_SYMBOLS) | name.rlike(tx.SILVER_NAMES) | slug.rlike(tx.SILVER_NAMES)
+        gold = symbol.rlike(tx.GOLD_SYMBOLS) | F.concat_ws("\n", name, slug).rlike(tx.GOLD_NAMES)
+        silver = symbol.rlike(tx.SILVER_SYMBOLS) | F.concat_ws("\n", name, slug).rlike(tx.SILVER_NAMES)
         return F.when(gold, "Gold").when(silver, "Silver")
 
     def commodity(self, tags: Column, symbol: Column, name: Column, slug: Column) -> Column:
@@ -62,19 +65,22 @@ class Taxonomy:
         silver = F.when(F.array_contains(tags, "tokenized-silver"), "Silver")
         return F.coalesce(tagged, gold, silver, self.metal(symbol, name, slug), F.lit("Commodities"))
 
-    def tokenized_type(self, symbol: Column, name: Column, slug: Column) -> Column:
-        of = lambda p, label: F.when(name.rlike(p) | slug.rlike(p), label)
-        return F.coalesce(self.metal(symbol, name, slug), of(tx.ETF, "ETF"), of(tx.TREASURY, "Treasury Bills"), of(tx.STOCK, "Stocks"), of(tx.ESTATE, "Real Estate"), F.lit("Tokenized Asset"))
+    def tokenized_type(self, symbol: Column, name: Column, slug: Column, metal: Column | None = None) -> Column:
+        of = lambda p, label: F.when(F.concat_ws("\n", name, slug).rlike(p), label)
+        return F.coalesce(self.metal(symbol, name, slug) if metal is None else metal, of(tx.ETF, "ETF"), of(tx.TREASURY, "Treasury Bills"), of(tx.STOCK, "Stocks"), of(tx.ESTATE, "Real Estate"), F.lit("Tokenized Asset"))
 
     def asset_backed(self, symbol: Column, name: Column, slug: Column) -> Column:
         return F.coalesce(self.currency(symbol, name, slug), F.nullif(self.tokenized_type(symbol, name, slug), F.lit("Tokenized Asset")))
 
-    def peg(self, tags: Column, symbol: Column, name: Column, slug: Column, category: Column) -> Column:
+    def peg(self, tags: Column, symbol: Column, category: Column, currency: Column, metal: Column, kind: Column) -> Column:
+        """What the asset is pegged to or stands for, of its currency, metal and tokenized type, each worked out once."""
         first = lambda pattern: F.get(F.filter(F.transform(tags, lambda t: F.regexp_extract(t, pattern, 1)), lambda c: c != ""), F.lit(0))
-        backed = F.when(_any(tags, tx.ASSET_BACKED_TAGS), self.asset_backed(symbol, name, slug))
-        stable = F.coalesce(self.alias(F.upper(first(r"^([a-z]{3})-stablecoin\z"))), self.alias(F.upper(first(r"^pegged([a-z0-9]+)\z"))), self.currency(symbol, name, slug), backed)
-        subtype = F.coalesce(*[F.when(F.array_contains(tags, t), self.commodity(tags, symbol, name, slug) if label == "Commodities" else F.lit(label)) for t, label in tx.TOKENIZED_SUBTYPES])
-        inferred = F.when(_any(tags, self.tokenized), self.tokenized_type(symbol, name, slug))
+        backed = F.when(_any(tags, tx.ASSET_BACKED_TAGS), F.coalesce(currency, F.nullif(kind, F.lit("Tokenized Asset"))))
+        stable = F.coalesce(self.alias(F.upper(first(r"^([a-z]{3})-stablecoin\z"))), self.alias(F.upper(first(r"^pegged([a-z0-9]+)\z"))), currency, backed)
+        tagged = lambda tag, label: F.when(F.array_contains(tags, tag), label)
+        commodity = F.coalesce(tagged("tokenized-gold", "Gold"), F.when(metal == "Gold", "Gold"), tagged("tokenized-silver", "Silver"), metal, F.lit("Commodities"))
+        subtype = F.coalesce(*[tagged(t, commodity if label == "Commodities" else label) for t, label in tx.TOKENIZED_SUBTYPES])
+        inferred = F.when(_any(tags, self.tokenized), kind)
         return F.when(category == "Stablecoin", stable).otherwise(F.coalesce(subtype, inferred, backed))
 
 
@@ -83,9 +89,12 @@ def classify(assets: DataFrame, taxonomy: Taxonomy | None = None) -> DataFrame:
     t = taxonomy or Taxonomy()
     lower = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
     rows = assets.withColumns({"_tags": F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda x: F.lower(F.coalesce(x, F.lit("")))), "_symbol": lower("symbol"), "_name": lower("name"), "_slug": lower("slug")})
+    texts = F.col("_symbol"), F.col("_name"), F.col("_slug")
     rows = rows.withColumn("category", t.category(F.col("_tags")))
-    rows = rows.withColumn("peg_found", t.peg(F.col("_tags"), F.col("_symbol"), F.col("_name"), F.col("_slug"), F.col("category")))
-    return rows.drop("_tags", "_symbol", "_name", "_slug")
+    rows = rows.withColumns({"_metal": t.metal(*texts), "_currency": t.currency(*texts), "_backed": _any(F.col("_tags"), tx.ASSET_BACKED_TAGS)})
+    rows = rows.withColumn("_kind", F.when((F.col("category") != "Stablecoin") | F.col("_backed"), t.tokenized_type(*texts, F.col("_metal"))))
+    rows = rows.withColumn("peg_found", t.peg(F.col("_tags"), F.col("_symbol"), F.col("category"), F.col("_currency"), F.col("_metal"), F.col("_kind")))
+    return rows.drop("_tags", "_symbol", "_name", "_slug", "_metal", "_currency", "_backed", "_kind")
 
 
 def input_valid() -> Column:

@@ -8,8 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetweave.operators.ordered import before, in_pieces, stored, values_at
+
 FAILURES, TIMEOUT_S, SUCCESSES = 6, 60, 3
 ERROR_RATE, SLOW_MS, LEAST_HEALTHY = 0.3, 10_000.0, 1
+#: Most calls of a source in one array, about; and sources whose calls choose the spans of a fold.
+FOLDED, SOURCES = 500_000, 1_000
 LEVELS = {"info": 0, "warning": 1, "error": 2, "critical": 3}
 
 
@@ -33,10 +37,11 @@ def latency_stats(log: DataFrame, hours: float = 1.0) -> DataFrame:
     """Per source: mean, median, p95, p99, least and most of the durations above 0. The p-th percentile is the
     element at index ceil(p / 100 * (n - 1))."""
     rows = recent(log, hours).where("duration > 0")
-    by = Window.partitionBy("source")
-    placed = rows.withColumns({"r": F.row_number().over(by.orderBy("duration", "id")) - 1, "n": F.count(F.lit(1)).over(by)})
-    at = lambda p: F.max(F.when(F.col("r") == F.ceil(F.lit(p / 100) * (F.col("n") - 1)), F.col("duration")))
-    return placed.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("duration").alias("mean"), F.median("duration").alias("median"), at(95).alias("p95"), at(99).alias("p99"), F.min("duration").alias("least"), F.max("duration").alias("most"))
+    last = F.col("n") - 1
+    places = {"low": F.floor(last / 2), "high": F.ceil(last / 2), "p95": F.ceil(F.lit(0.95) * last), "p99": F.ceil(F.lit(0.99) * last)}
+    found = values_at(rows, ["source"], "duration", places)
+    sums = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("duration").alias("mean"), F.min("duration").alias("least"), F.max("duration").alias("most"))
+    return sums.join(found, "source").select("source", "n", "mean", ((F.col("low") + F.col("high")) / 2).alias("median"), "p95", "p99", "least", "most")
 
 
 def latency_stats_approx(log: DataFrame, accuracy: int = 10_000) -> DataFrame:
@@ -48,9 +53,9 @@ def error_rates(log: DataFrame, stale: bool = False) -> DataFrame:
     """Per source failures / requests; stale: as it stood at the last failure."""
     if not stale:
         return log.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("success")).alias("errors"), F.avg(F.when(F.col("success"), 0.0).otherwise(1.0)).alias("error_rate"))
-    so_far = Window.partitionBy("source").orderBy("ts", "id")
-    rows = log.withColumns({"n": F.row_number().over(so_far), "errors": F.sum(F.when(F.col("success"), 0).otherwise(1)).over(so_far)}).where("NOT success")
-    return rows.groupBy("source").agg(F.max("n").alias("n"), F.max("errors").alias("errors")).withColumn("error_rate", F.col("errors") / F.col("n"))
+    last = log.where("NOT success").groupBy("source").agg(F.max(F.struct("ts", "id")).alias("last"))
+    upto = log.join(last, "source").where(F.struct("ts", "id") <= F.col("last"))
+    return upto.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("success")).alias("errors")).withColumn("error_rate", F.col("errors") / F.col("n"))
 
 
 def error_type() -> Column:
@@ -71,26 +76,26 @@ def streaks(log: DataFrame) -> DataFrame:
 
 
 def first_opening(log: DataFrame, threshold: int = FAILURES) -> DataFrame:
-    """Per source the call at which its breaker first opens, by windows alone.
+    """Per source the call at which its breaker first opens, by windows over pieces of its calls.
 
     While closed, the failure count goes up by one and down by one, never under 0: a reflected walk, which is the
     plain walk less its least value so far.
     """
-    w = Window.partitionBy("source").orderBy("ts", "id")
-    walk = log.withColumn("s", F.sum(F.when(F.col("success"), -1).otherwise(1)).over(w))
-    walk = walk.withColumn("count", F.col("s") - F.least(F.lit(0), F.min("s").over(w)))
-    opened = walk.where(~F.col("success") & (F.col("count") >= threshold))
+    rows = in_pieces(log.select("source", "ts", "id", "success"), ["source"], micros("ts"), F.col("id"))
+    w = Window.partitionBy("source", "piece").orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
+    walk = stored(rows.withColumn("s", F.sum(F.when(F.col("success"), -1).otherwise(1)).over(w)).withColumn("low", F.min("s").over(w)), "walk")
+    sums = walk.groupBy("source", "piece").agg(F.sum(F.when(F.col("success"), -1).otherwise(1)).alias("total"), F.min("low").alias("low"))
+    sums = before(sums, ["source"], "total", "start")
+    earlier = Window.partitionBy("source").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("source", "piece", "start", F.coalesce(F.min(F.col("start") + F.col("low")).over(earlier), F.lit(0)).alias("least"))
+    placed = walk.join(sums, ["source", "piece"])
+    count = F.col("start") + F.col("s") - F.least(F.lit(0), F.col("least"), F.col("start") + F.col("low"))
+    opened = placed.where(~F.col("success") & (count >= threshold))
     return opened.groupBy("source").agg(F.min(F.struct("ts", "id")).alias("x")).select("source", F.col("x.ts").alias("opened_ts"), F.col("x.id").alias("opened_id"))
 
 
-def breaker_state(log: DataFrame, days: float = 7.0, threshold: int = FAILURES, timeout_s: float = TIMEOUT_S) -> DataFrame:
-    """Per source the breaker after its calls of the retained days, folded in order: state and failure count.
-
-    One source's calls are one array, bounded by retention; the streaming form has no such bound.
-    """
-    kind = dict(log.dtypes)["ts"]
-    calls = recent(log, 24 * days).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("ts", "id", "success"))).alias("calls"))
-    start = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("failures"), F.lit(0).alias("successes"), F.lit(None).cast(kind).alias("retry"), F.lit(0).alias("opened"))
+def breaker_fold(start: Column, calls: Column, kind: str, threshold: int, timeout_s: float) -> Column:
+    """The breaker (state, failures, successes, retry, opened) after an array of calls in order."""
 
     def step(a: Column, e: Column) -> Column:
         ok, half, closed = e["success"], a["state"] == "half-open", a["state"] == "closed"
@@ -103,7 +108,42 @@ def breaker_state(log: DataFrame, days: float = 7.0, threshold: int = FAILURES,
         due = (state == "open") & (e["ts"] >= retry)
         return F.struct(F.when(due, "half-open").otherwise(state).alias("state"), failures.alias("failures"), successes.alias("successes"), F.when(due, F.lit(None).cast(kind)).otherwise(retry).alias("retry"), (a["opened"] + opens.cast("int")).alias("opened"))
 
-    return calls.select("source", F.aggregate("calls", start, step).alias("b")).select("source", "b.state", "b.failures", "b.opened")
+    return F.aggregate(calls, start, step)
+
+
+def breaker_state(log: DataFrame, days: float = 7.0, threshold: int = FAILURES, timeout_s: float = TIMEOUT_S, most: int = FOLDED) -> DataFrame:
+    """Per source the breaker after its calls of the retained days, folded in order: state, failure count and openings.
+
+    The calls are folded in spans of time of about most calls of a source at the most, one span after another: the
+    state that a span ends with is written and the next span begins with it. So no array holds more than a span's calls of
+    a source; only calls of one instant aren't parted.
+    """
+    kind = dict(log.dtypes)["ts"]
+    calls = recent(log, 24 * days).select("source", "ts", "id", "success")
+    fresh = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("failures"), F.lit(0).alias("successes"), F.lit(None).cast(kind).alias("retry"), F.lit(0).alias("opened"))
+    largest = calls.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    spans = -(-largest // most)
+    cuts: list = []
+    if spans > 1:
+        calls = stored(calls, "calls")
+        # twice as many spans of each source's calls as are needed if they lie evenly
+        at = F.array(*[F.lit(k / (2 * spans)) for k in range(1, 2 * spans)])
+        found = calls.groupBy("source").agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), at, 32 * spans).alias("c"))
+        cuts = sorted({c for r in found.orderBy(F.col("source")).limit(SOURCES).collect() for c in r.c})
+    number, state = F.unix_micros(F.col("ts").cast("timestamp")), None
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        inside = calls if low is None else calls.where(number >= low)
+        inside = inside if high is None else inside.where(number < high)
+        arrays = inside.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("ts", "id", "success"))).alias("calls"))
+        if state is None:
+            state = arrays.select("source", breaker_fold(fresh, F.col("calls"), kind, threshold, timeout_s).alias("b"))
+        else:
+            both = state.join(arrays, "source", "full")
+            empty = F.array().cast(arrays.schema["calls"].dataType)
+            state = both.select("source", breaker_fold(F.coalesce("b", fresh), F.coalesce("calls", empty), kind, threshold, timeout_s).alias("b"))
+        if high is not None:
+            state = stored(state, "breaker")
+    return state.select("source", "b.state", "b.failures", "b.opened")
 
 
 def health_scores(log: DataFrame) -> DataFrame:

@@ -101,16 +101,34 @@ def field_conflicts(rows: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def similar_names(assets: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs of assets (asset_key, name, source) that one source each has, whose names are alike.
+    """Pairs of assets (left_key, right_key, likeness) that no source lists both of, whose names are alike.
 
-    Candidates share a block: the first two words and the length by eights, each name also in the next length's block.
+    The likeness is 1 - d / (length of the longer name) for d edits, so the longer name's length bounds d. Candidates are
+    those of a partition of the shorter name: cut into one segment more than there may be edits, it has a segment that
+    the longer name has unchanged, shifted by no more places than the edits on either side of it allow. Segments and the
+    longer names' pieces meet in an equi-join on lengths, edits, number and text; no pair is lost, whatever words differ.
+    Names are compared once however many assets have them. rows: asset_key, source, name.
     """
     name = F.lower(F.trim("name"))
-    single = assets.groupBy("asset_key").agg(F.min("source").alias("source"), F.max("source").alias("other"), F.min(name).alias("name")).where("source = other")
-    size = F.floor(F.length("name") / F.lit(8))
-    words = F.array_join(F.slice(F.split("name", " "), 1, 2), " ")
-    blocked = single.select("asset_key", "source", "name", words.alias("block"), F.explode(F.array(size, size + 1)).alias("size"))
-    a, b = blocked.alias("a"), blocked.alias("b")
-    pairs = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.size") == F.col("b.size")) & (F.col("a.asset_key") < F.col("b.asset_key")) & (F.col("a.source") != F.col("b.source")))
-    like = 1 - F.levenshtein("a.name", "b.name") / F.greatest(F.length("a.name"), F.length("b.name"))
-    return pairs.select(F.col("a.asset_key").alias("left_key"), F.col("b.asset_key").alias("right_key"), like.alias("likeness")).where(F.col("likeness") >= threshold).distinct()
+    named = assets.groupBy("asset_key").agg(F.min(name).alias("name"), F.array_sort(F.collect_set("source")).alias("sources")).where("name <> ''")
+    texts = named.select("name").distinct().withColumn("size", F.length("name"))
+    # edits allowed for a longer name of n characters, and the longest that a shorter one of n can have
+    edits = lambda n: f"CAST(floor({1 - threshold!r} * ({n}) + 1e-9) AS INT)"
+    longest = f"CAST(floor(({{n}}) / {threshold!r} + 1e-9) AS INT)"
+    start = "CAST(floor(({i}) * size / (edits + 1)) AS INT)"
+    each = lambda df, column, low, high: df.withColumn("_low", F.expr(low)).withColumn("_high", F.expr(high)).where("_low <= _high").withColumn(column, F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
+    segments = each(texts, "edits", edits("size"), edits(longest.format(n="size")))
+    segments = each(segments, "i", "0", "edits").withColumn("at", F.expr(start.format(i="i"))).withColumn("segment", F.expr(f"substring(name, at + 1, {start.format(i='i + 1')} - at)"))
+    pieces = each(texts.select("name", F.col("size").alias("whole"), F.expr(edits("size")).alias("edits")), "size", "greatest(1, whole - edits)", "whole")
+    pieces = each(pieces, "i", "0", "edits").withColumn("at", F.expr(start.format(i="i"))).withColumn("length", F.expr(f"{start.format(i='i + 1')} - at"))
+    # edits before a segment shift it against the start, those after it against the end
+    pieces = each(pieces, "place", "greatest(0, at - i, at + whole - size - (edits - i))", "least(whole - length, at + i, at + whole - size + (edits - i))")
+    pieces = pieces.select(F.col("name").alias("other"), "size", "edits", "i", F.expr("substring(name, place + 1, length)").alias("segment"))
+    pairs = segments.select("name", "size", "edits", "i", "segment").join(pieces, ["size", "edits", "i", "segment"]).where("name <> other").select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
+    like = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))
+    pairs = pairs.withColumn("likeness", like).where(F.col("likeness") >= threshold)
+    left, right = (named.select(F.col("asset_key").alias(f"{k}_key"), F.col("name").alias(k), F.col("sources").alias(f"{k}_sources")) for k in "ab")
+    found = pairs.join(left, "a").join(right, "b")
+    same = left.join(right, F.col("a") == F.col("b")).where("a_key < b_key").withColumn("likeness", F.lit(1.0))
+    both = found.unionByName(same).where(~F.arrays_overlap("a_sources", "b_sources"))
+    return both.select(F.least("a_key", "b_key").alias("left_key"), F.greatest("a_key", "b_key").alias("right_key"), "likeness")

@@ -61,9 +61,12 @@ def cross_chain(chains: DataFrame) -> DataFrame:
     leading chain is the first with most supply.
     """
     rows = chains.where("current > 0").withColumn("chain_name", platform_name("chain"))
-    whole = rows.groupBy("key").agg(F.sum("current").alias("total"), F.max_by("chain_name", F.struct("current", (-F.col("pos")).alias("p"))).alias("dominant"))
-    last = rows.groupBy("key", "chain_name").agg(F.max_by(F.struct("current", "prev_day", "prev_week", "prev_month"), "pos").alias("x"))
-    return last.join(whole, "key").select("key", "chain_name", "x.*", "total", "dominant").withColumn("percentage", F.col("current") / F.col("total") * 100)
+    newest, lead = F.max_by(F.struct("current", "prev_day", "prev_week", "prev_month"), "pos"), F.max(F.struct("current", (-F.col("pos")).alias("p")))
+    each = rows.groupBy("key", "chain_name").agg(newest.alias("x"), F.sum("current").alias("sum"), lead.alias("lead"))
+    # an asset has few chains
+    asset = Window.partitionBy("key")
+    whole = each.withColumns({"total": F.sum("sum").over(asset), "dominant": F.max_by("chain_name", "lead").over(asset)})
+    return whole.select("key", "chain_name", "x.*", "total", "dominant").withColumn("percentage", F.col("current") / F.col("total") * 100)
 
 
 def supply_change(chains: DataFrame) -> DataFrame:
@@ -88,8 +91,10 @@ def rollup(rows: DataFrame) -> DataFrame:
 
 def breakdown(rows: DataFrame) -> DataFrame:
     """Per platform and symbol: supply and its share of the platform's."""
-    got = rows.where("supply > 0").groupBy("platform", "symbol").agg(F.sum("supply").alias("supply"), F.min("key").alias("first"))
-    return got.withColumn("percentage", percent("supply", F.sum("supply").over(Window.partitionBy("platform"))))
+    rows = rows.where("supply > 0")
+    got = rows.groupBy("platform", "symbol").agg(F.sum("supply").alias("supply"), F.min("key").alias("first"))
+    whole = rows.groupBy("platform").agg(F.sum("supply").alias("_whole"))
+    return got.join(whole, "platform").withColumn("percentage", percent("supply", "_whole")).drop("_whole")
 
 
 def dominant(rows: DataFrame) -> DataFrame:

@@ -6,22 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetweave.functions.exprs import finite, half_up
+from assetweave.operators.ordered import PIECES, in_pieces, running, stored
 
 
-def ranked(rows: DataFrame, measure: Column, by: list[Column], buckets: int = 64) -> DataFrame:
+def ranked(rows: DataFrame, measure: Column, by: list[Column], tie: Column | None = None, buckets: int = PIECES) -> DataFrame:
     """rows with rank, from 1, in the order of by, without a window over all rows.
 
-    measure: a number, never null, that never falls in the order of by. Its approximate quantiles, up to buckets
-    numbers, cut the rows into ranges by their values alone, so that the two uses of the ranges agree; each range ranks its
-    own rows and adds the rows of the ranges before it.
+    measure: a number, never null, that never falls in the order of by; tie: one that doesn't where measure is equal. Their
+    approximate quantiles cut the rows into pieces; each piece ranks its own rows and adds the rows of the pieces before it.
+    rows are worked out once, as the quantiles, the pieces' sizes and the ranks all need them.
     """
-    placed = rows.withColumn("_m", measure.cast("double"))
-    cuts = sorted(set(placed.approxQuantile("_m", [k / buckets for k in range(1, buckets)], 1 / (4 * buckets)) if buckets > 1 else []))
-    placed = placed.withColumn("_p", F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c <= F.col("_m"))))
-    sizes = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
-    own = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*by)))
-    return own.join(F.broadcast(before), "_p").withColumn("rank", F.col("_before") + F.col("_r")).drop("_p", "_m", "_r", "_before")
+    placed = in_pieces(stored(rows, "ranked"), [], measure, tie, buckets)
+    return running(placed, [], by, {"rank": F.lit(1)})
 
 
 def top(rows: DataFrame, n: int, *by: Column) -> DataFrame:
@@ -30,9 +26,10 @@ def top(rows: DataFrame, n: int, *by: Column) -> DataFrame:
 
 def top_per_group(rows: DataFrame, group: str, k: int, *by: Column) -> DataFrame:
     """The first k rows of each group with place, and more: how many follow."""
-    w = Window.partitionBy(group)
-    got = rows.withColumns({"place": F.row_number().over(w.orderBy(*by)), "n": F.count(F.lit(1)).over(w)})
-    return got.where(F.col("place") <= k).withColumn("more", F.greatest(F.lit(0), F.col("n") - k)).drop("n")
+    # a row number with a limit is cut down before the shuffle, and so are counts
+    best = rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*by))).where(F.col("place") <= k)
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    return best.join(sizes, group).withColumn("more", F.greatest(F.lit(0), F.col("_size") - k)).drop("_size")
 
 
 def top_and_others(rows: DataFrame, label: str, measure: str, n: int = 8) -> DataFrame:

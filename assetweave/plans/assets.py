@@ -9,8 +9,9 @@ from assetweave.functions import taxonomy as tx
 from assetweave.functions.exprs import finite
 from assetweave.operators import merge
 from assetweave.operators.filters import market_data_valid, supply_data_valid
+from assetweave.operators.ordered import text_number
 from assetweave.operators.views import ranked
-from assetweave.plans.bindings import SRC_ASSET, asset_platform, chain_history, src_asset, with_
+from assetweave.plans.bindings import SOURCE_NAMES, SRC_ASSET, asset_platform, chain_history, src_asset, table, with_
 from assetweave.registry import query
 
 
@@ -92,7 +93,7 @@ def merge_assets(spark: SparkSession, d: str) -> DataFrame:
 @query("rank_assets", with_(*ALL, body="SELECT asset_key, name, mcap, row_number() OVER (ORDER BY coalesce(mcap, 0) DESC, asset_key) AS rank FROM merged WHERE (name IS NOT NULL OR symbol IS NOT NULL) AND price IS NOT NULL"))
 def rank_assets(spark: SparkSession, d: str) -> DataFrame:
     rows = merged(spark, d).where("(name IS NOT NULL OR symbol IS NOT NULL) AND price IS NOT NULL").select("asset_key", "name", "mcap")
-    return ranked(rows, -F.coalesce("mcap", F.lit(0.0)), [F.coalesce("mcap", F.lit(0.0)).desc(), F.col("asset_key")])
+    return ranked(rows, -F.coalesce("mcap", F.lit(0.0)), [F.coalesce("mcap", F.lit(0.0)).desc(), F.col("asset_key")], text_number("asset_key"))
 
 
 @query("union_tags", with_(*ASSETS, body="SELECT asset_key, array_to_string(list_sort(list_distinct(flatten(list(tags)))), '|') AS tags FROM keyed GROUP BY asset_key"))
@@ -175,17 +176,28 @@ def supply_valid(spark: SparkSession, d: str) -> DataFrame:
     return merged(spark, d).groupBy(supply_data_valid().alias("valid")).agg(F.count(F.lit(1)).alias("n"))
 
 
-SIMILAR = """
-names AS (SELECT asset_key, min(source) AS source, min(lower(trim(name))) AS name FROM keyed WHERE key % 4 = seq GROUP BY 1 HAVING min(source) = max(source)),
-blocked AS (SELECT *, array_to_string(string_split(name, ' ')[1:2], ' ') AS block, unnest([length(name) // 8, length(name) // 8 + 1]) AS size FROM names)"""
+SPELLED = """
+spelled AS (SELECT asset_key, source, CASE WHEN key % 2 = 1 THEN left(name, key % 19) || '~' || substr(name, key % 19 + 2) ELSE name END AS name
+  FROM (SELECT p_partkey AS key, 'A' || p_partkey AS asset_key, (['cmc', 'messari', 'coingecko', 'defillama'])[(p_partkey % 4)::INT + 1] AS source, left(md5((p_partkey // 2)::VARCHAR), 18) || ' token' AS name FROM part)),
+names AS (SELECT asset_key, min(lower(trim(name))) AS name, list(DISTINCT source) AS sources FROM spelled GROUP BY 1)"""
 
 
-@query("align_by_name_similarity", with_(*ASSETS, SIMILAR, body="""
-SELECT DISTINCT a.asset_key AS left_key, b.asset_key AS right_key, round(1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)), 6) AS likeness
-FROM blocked a JOIN blocked b ON a.block = b.block AND a.size = b.size AND a.asset_key < b.asset_key AND a.source <> b.source
+def spelled(spark: SparkSession, d: str) -> DataFrame:
+    """Each part as an asset that one source lists; two parts in turn have one name, which one source misspells."""
+    key = F.col("p_partkey")
+    name = F.concat(F.left(F.md5(F.floor(key / 2).cast("string")), F.lit(18)), F.lit(" token"))
+    source = F.element_at(F.array(*map(F.lit, SOURCE_NAMES)), (key % 4 + 1).cast("int"))
+    wrong = F.concat(F.expr("substring(name, 1, cast(p_partkey % 19 AS int))"), F.lit("~"), F.expr("substring(name, cast(p_partkey % 19 + 2 AS int))"))
+    rows = table(spark, d, "part").withColumn("name", name)
+    return rows.select(F.concat(F.lit("A"), key).alias("asset_key"), source.alias("source"), F.when(key % 2 == 1, wrong).otherwise(F.col("name")).alias("name"))
+
+
+@query("align_by_name_similarity", with_(SPELLED, body="""
+SELECT a.asset_key AS left_key, b.asset_key AS right_key, round(1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)), 6) AS likeness
+FROM names a JOIN names b ON a.asset_key < b.asset_key AND NOT list_has_any(a.sources, b.sources)
 WHERE 1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)) >= 0.8"""))
 def align_by_name_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return merge.similar_names(keyed(spark, d).where("key % 4 = seq")).select("left_key", "right_key", F.round("likeness", 6).alias("likeness"))
+    return merge.similar_names(spelled(spark, d)).select("left_key", "right_key", F.round("likeness", 6).alias("likeness"))
 
 
 NETWORKS = """

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assetweave.operators import health as h
 from assetweave.operators import merge
+from assetweave.operators.ordered import in_pieces, running
 from assetweave.plans.assets import ASSETS, CONFLICTS, keyed
 from assetweave.plans.bindings import CALL_LOG, call_log, with_
 from assetweave.registry import query
@@ -176,14 +177,9 @@ POINTS = "points AS (SELECT ts, sum(CASE WHEN success THEN 0 ELSE 1 END) OVER (O
 
 
 def points(spark: SparkSession, d: str) -> DataFrame:
-    """Totals of conflicts over time: here the failures so far, by day first, so that no window spans all rows."""
-    from pyspark.sql import Window
-
-    log = call_log(spark, d).withColumns({"day": F.to_date("ts"), "one": F.when(F.col("success"), 0).otherwise(1)})
-    days = log.groupBy("day").agg(F.sum("one").alias("n"))
-    before = days.select("day", (F.sum("n").over(Window.orderBy("day")) - F.col("n")).alias("before"))
-    within = F.sum("one").over(Window.partitionBy("day").orderBy("ts", "id"))
-    return log.withColumn("within", within).join(F.broadcast(before), "day").select("ts", (F.col("before") + F.col("within")).alias("total"))
+    """Totals of conflicts over time: here the failures so far, in pieces, so that no window spans all rows."""
+    log = call_log(spark, d).select("ts", "id", F.when(F.col("success"), 0).otherwise(1).alias("one"))
+    return running(in_pieces(log, [], h.micros("ts"), F.col("id")), [], [F.col("ts"), F.col("id")], {"total": F.col("one")}).select("ts", "total")
 
 
 TREND = """

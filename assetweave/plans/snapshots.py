@@ -1,28 +1,21 @@
 """Queries on snapshots: raw payloads made from the tables, read by the scans' schemas and standardized.
 
 The scans read files; here the payload of each source is written as JSON to a folder first, so that a query covers
-scan, projection and all. The folder is spark.checkpoint.dir, or a temporary one where that is unset.
+scan, projection and all. The folder is in spark.checkpoint.dir.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetweave.operators import standardize as st
+from assetweave.operators.ordered import shared_path as folder
 from assetweave.plans.bindings import SRC_ASSET, asset_platform, src_asset, with_
 from assetweave.registry import query
 from assetweave.sources import snapshots as sn
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-snapshots-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
-
-
 def landed(spark: SparkSession, name: str, rows: DataFrame) -> str:
     """rows (payload) as one JSON document a file."""
     path = folder(spark, name)
@@ -55,7 +48,7 @@ def metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pegged(spark: SparkSession, d: str) -> DataFrame:
-    plats = asset_platform(spark, d).where("supply > 0 AND pos % 6 = 0").groupBy(F.col("key").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("platform", F.struct(F.create_map(F.lit("peggedUSD"), F.col("supply")).alias("current"))))).alias("chainCirculating"))
+    plats = asset_platform(spark, d).where("supply > 0").groupBy(F.col("key").alias("k")).agg(F.map_from_entries(F.collect_list(F.struct("platform", F.struct(F.create_map(F.lit("peggedUSD"), F.col("supply")).alias("current"))))).alias("chainCirculating"))
     rows = of(spark, d, 3).join(plats, F.col("key") == F.col("k"), "left")
     code = F.when(F.col("peg") == "Gold", "XAU").otherwise(F.upper("peg"))
     peg = F.concat(F.lit("pegged"), code)
@@ -105,7 +98,7 @@ def std_supply_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("std_chain_supply", with_(SRC_ASSET, body="""
-, plats AS (SELECT l_partkey AS k, count(*) AS n, sum(q) AS supply FROM (SELECT l_partkey, n_nationkey, sum(l_quantity) AS q FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE n_nationkey % 6 = 0 AND l_partkey % 9 <> 0 GROUP BY 1, 2) WHERE q > 0 GROUP BY 1)
+, plats AS (SELECT l_partkey AS k, count(*) AS n, sum(q) AS supply FROM (SELECT l_partkey, n_nationkey, sum(l_quantity) AS q FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_partkey % 9 <> 0 GROUP BY 1, 2) WHERE q > 0 GROUP BY 1)
 SELECT key::VARCHAR AS id, replace(lower(name), ' ', '-') AS slug, round(circulating * price, 4) AS mcap, coalesce(n, 0) AS n_networks, round(coalesce(supply, 0) / circulating * 100, 4) AS percentage, 3 AS n_tags FROM src_asset LEFT JOIN plats ON k = key WHERE seq = 3"""))
 def std_chain_supply(spark: SparkSession, d: str) -> DataFrame:
     rows = st.std_chain_supply(pegged(spark, d))

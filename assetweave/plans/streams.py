@@ -10,17 +10,22 @@ from assetweave.operators import merge
 from assetweave.operators.health import error_type
 from assetweave.plans.bindings import CALL_LOG, SRC_ASSET, call_log, src_asset, with_
 from assetweave.plans.classes import RAW, VIOLATIONS, raw_json
+from assetweave.plans.log import KIND, _breaker
 from assetweave.plans.snapshots import folder
 from assetweave.registry import query
 from assetweave.streaming import jobs
 
 
 def landed_log(spark: SparkSession, d: str, pieces: int = 3) -> DataFrame:
-    """The call log as a stream of files, by time, so that triggers come in order."""
+    """The call log as files that land one after another, by time; each is a trigger."""
     path = folder(spark, "calls")
     log = call_log(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    log.repartitionByRange(pieces, "ts").write.parquet(path)
-    return jobs.read_stream(spark, path, log.schema)
+    number = F.unix_micros("ts")
+    cuts = log.agg(F.percentile_approx(number, F.array(*[F.lit(k / pieces) for k in range(1, pieces)]))).first()[0] or []
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = log if low is None else log.where(number >= low)
+        (part if high is None else part.where(number < high)).coalesce(1).write.mode("append").parquet(path)
+    return jobs.read_stream(spark, path, log.schema, files=1)
 
 
 def result(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
@@ -43,17 +48,47 @@ def stream_conflict_rate(spark: SparkSession, d: str) -> DataFrame:
     return result(spark, jobs.stream_conflict_rate(landed_log(spark, d)), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("stream_breaker")
+#: All calls of each source folded one by one, with the state before each.
+CHANGES = (
+    _breaker(3).split("breaker AS")[0].rstrip().rstrip(",").replace(" WHERE ts > (SELECT max(ts) FROM call_log) - INTERVAL 168 HOUR", "")
+    + ",\nchanges AS (SELECT f.source, c.ts, lag(f.state) OVER (PARTITION BY f.source ORDER BY f.k) AS from_state, f.state, f.failures, f.opened FROM fold f LEFT JOIN calls c ON c.source = f.source AND c.k = f.k)"
+)
+
+
+@query("stream_breaker", with_(CALL_LOG, CHANGES, body="SELECT source, ts, from_state, state, failures, opened FROM changes WHERE from_state IS NOT NULL AND from_state <> state").replace("WITH ", "WITH RECURSIVE ", 1))
 def stream_breaker(spark: SparkSession, d: str) -> DataFrame:
+    """Changes of the breakers; the rows that end triggers depend on how calls are dealt to triggers."""
+    return breaker_rows(spark, d).where("from_state IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+def breaker_rows(spark: SparkSession, d: str) -> DataFrame:
     return result(spark, jobs.stream_breaker(landed_log(spark, d), threshold=3), "append")
 
 
-@query("stream_alerts")
+_RANK = "CASE {0} WHEN 'critical' THEN 3 WHEN 'error' THEN 2 WHEN 'warning' THEN 1 WHEN 'info' THEN 0 END"
+#: Each key's alerts one by one: the alert that is open and its time, and what each event does to it. An event may both end
+#: an alert that is too old and open one.
+ALERT_EVENTS = f"""
+raised AS (SELECT *, row_number() OVER (PARTITION BY source, type ORDER BY ts, id) AS k FROM (
+  SELECT source, CASE WHEN success THEN 'server' ELSE {KIND} END AS type, CASE WHEN success THEN NULL WHEN duration > 100 THEN 'critical' WHEN duration > 50 THEN 'error' WHEN duration > 10 THEN 'warning' ELSE 'info' END AS level, ts, id FROM call_log)),
+walk AS (SELECT source, type, 0::BIGINT AS k, NULL::VARCHAR AS open_level, NULL::TIMESTAMP AS since, NULL::VARCHAR AS old_level, NULL::TIMESTAMP AS old_since, NULL::VARCHAR AS event, NULL::VARCHAR AS event_level, NULL::TIMESTAMP AS ts FROM (SELECT DISTINCT source, type FROM raised)
+  UNION ALL
+  SELECT source, type, k, CASE WHEN level IS NULL THEN NULL WHEN event IN ('opened', 'upgraded') THEN level ELSE live END, CASE WHEN level IS NULL THEN NULL WHEN event IN ('opened', 'upgraded') THEN ts ELSE since END,
+    CASE WHEN gone THEN open_level END, CASE WHEN gone THEN since END, event, CASE WHEN event = 'resolved' THEN live ELSE level END, ts
+  FROM (SELECT *, CASE WHEN level IS NULL AND live IS NOT NULL THEN 'resolved' WHEN level IS NULL THEN NULL WHEN live IS NULL THEN 'opened' WHEN {_RANK.format("level")} > {_RANK.format("live")} THEN 'upgraded' END AS event
+    FROM (SELECT r.source, r.type, r.k, r.level, r.ts, w.open_level, w.since, coalesce(w.since + INTERVAL 7 DAY <= r.ts, false) AS gone, CASE WHEN w.since + INTERVAL 7 DAY <= r.ts THEN NULL ELSE w.open_level END AS live
+      FROM walk w JOIN raised r ON r.source = w.source AND r.type = w.type AND r.k = w.k + 1)))"""
+
+
+@query("stream_alerts", with_(CALL_LOG, ALERT_EVENTS, body="""
+SELECT source, type, event, event_level AS level, ts FROM walk WHERE event IS NOT NULL
+UNION ALL SELECT source, type, 'expired', old_level, old_since FROM walk WHERE old_level IS NOT NULL
+UNION ALL SELECT source, type, 'expired', open_level, since FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY source, type ORDER BY k DESC) = 1) WHERE open_level IS NOT NULL AND since + INTERVAL 7 DAY < (SELECT max(ts) FROM call_log) - INTERVAL 10 MINUTE""").replace("WITH ", "WITH RECURSIVE ", 1))
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     level = F.when(F.col("success"), F.lit(None)).when(F.col("duration") > 100, "critical").when(F.col("duration") > 50, "error").when(F.col("duration") > 10, "warning").otherwise("info")
     kind = F.when(F.col("success"), "server").otherwise(error_type())
-    alerts = landed_log(spark, d).select("source", kind.alias("type"), level.alias("level"), "ts").withWatermark("ts", jobs.LATENESS)
-    return result(spark, jobs.stream_alerts(alerts), "append")
+    alerts = landed_log(spark, d).select("source", kind.alias("type"), level.alias("level"), "ts", "id").withWatermark("ts", jobs.LATENESS)
+    return result(spark, jobs.stream_alerts(alerts), "append").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("stream_refresh", with_(SRC_ASSET, body="SELECT upper(coalesce(symbol, slug, name)) AS asset_key, arg_max(mcap, prio * 1000 - seq) AS mcap, count(*) AS n_sources FROM src_asset GROUP BY 1"))

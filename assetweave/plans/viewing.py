@@ -9,19 +9,20 @@ from assetweave.functions import exprs
 from assetweave.functions import taxonomy as tx
 from assetweave.operators import filters as fl
 from assetweave.operators import merge, views
+from assetweave.operators.ordered import text_number
 from assetweave.operators.standardize import view_row_valid
 from assetweave.plans.assets import ALL, ASSETS, CONFLICTS, keyed, merged
 from assetweave.plans.bindings import ASSET_PLATFORM, asset_platform, table, with_
 from assetweave.registry import query
 
 VIEW = """
-plats AS (SELECT 'A' || key AS asset_key, list(platform) AS platforms FROM asset_platform WHERE pos % 4 = 0 GROUP BY 1),
+plats AS (SELECT 'A' || key AS asset_key, list(platform) AS platforms FROM asset_platform GROUP BY 1),
 vw AS (SELECT m.*, coalesce(len(platforms), 0) AS n_platforms, coalesce(platforms, []) AS platforms, asset_key IN (SELECT asset_key FROM conflicts) AS conflicted FROM merged m LEFT JOIN plats USING (asset_key))"""
 V = (*ALL, CONFLICTS, ASSET_PLATFORM, VIEW)
 
 
 def view(spark: SparkSession, d: str) -> DataFrame:
-    plats = asset_platform(spark, d).where("pos % 4 = 0").groupBy(F.concat(F.lit("A"), "key").alias("asset_key")).agg(F.collect_list("platform").alias("platforms"))
+    plats = asset_platform(spark, d).groupBy(F.concat(F.lit("A"), "key").alias("asset_key")).agg(F.collect_list("platform").alias("platforms"))
     bad = merge.field_conflicts(keyed(spark, d), ["peg", "category", "website"]).select("asset_key").distinct().withColumn("conflicted", F.lit(True))
     rows = merged(spark, d).join(plats, "asset_key", "left").join(bad, "asset_key", "left")
     return rows.withColumns({"platforms": F.coalesce("platforms", F.array().cast("array<string>")), "n_platforms": F.coalesce(F.size("platforms"), F.lit(0)), "conflicted": F.coalesce("conflicted", F.lit(False))})
@@ -95,7 +96,9 @@ def rank_by_category(spark: SparkSession, d: str) -> DataFrame:
     by = [F.when(F.col("category") == "Stablecoin", 0).otherwise(1), F.col("mcap").desc_nulls_last(), F.col("asset_key")]
     # a cap is under 1e18, so the blocks don't mix
     measure = F.when(F.col("category") == "Stablecoin", 0.0).otherwise(1e19) - F.coalesce("mcap", F.lit(-1e18))
-    return views.ranked(merged(spark, d).select("asset_key", "category", "mcap"), measure, by)
+    # rows of one measure differ in cap, or have none and go by key
+    tie = F.when(F.col("mcap").isNull(), text_number("asset_key").cast("double")).otherwise(-F.col("mcap"))
+    return views.ranked(merged(spark, d).select("asset_key", "category", "mcap"), measure, by, tie)
 
 
 @query("top_assets", with_(*ALL, body="SELECT asset_key, mcap FROM merged WHERE mcap IS NOT NULL ORDER BY mcap DESC, asset_key LIMIT 20"))

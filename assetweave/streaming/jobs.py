@@ -1,7 +1,8 @@
 """Structured Streaming forms of the call-log jobs. Event time stands for the clock, so results can be repeated.
 
 Each job takes a streaming frame and returns one; start() runs it with a checkpoint. Late rows beyond the watermark are
-dropped by the windows; the stateful jobs order the calls of one trigger by time and take triggers in turn.
+dropped by the windows; the stateful jobs order the calls of one trigger by time and take triggers in turn. They hold a
+key's calls of one trigger, which read_stream bounds by the files it takes.
 """
 
 from __future__ import annotations
@@ -71,8 +72,10 @@ def stream_breaker(log: DataFrame, threshold: int = FAILURES, timeout_s: float =
 def stream_alerts(alerts: DataFrame, retention_days: int = 7) -> DataFrame:
     """Rows (source, type, event, level, ts) as alerts of (source, type) are opened, upgraded, resolved and expire.
 
-    alerts: source, type, level (null: recovered), ts, with a watermark on ts.
+    alerts: source, type, level (null: recovered), ts, id, with a watermark on ts. An alert expires when it is older than
+    the retention at the next event of its key, or when the watermark gets there; the row has the alert's own ts.
     """
+    kept = retention_days * 86_400_000_000
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         columns = ["source", "type", "event", "level", "ts"]
@@ -83,7 +86,10 @@ def stream_alerts(alerts: DataFrame, retention_days: int = 7) -> DataFrame:
             return
         level, first = state.get if state.exists else (None, 0)
         out = []
-        for ts, new in pd.concat(list(frames)).sort_values("ts")[["ts", "level"]].itertuples(index=False):
+        for ts, new in pd.concat(list(frames)).sort_values(["ts", "id"])[["ts", "level"]].itertuples(index=False):
+            if level is not None and first + kept <= ts.value // 1000:
+                out.append((*key, "expired", level, pd.Timestamp(first, unit="us")))
+                level = None
             if new is None:
                 if level is not None:
                     out.append((*key, "resolved", level, ts))
@@ -96,7 +102,7 @@ def stream_alerts(alerts: DataFrame, retention_days: int = 7) -> DataFrame:
                 state.remove()
         else:
             state.update((level, first))
-            state.setTimeoutTimestamp(max(first // 1000 + retention_days * 86_400_000, state.getCurrentWatermarkMs() + 1))
+            state.setTimeoutTimestamp(max((first + kept) // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=columns)
 
     return alerts.groupBy("source", "type").applyInPandasWithState(step, "source string, type string, event string, level string, ts timestamp", "level string, ts long", "append", GroupStateTimeout.EventTimeTimeout)
