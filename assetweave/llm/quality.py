@@ -1,7 +1,8 @@
 """Quality scores by a naive Bayes support vector machine.
 
 A document's features are indicators of n-grams: runs of one to three characters by class (letters by case,
-digits, punctuation by kind), runs of up to four words by whether each repeats the one before it, and hashed words. Each indicator is scaled by the logarithm of the ratio of the two classes' smoothed document
+digits, punctuation by kind), runs of up to four words by whether each repeats the one before it, hashed words and hashed
+pairs of words. Each indicator is scaled by the logarithm of the ratio of the two classes' smoothed document
 counts; a linear hinge-loss model on the scaled indicators is fitted by dual coordinate descent, and its margin
 is turned into a probability by a logistic curve fitted on labelled rows that the margin hasn't seen.
 
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetweave.llm.common import arrow_limits, unused
-from assetweave.llm.shingles import buffers, word_hashes
+from assetweave.llm.shingles import BASE, buffers, mixed, word_hashes
 
 #: Most labelled rows that the hinge-loss model is fitted on.
 SAMPLE = 6_000
@@ -47,8 +48,9 @@ CLASS[ord("a") : ord("z") + 1], CLASS[ord("A") : ord("Z") + 1], CLASS[ord("0") :
 
 SHAPES = 32 + 32**2 + 32**3
 REPEATS = 2 + 4 + 8 + 16
+#: Words and pairs of words are hashed to so many numbers each.
 HASHED = 1 << 17
-FEATURES = SHAPES + REPEATS + HASHED
+FEATURES = SHAPES + REPEATS + 2 * HASHED
 #: Rows for which one table of indicators is kept.
 ROWS = 200
 
@@ -85,11 +87,14 @@ def _indicators(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             inside = row[: len(pattern)] == row[n - 1 :]
             small[row[: len(pattern)][inside] * wide + low + pattern[inside]] = True
             low += 2**n
-        big = np.unique(row * HASHED + (words % np.uint64(HASHED)).astype(np.int64))
+        inside = row[1:] == row[:-1]
+        pairs = mixed(words[:-1][inside] * BASE + words[1:][inside])
+        hashed = [(words % np.uint64(HASHED)).astype(np.int64), (pairs % np.uint64(HASHED)).astype(np.int64) + HASHED]
+        big = np.unique(np.concatenate([row, row[1:][inside]]) * (2 * HASHED) + np.concatenate(hashed))
     on = np.flatnonzero(small)
     r, c = np.divmod(on, wide)
     own = c < wide - 1
-    return np.concatenate([r[own], big // HASHED]), np.concatenate([c[own], big % HASHED + SHAPES + REPEATS])
+    return np.concatenate([r[own], big // (2 * HASHED)]), np.concatenate([c[own], big % (2 * HASHED) + SHAPES + REPEATS])
 
 
 def indicators(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
