@@ -29,9 +29,8 @@ PAGES = 800
 STEPS = 200
 
 TAGS = {t: k for k, t in enumerate("#root html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tbody tr td th blockquote pre figure figcaption nav header footer aside form fieldset label button details summary address center head a b strong em i span code small font".split())}
-WORDS = {w: k for k, w in enumerate(sorted({"comment", "reply", "navigation", "complementary", "contentinfo", "subnav", "dropdown", "footnotes", "promoted", "overlay", "dialog", "tooltip", "feedback", "outbrain", "taboola", "pagination", "pager"} | {p for group in (lp.CONTENT, lp.MENU, lp.SIDE, lp.ADVERT, lp.NOTICE, lp.FORM, lp.COMMENTS, lp.HEADER, lp.FOOTER, lp.SHARE) for name in group for p in name.lower().split("-")}))}
-#: Words that belong to no layout of the training pages, each standing for one that does.
-LIKE = {"navigation": "nav", "complementary": "sidebar", "contentinfo": "footer", "subnav": "nav", "dropdown": "menu", "footnotes": "legal", "promoted": "promo", "overlay": "popup", "dialog": "modal", "tooltip": "popup", "feedback": "comments", "outbrain": "ads", "taboola": "ads", "pagination": "nav", "pager": "nav", "cookies": "cookie", "footers": "footer", "headers": "header", "comments": "comments", "adverts": "advert", "adsense": "ads", "articletext": "text"}
+#: Words of the names of classes that the training pages have.
+WORDS = {w: k for k, w in enumerate(sorted({p for group in (lp.CONTENT, lp.MENU, lp.SIDE, lp.ADVERT, lp.NOTICE, lp.FORM, lp.COMMENTS, lp.HEADER, lp.FOOTER, lp.SHARE) for name in group for p in name.lower().split("-")}))}
 N_TAGS, N_WORDS = len(TAGS) + 1, len(WORDS)
 #: One feature for each tag and word, then always-on, link-share and length steps.
 LINK, LENGTH = 4, 4
@@ -74,7 +73,7 @@ class Forest:
         share = linked / np.maximum(length, 1)
         base = N_TAGS + N_WORDS
         nodes, features = [np.arange(n)], [np.array([TAGS.get(x, N_TAGS - 1) for x in tags], np.int64)]
-        hinted = [(k, WORDS[v]) for k, ws in enumerate(w for t in trees for w in t.words) if ws for v in {LIKE.get(w, w) for w in ws} if v in WORDS]
+        hinted = [(k, WORDS[v]) for k, ws in enumerate(w for t in trees for w in t.words) if ws for v in set(ws) if v in WORDS]
         for add in (np.array(hinted, np.int64).reshape(-1, 2),):
             nodes.append(add[:, 0])
             features.append(add[:, 1] + N_TAGS)

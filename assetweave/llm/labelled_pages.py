@@ -8,15 +8,15 @@ from __future__ import annotations
 import random
 
 SYLLABLES = "ka lo mi ter sun dar vel po rin est ombra qui tas ner ul fe gra shi bo wen".split()
-CONTENT = ["content", "main-content", "post-content", "entry", "entry-content", "story-body", "article-body", "articleText", "post", "page-body", "text"]
-MENU = ["nav", "menu", "navbar", "main-menu", "breadcrumbs", "topnav", "navigation"]
-SIDE = ["sidebar", "side", "widget", "related", "recommended", "more-stories", "rail", "toc"]
-ADVERT = ["ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "banner", "ad-slot"]
-NOTICE = ["cookie-notice", "consent", "notice", "alert", "gdpr", "popup", "modal", "paywall", "disclaimer"]
+CONTENT = ["content", "main-content", "post-content", "entry", "entry-content", "story-body", "article-body", "articleText", "post", "page-body", "text", "articletext"]
+MENU = ["nav", "menu", "navbar", "main-menu", "breadcrumbs", "topnav", "navigation", "subnav", "dropdown", "pagination", "pager"]
+SIDE = ["sidebar", "side", "widget", "related", "recommended", "more-stories", "rail", "toc", "complementary"]
+ADVERT = ["ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "banner", "ad-slot", "adverts", "adsense", "promoted", "outbrain", "taboola"]
+NOTICE = ["cookie-notice", "consent", "notice", "alert", "gdpr", "popup", "modal", "paywall", "disclaimer", "cookies", "overlay", "dialog", "tooltip"]
 FORM = ["newsletter", "subscribe", "signup", "search", "login", "contact-form"]
-COMMENTS = ["comments", "comment-list", "disqus", "responses", "replies", "discussion", "reader-comments"]
-HEADER = ["header", "site-header", "masthead", "top", "logo", "branding"]
-FOOTER = ["footer", "site-footer", "copyright", "legal", "bottom"]
+COMMENTS = ["comments", "comment-list", "disqus", "responses", "replies", "discussion", "reader-comments", "comment-reply", "feedback"]
+HEADER = ["header", "site-header", "masthead", "top", "logo", "branding", "headers"]
+FOOTER = ["footer", "site-footer", "copyright", "legal", "bottom", "footers", "footnotes", "contentinfo"]
 SHARE = ["share", "social", "share-buttons", "tags", "byline-links"]
 
 
