@@ -159,7 +159,7 @@ def unit_hashes(units: pa.Array) -> np.ndarray:
 class Memory:
     """Ids of units by two hashes of each, as sorted arrays; of more than MOST units those not used lately go."""
 
-    MOST = 1_000_000
+    MOST = 600_000
 
     def __init__(self) -> None:
         self.keys, self.used, self.turn = np.empty((2, 0), np.uint64), np.empty(0, np.int32), 0
@@ -245,7 +245,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str) -> None:
             yield pa.RecordBatch.from_arrays([batch["piece"], pa.array(np.arange(place, place + len(lists))), batch["doc_id"], lists], names=["piece", "place", "doc_id", "ids"])
             place += len(lists)
 
-    with arrow_batches(docs.sparkSession, rows=2500):
+    with arrow_batches(docs.sparkSession, rows=1500):
         rows = dealt(docs, partitions(docs.sparkSession)).mapInArrow(encode, STORED)
         (
             rows.write.option("orc.compress", "ZSTD").option("orc.stripe.size", STRIPE_BYTES).option("orc.create.index", "true").option("orc.row.index.stride", ROW_INDEX)
