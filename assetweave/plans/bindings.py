@@ -13,7 +13,10 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def src_asset(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per asset and source that lists it, as the sources would give it."""
+    """One row per asset and source that lists it, as the sources would give it.
+
+    A source lists four fifths of the assets that it has sales of, so that sources disagree on what there is.
+    """
     sold = (
         table(spark, folder, "lineitem").groupBy(F.col("l_partkey").alias("key"), (F.col("l_suppkey") % 4).cast("int").alias("seq"))
         .agg(F.round(F.sum("l_extendedprice"), 2).alias("mcap"), F.round(F.sum("l_quantity"), 2).alias("volume"))
