@@ -397,7 +397,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, most: int
     forest = Forest(classes, least, most)
 
     def confirm(found: DataFrame) -> DataFrame:
-        return links_of(docs, written(found.where("a IS NOT NULL").select("a", "b", "part_a", "part_b").distinct(), "pairs"), width, least, most)
+        pairs = written(found.where("a IS NOT NULL").select("a", "b", "part_a", "part_b").distinct(), "pairs")
+        links = links_of(docs, pairs, width, least, most)
+        remove(spark, pairs)
+        return links
 
     def contracted(new: DataFrame, parts: DataFrame) -> DataFrame:
         """The parts (id, component_id) after links of parts."""
@@ -414,8 +417,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: int = 80, most: int
         asked = written(forest.open_rows(parts, TREES, blocks).select(F.col("id").alias("doc_id")).distinct(), "asked")
         sets = sets_of(docs, asked, width).select(F.col("doc_id").alias("id"), F.xxhash64("set_key").alias("number"), "shingles")
         parts = contracted(written(forest.compared(parts, blocks, sets), "links"), parts)
+        remove(spark, asked)
     forest.remove()
-    remove(spark, classes)
+    for df in (classes, swept, found, blocks):
+        remove(spark, df)
     roots = members.join(parts, "id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component_id", "id")).alias("component_id"))
     out = each.select("doc_id", "n_shingles", "set_key").join(roots, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
