@@ -19,12 +19,12 @@ PIECES = 64
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share; on one machine a temporary one will do."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
