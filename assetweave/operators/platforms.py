@@ -85,8 +85,9 @@ def allocated(rows: DataFrame) -> DataFrame:
 def rollup(rows: DataFrame) -> DataFrame:
     """Per platform of allocated rows (key, symbol, platform, supply, alloc): caps, counts, supply and share."""
     got = rows.groupBy("platform").agg(F.sum("alloc").alias("mcap_sum"), F.count(F.lit(1)).alias("coin_count"), F.sum(F.when(F.col("supply") > 0, F.col("supply")).otherwise(0.0)).alias("total_supply"))
-    whole = got.agg(F.sum("total_supply").alias("all_supply"))
-    return got.join(F.broadcast(whole)).select("platform", slugify("platform").alias("uri"), "mcap_sum", "coin_count", "total_supply", percent("total_supply", "all_supply").alias("supply_percentage"))
+    # one row a platform by now, so the window over all of them is small
+    got = got.withColumn("all_supply", F.sum("total_supply").over(Window.partitionBy()))
+    return got.select("platform", slugify("platform").alias("uri"), "mcap_sum", "coin_count", "total_supply", percent("total_supply", "all_supply").alias("supply_percentage"))
 
 
 def breakdown(rows: DataFrame) -> DataFrame:

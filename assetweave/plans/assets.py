@@ -72,6 +72,16 @@ def source_priority_effective(spark: SparkSession, d: str) -> DataFrame:
     return merge.effective_priority(src_asset(spark, d), over, F.col("prio")).groupBy("source", "priority").agg(F.count(F.lit(1)).alias("n"))
 
 
+GIVEN = ["price", "mcap", "volume", "rank", "circulating", "total", "description", "website", "date_added"]
+
+
+@query("source_capabilities", with_(SRC_ASSET, body=f"""
+SELECT *, row_number() OVER (PARTITION BY field ORDER BY prio DESC) AS place
+FROM ({" UNION ALL ".join(f"SELECT '{f}' AS field, source, max(prio) AS prio, count({f}) AS n FROM src_asset GROUP BY source" for f in GIVEN)}) WHERE n > 0"""))
+def source_capabilities(spark: SparkSession, d: str) -> DataFrame:
+    return merge.capabilities(src_asset(spark, d), GIVEN)
+
+
 @query("align_by_symbol", with_(*ASSETS, body="SELECT asset_key, count(*) AS n_entries, count(DISTINCT source) AS n_sources FROM keyed GROUP BY asset_key"))
 def align_by_symbol(spark: SparkSession, d: str) -> DataFrame:
     return keyed(spark, d).groupBy("asset_key").agg(F.count(F.lit(1)).alias("n_entries"), F.countDistinct("source").alias("n_sources"))
