@@ -38,15 +38,11 @@ def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def line_key(line: Column) -> Column:
-    bare = F.trim(line, F.lit(ENDS))
-    return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(F.translate(bare, ascii_uppercase, ascii_lowercase))
-
-
-def key_hash(line: Column, least_chars: int) -> Column:
-    """MD5 of the line's key; null for keys under the least length."""
-    key = line_key(line)
-    return F.when(F.length(key) >= least_chars, F.md5(key))
+def key_hashes(text: Column, least_chars: int) -> Column:
+    """MD5 of the key of each line; null for keys under the least length. Each step is worked out once a line."""
+    bare = F.transform(lines(text), lambda x: F.trim(x, F.lit(ENDS)))
+    keys = F.transform(bare, lambda x: F.when(F.octet_length(x) == F.length(x), F.lower(x)).otherwise(F.translate(x, ascii_uppercase, ascii_lowercase)))
+    return F.transform(keys, lambda x: F.when(F.length(x) >= least_chars, F.md5(x)))
 
 
 class Run:
@@ -100,7 +96,7 @@ class LineRuns:
 
     def counts(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """(key, n) of a batch: in how many rows of docs each key is, but for the settled ones."""
-        hashes = F.transform(lines(F.col(text)), lambda x: key_hash(x, self.least_chars))
+        hashes = key_hashes(F.col(text), self.least_chars)
         new = docs.select(F.explode(F.array_distinct(F.array_compact(hashes))).alias("key")).select(F.unhex("key").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
         if self.done is None:
             return new
@@ -167,8 +163,8 @@ def drop_lines(docs: DataFrame, runs: LineRuns, text: str = "text") -> DataFrame
     if settled.count() <= BROADCAST_KEYS:
         settled = F.broadcast(settled)
     own, body, flags, dropped = unused(docs, "own", "body", "flags", "dropped")
-    numbered = docs.select(F.col("doc_id").alias("own"), F.xxhash64(text).alias("body"), F.size(lines(F.col(text))).alias("n"), F.posexplode(lines(F.col(text))).alias("place", "line"))
-    keyed = numbered.select("own", "body", "n", "place", F.unhex(key_hash(F.col("line"), runs.least_chars)).alias("key")).where("key IS NOT NULL")
+    hashed = docs.select(F.col("doc_id").alias("own"), F.xxhash64(text).alias("body"), key_hashes(F.col(text), runs.least_chars).alias("keys")).withColumn("n", F.size("keys"))
+    keyed = hashed.select("own", "body", "n", F.posexplode("keys").alias("place", "key")).where("key IS NOT NULL").withColumn("key", F.unhex("key"))
     hits = keyed.join(settled, "key").groupBy("own", "body").agg(F.max("n").alias("n"), F.array_sort(F.collect_set("place")).alias("places"))
     # whether each line goes: the lines between two that go stay
     upto = lambda j: F.coalesce(F.get("places", j), F.col("n"))
