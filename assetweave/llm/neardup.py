@@ -6,10 +6,11 @@ common prefixes. Classes with the same first minima, as many as floor_depth says
 threshold is in one block of some tree but for a chance of MISSED.
 
 Candidates are neighbours in these orders. First a sweep goes through some sorted trees and takes the nearest classes
-of the longest common prefixes, whatever the region's depth; their links join most of a group of copies. Regions that are
-of several components after that are searched less and less deep, down to the whole block: its classes of different
-components are compared one and all. So the depth is that of each region's density, and no candidate is left out for
-its block's size. A block of many classes is dealt in chunks; its largest component is not compared with itself.
+of the longest common prefixes, whatever the region's depth; their links join most of a group of copies. A region that
+is one component after that is done, however dense; the others are searched at the least depth, as whole blocks, whose
+classes of different components are compared one and all. So each region is searched as deep as its density allows, and no
+candidate is left out for its block's size. A block of many classes is dealt in chunks; its largest component is not
+compared with itself.
 
 Candidates are compared by their sizes and odd sketches, from which the size of the sets' difference follows with an
 error of a few shingles, where they meet, and never become rows unless they pass. Of what passes in one place only a
