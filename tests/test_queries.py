@@ -1,4 +1,4 @@
-"""Every registered query of the library against its SQL; those without one run."""
+"""Every registered query of the library against its SQL."""
 
 import pytest
 
@@ -12,9 +12,8 @@ def test_query_equals_sql(spark, name):
     check(spark, registry.QUERIES[name], registry.ORACLES[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
-def test_query_runs(spark, name):
-    assert registry.QUERIES[name](spark, DATA).count() >= 0
+def test_every_query_has_sql():
+    assert set(registry.QUERIES) == set(registry.ORACLES)
 
 
 def test_no_python_in_batch_plans(spark):
