@@ -179,14 +179,25 @@ def logistic_fit(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(max(at[0], 1e-6)), float(at[1])
 
 
-def fit_rows(ratio: np.ndarray, documents: list[np.ndarray], label: np.ndarray) -> Model:
-    """The model from the log-count ratios and the sampled documents' features."""
-    rows = []
+def scaled(ratio: np.ndarray, documents: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The features of each document that have a ratio, and these ratios over the row's length where that is over 1.
+
+    All rows are views of two arrays, so that they take eight bytes a feature and go at once.
+    """
+    most = sum(len(f) for f in documents)
+    flat, value, rows, end = np.empty(most, np.int32), np.empty(most, np.float32), [], 0
     for f in documents:
         f = f[ratio[f] != 0]
         v = ratio[f]
-        norm = float(np.sqrt(v @ v)) or 1.0
-        rows.append((f, v / max(norm, 1.0)))
+        start, end = end, end + len(f)
+        flat[start:end], value[start:end] = f, v / max(float(np.sqrt(v @ v)), 1.0)
+        rows.append((flat[start:end], value[start:end]))
+    return rows
+
+
+def fit_rows(ratio: np.ndarray, documents: list[np.ndarray], label: np.ndarray) -> Model:
+    """The model from the log-count ratios and the sampled documents' features."""
+    rows = scaled(ratio, documents)
     sign = np.where(label == 1, 1, -1)
     # margins for the logistic curve come from models that haven't seen the rows
     margin, fold = np.zeros(len(rows)), np.arange(len(rows)) % 3
@@ -223,11 +234,11 @@ def class_counts(rows: DataFrame) -> tuple[np.ndarray, int, int]:
         seen = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(total[0][seen], docs[0])), pa.array(np.append(total[1][seen], docs[1]))], names=["feature", "n0", "n1"])
 
-    found = rows.mapInArrow(counts, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas()
-    own = found[found.feature >= 0]
-    table, docs = np.zeros((2, FEATURES)), found[found.feature < 0]
-    table[0][own.feature], table[1][own.feature] = own.n0, own.n1
-    return table, int(docs.n0.sum()), int(docs.n1.sum())
+    found = rows.mapInArrow(counts, "feature long, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
+    feature, n0, n1 = (found[c].to_numpy() for c in ("feature", "n0", "n1"))
+    own, table = feature >= 0, np.zeros((2, FEATURES))
+    table[0][feature[own]], table[1][feature[own]] = n0[own], n1[own]
+    return table, int(n0[~own].sum()), int(n1[~own].sum())
 
 
 def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, sample: int = SAMPLE) -> Model:
@@ -248,9 +259,13 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column | None = None, sample
             rows = [f.astype(np.int32).tobytes() for f in features(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array(rows, pa.binary())], names=["doc_id", "label", "features"])
 
-    got = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "label", "text").mapInArrow(on, "doc_id long, label int, features binary").toPandas()
-    got = got.sort_values(["doc_id", "features"], kind="stable")
-    return fit_rows(ratio, [np.frombuffer(f, np.int32) for f in got.features], got.label.to_numpy())
+    got = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "label", "text").mapInArrow(on, "doc_id long, label int, features binary").toArrow().combine_chunks()
+    # views of what has come; rows of one doc_id in the order of their features
+    sets = [np.frombuffer(x.as_buffer(), np.int32) for x in got["features"]]
+    ids, label = got["doc_id"].to_pylist(), got["label"].to_numpy()
+    several = len(set(ids)) < len(ids)
+    order = sorted(range(len(ids)), key=lambda k: (ids[k], sets[k].tobytes() if several else b""))
+    return fit_rows(ratio, [sets[k] for k in order], label[order])
 
 
 def score(text: Column, model: Model) -> Column:
