@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), where docs are the rows that the stage before it kept, and returns rows with
 the columns of documents; the last adds slot and shard. Nulls, empty texts, repeated rows and empty tables are as
-the operators define them. Extra columns of docs pass through.
+the operators define them. Extra columns of docs pass through whatever their names, but for copy and shuffle_key, which
+the mixture overwrites, and slot and shard, which the last stage does.
 """
 
 from __future__ import annotations
