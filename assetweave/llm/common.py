@@ -91,3 +91,21 @@ def cut_points(df: DataFrame, key: str, pieces: int) -> list:
     """Up to pieces - 1 values of key that split the rows about evenly. Reads that one column."""
     found = df.where(F.col(key).isNotNull()).approxQuantile(key, [i / pieces for i in range(1, pieces)], 1 / (4 * pieces))
     return sorted({int(x) for x in found})
+
+
+#: Keys that joined_by_size broadcasts, at most; each has over this part of all rows.
+HOT_KEYS = 1000
+
+
+def joined_by_size(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows with the columns of groups, which has one row for each key of rows and in size the number of rows that it stands for.
+
+    The keys of over a HOT_KEYS-th of all rows, which can't be more than HOT_KEYS, are broadcast; the others meet in a
+    join that shuffles, where none of them is large. Keys aren't null. rows and groups are read twice.
+    """
+    most = F.broadcast(groups.agg((F.sum(size) / HOT_KEYS).alias("_most")))
+    named = groups.join(most).select(*groups.columns, (F.col(size) > F.col("_most")).alias("_hot"))
+    hot, cold = named.where("_hot").drop("_hot"), named.where("NOT _hot").drop("_hot")
+    few = rows.join(F.broadcast(hot), keys)
+    many = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return few.unionByName(many)

@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assetweave.llm import chat, decontaminate, extract, fingerprint, linededup, mixing, neardup, quality, sharding, tokenfile
+from assetweave.llm import chat, decontaminate, exactdedup, extract, fingerprint, linededup, mixing, neardup, quality, sharding, tokenfile
 from assetweave.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -65,6 +65,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which row of each group of equal texts stays."""
+    return exactdedup.copy_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_fingerprints": op2_fingerprints,
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
+    "op11_exact_dedup": op11_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
@@ -83,4 +89,5 @@ ORACLES: dict[str, str] = {
     "op5_mixing": mixing.ORACLE,
     "op7_decontamination": decontaminate.ORACLE,
     "op10_line_dedup": linededup.ORACLE,
+    "op11_exact_dedup": exactdedup.ORACLE,
 }
