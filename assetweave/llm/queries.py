@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assetweave.llm import chat, decontaminate, exactdedup, extract, fingerprint, linededup, mixing, neardup, quality, sharding, tokenfile
+from assetweave.llm import chat, decontaminate, exactdedup, extract, fingerprint, linededup, mixing, neardup, prefixtrie, quality, sharding, tokenfile
 from assetweave.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -70,6 +70,11 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.copy_groups(table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all rebuilt conversations."""
+    return prefixtrie.node_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_fingerprints": op2_fingerprints,
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_files": op9_token_files,
     "op10_line_dedup": op10_line_dedup,
     "op11_exact_dedup": op11_exact_dedup,
+    "op12_prefix_trie": op12_prefix_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -90,4 +96,5 @@ ORACLES: dict[str, str] = {
     "op7_decontamination": decontaminate.ORACLE,
     "op10_line_dedup": linededup.ORACLE,
     "op11_exact_dedup": exactdedup.ORACLE,
+    "op12_prefix_trie": prefixtrie.ORACLE,
 }
