@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assetweave.llm import chat, decontaminate, exactdedup, extract, fingerprint, linededup, mixing, neardup, prefixtrie, quality, sharding, tokenfile
+from assetweave.llm import chat, decontaminate, exactdedup, extract, fingerprint, linededup, mixing, neardup, prefixtrie, quality, sharding, spelling, tokenfile
 from assetweave.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -75,6 +75,11 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.node_report(table(spark, sf_dir, "conversations"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents with their forms and roots."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_fingerprints": op2_fingerprints,
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
     "op11_exact_dedup": op11_exact_dedup,
     "op12_prefix_trie": op12_prefix_trie,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLES: dict[str, str] = {
@@ -97,4 +103,5 @@ ORACLES: dict[str, str] = {
     "op10_line_dedup": linededup.ORACLE,
     "op11_exact_dedup": exactdedup.ORACLE,
     "op12_prefix_trie": prefixtrie.ORACLE,
+    "op13_spelling_variants": spelling.ORACLE,
 }
