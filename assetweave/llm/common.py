@@ -89,6 +89,8 @@ def unused(df: DataFrame, *names: str) -> list[str]:
 
 def cut_points(df: DataFrame, key: str, pieces: int) -> list:
     """Up to pieces - 1 values of key that split the rows about evenly. Reads that one column."""
+    if pieces <= 1:
+        return []
     found = df.where(F.col(key).isNotNull()).approxQuantile(key, [i / pieces for i in range(1, pieces)], 1 / (4 * pieces))
     return sorted({int(x) for x in found})
 

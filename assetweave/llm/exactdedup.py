@@ -37,7 +37,8 @@ FILTERS = "snapshot int, shard int, seed long, segment int, segments int, held b
 
 def bare(text: Column) -> Column:
     """The text without white space."""
-    return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
+    # one after another: translate() looks every character up in a table of texts
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), SPACES, F.coalesce(text, F.lit("")))
 
 
 def digest(text: Column) -> Column:
@@ -178,9 +179,9 @@ def copy_groups(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept and text_sha256, of the text without white space."""
     docs = docs.select("doc_id", "text")
     groups = grouped(docs, batches)
-    # rows alike are counted, so that one of them stays
+    # rows alike are counted, so that one of them stays; written, as the join reads them twice
     rows = docs.select("doc_id", digest(F.col("text")).alias("sha"), chars(F.col("text")).alias("size")).groupBy("sha", "doc_id", "size").agg(F.count(F.lit(1)).alias("copies"))
-    found = joined_by_size(rows, groups, ["sha"], "group_size")
+    found = joined_by_size(written(rows, "digests"), groups, ["sha"], "group_size")
     best = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("size") == F.col("keep_size"))
     found = found.select("doc_id", "keep_id", "group_size", best.alias("best"), "sha", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return found.select("doc_id", "keep_id", "group_size", (F.col("best") & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
