@@ -8,12 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assetweave.operators.breaker import FAILURES, TIMEOUT_S, folded
 from assetweave.operators.ordered import before, in_pieces, stored, values_at
 
-FAILURES, TIMEOUT_S, SUCCESSES = 6, 60, 3
 ERROR_RATE, SLOW_MS, LEAST_HEALTHY = 0.3, 10_000.0, 1
-#: Most calls of a source in one array, about; and sources whose calls choose the spans of a fold.
-FOLDED, SOURCES = 500_000, 1_000
 LEVELS = {"info": 0, "warning": 1, "error": 2, "critical": 3}
 
 
@@ -94,56 +92,9 @@ def first_opening(log: DataFrame, threshold: int = FAILURES) -> DataFrame:
     return opened.groupBy("source").agg(F.min(F.struct("ts", "id")).alias("x")).select("source", F.col("x.ts").alias("opened_ts"), F.col("x.id").alias("opened_id"))
 
 
-def breaker_fold(start: Column, calls: Column, kind: str, threshold: int, timeout_s: float) -> Column:
-    """The breaker (state, failures, successes, retry, opened) after an array of calls in order."""
-
-    def step(a: Column, e: Column) -> Column:
-        ok, half, closed = e["success"], a["state"] == "half-open", a["state"] == "closed"
-        recovered = ok & half & (a["successes"] + 1 >= SUCCESSES)
-        failures = F.when(recovered, 0).when(ok & closed, F.greatest(F.lit(0), a["failures"] - 1)).when(ok, a["failures"]).otherwise(a["failures"] + 1)
-        successes = F.when(recovered | ~ok, 0).when(half, a["successes"] + 1).otherwise(a["successes"])
-        opens = ~ok & ((closed & (a["failures"] + 1 >= threshold)) | half)
-        retry = F.when(opens, e["ts"] + F.expr(f"make_interval(0, 0, 0, 0, 0, 0, {float(timeout_s)})")).otherwise(a["retry"])
-        state = F.when(recovered, "closed").when(opens, "open").otherwise(a["state"])
-        due = (state == "open") & (e["ts"] >= retry)
-        return F.struct(F.when(due, "half-open").otherwise(state).alias("state"), failures.alias("failures"), successes.alias("successes"), F.when(due, F.lit(None).cast(kind)).otherwise(retry).alias("retry"), (a["opened"] + opens.cast("int")).alias("opened"))
-
-    return F.aggregate(calls, start, step)
-
-
-def breaker_state(log: DataFrame, days: float = 7.0, threshold: int = FAILURES, timeout_s: float = TIMEOUT_S, most: int = FOLDED) -> DataFrame:
-    """Per source the breaker after its calls of the retained days, folded in order: state, failure count and openings.
-
-    The calls are folded in spans of time of about most calls of a source at the most, one span after another: the
-    state that a span ends with is written and the next span begins with it. So no array holds more than a span's calls of
-    a source; only calls of one instant aren't parted.
-    """
-    kind = dict(log.dtypes)["ts"]
-    calls = recent(log, 24 * days).select("source", "ts", "id", "success")
-    fresh = F.struct(F.lit("closed").alias("state"), F.lit(0).alias("failures"), F.lit(0).alias("successes"), F.lit(None).cast(kind).alias("retry"), F.lit(0).alias("opened"))
-    largest = calls.groupBy("source").count().agg(F.max("count")).first()[0] or 0
-    spans = -(-largest // most)
-    cuts: list = []
-    if spans > 1:
-        calls = stored(calls, "calls")
-        # twice as many spans of each source's calls as are needed if they lie evenly
-        at = F.array(*[F.lit(k / (2 * spans)) for k in range(1, 2 * spans)])
-        found = calls.groupBy("source").agg(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), at, 32 * spans).alias("c"))
-        cuts = sorted({c for r in found.orderBy(F.col("source")).limit(SOURCES).collect() for c in r.c})
-    number, state = F.unix_micros(F.col("ts").cast("timestamp")), None
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        inside = calls if low is None else calls.where(number >= low)
-        inside = inside if high is None else inside.where(number < high)
-        arrays = inside.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("ts", "id", "success"))).alias("calls"))
-        if state is None:
-            state = arrays.select("source", breaker_fold(fresh, F.col("calls"), kind, threshold, timeout_s).alias("b"))
-        else:
-            both = state.join(arrays, "source", "full")
-            empty = F.array().cast(arrays.schema["calls"].dataType)
-            state = both.select("source", breaker_fold(F.coalesce("b", fresh), F.coalesce("calls", empty), kind, threshold, timeout_s).alias("b"))
-        if high is not None:
-            state = stored(state, "breaker")
-    return state.select("source", "b.state", "b.failures", "b.opened")
+def breaker_state(log: DataFrame, days: float = 7.0, threshold: int = FAILURES, timeout_s: float = TIMEOUT_S) -> DataFrame:
+    """Per source the breaker after its calls of the retained days, in order: state, failure count and openings."""
+    return folded(recent(log, 24 * days), threshold, timeout_s)
 
 
 def health_scores(log: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from assetweave.operators.health import FAILURES, LEVELS, SUCCESSES, TIMEOUT_S
+from assetweave.operators.breaker import FAILURES, TIMEOUT_S, breaker_step
+from assetweave.operators.health import LEVELS
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 LATENESS = "10 minutes"
@@ -31,24 +32,6 @@ def stream_conflict_rate(log: DataFrame) -> DataFrame:
     return log.where("NOT success").withWatermark("ts", LATENESS).groupBy(F.window("ts", "1 hour", "15 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
-def breaker_step(at: tuple, ts: int, ok: bool, threshold: int, timeout_us: int) -> tuple:
-    """The breaker (state, failures, successes, retry, opened) after one call at ts, in microseconds."""
-    state, failures, wins, retry, opened = at
-    if ok and state == "half-open":
-        wins += 1
-        if wins >= SUCCESSES:
-            state, failures, wins = "closed", 0, 0
-    elif ok and state == "closed":
-        failures = max(0, failures - 1)
-    elif not ok:
-        failures, wins = failures + 1, 0
-        if state == "half-open" or state == "closed" and failures >= threshold:
-            state, retry, opened = "open", ts + timeout_us, opened + 1
-    if state == "open" and ts >= retry:
-        state, retry = "half-open", 0
-    return state, failures, wins, retry, opened
-
-
 def stream_breaker(log: DataFrame, threshold: int = FAILURES, timeout_s: float = TIMEOUT_S) -> DataFrame:
     """Rows (source, ts, from_state, state, failures, opened) for each change of a source's breaker, and one for each
     trigger's last call, with from_state null."""

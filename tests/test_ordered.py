@@ -59,14 +59,6 @@ def calls(spark, outcomes, step=20):
     return spark.createDataFrame(rows, "id long, source string, t long, success boolean").select("id", "source", F.timestamp_seconds("t").alias("ts"), "success")
 
 
-def test_breaker_in_spans_equals_one_fold(spark):
-    r = random.Random(9)
-    log = calls(spark, [("hot" if r.random() < 0.9 else "cold", r.random() < 0.5) for _ in range(400)])
-    one = sorted(map(tuple, health.breaker_state(log, days=9999).collect()))
-    assert sorted(map(tuple, health.breaker_state(log, days=9999, most=60).collect())) == one
-    assert health.breaker_state(log.limit(0)).count() == 0
-
-
 @pytest.mark.parametrize("share", [0.0, 0.5, 1.0])
 def test_first_opening_over_pieces(spark, share):
     r = random.Random(11)

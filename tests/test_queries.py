@@ -17,7 +17,7 @@ def test_every_query_has_sql():
 
 
 def test_no_python_in_batch_plans(spark):
-    for name in ("merge_assets", "platform_rollup", "classify_peg", "latency_stats", "health_score"):
+    for name in ("merge_assets", "platform_rollup", "classify_peg", "latency_stats", "error_rate"):
         plan = registry.QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan, name
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assetweave.functions import exprs
 from assetweave.operators import classify, health, merge, platforms
-from assetweave.streaming.jobs import breaker_step
+from assetweave.operators.breaker import breaker_step
 
 CLASSES = [
     (["stablecoin", "asset-backed-stablecoin", "usd-stablecoin"], "Tether USDt", "USDT", "tether", "Stablecoin", "USD"),
