@@ -16,16 +16,23 @@ from assetweave.registry import query
 from assetweave.streaming import jobs
 
 
+#: The spans of the stateful streams, as their calls are minutes apart.
+HOUR_MS = 3_600_000
+#: Calls of a landed file, about.
+FILE_ROWS = 1_000_000
+
+
 def landed_log(spark: SparkSession, d: str, pieces: int = 3) -> DataFrame:
-    """The call log as files that land one after another, by time; each is a trigger."""
+    """The call log as it lands, piece by piece in time, each piece in files of bounded size that make a trigger."""
     path = folder(spark, "calls")
     log = call_log(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
     number = F.unix_micros("ts")
-    cuts = log.agg(F.percentile_approx(number, F.array(*[F.lit(k / pieces) for k in range(1, pieces)]))).first()[0] or []
+    n, cuts = log.agg(F.count(F.lit(1)), F.percentile_approx(number, F.array(*[F.lit(k / pieces) for k in range(1, pieces)]))).first()
+    cuts, files = cuts or [], max(1, -(-n // (pieces * FILE_ROWS)))
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         part = log if low is None else log.where(number >= low)
-        (part if high is None else part.where(number < high)).coalesce(1).write.mode("append").parquet(path)
-    return jobs.read_stream(spark, path, log.schema, files=1)
+        (part if high is None else part.where(number < high)).repartition(files).write.mode("append").parquet(path)
+    return jobs.read_stream(spark, path, log.schema, files=files)
 
 
 def result(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
@@ -48,29 +55,34 @@ def stream_conflict_rate(spark: SparkSession, d: str) -> DataFrame:
     return result(spark, jobs.stream_conflict_rate(landed_log(spark, d)), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-#: All calls of each source folded one by one, with the state before each.
-CHANGES = (
+#: All calls of each source folded one by one, and what their scores are made of; hours that the watermark has passed.
+FOLD = (
     _breaker(3).split("breaker AS")[0].rstrip().rstrip(",").replace(" WHERE ts > (SELECT max(ts) FROM call_log) - INTERVAL 168 HOUR", "")
-    + ",\nchanges AS (SELECT f.source, c.ts, lag(f.state) OVER (PARTITION BY f.source ORDER BY f.k) AS from_state, f.state, f.failures, f.opened FROM fold f LEFT JOIN calls c ON c.source = f.source AND c.k = f.k)"
+    + """,
+mark AS (SELECT epoch_ms(max(ts)) - 600000 AS mark FROM call_log),
+stats AS (SELECT source, k, ts, epoch_ms(ts) // 3600000 AS span, sum((NOT success)::INT) OVER w AS errors, k - coalesce(max(CASE WHEN success THEN k END) OVER w, 0) AS streak, avg(CASE WHEN duration > 0 THEN duration END) OVER w AS mean_ms FROM calls WINDOW w AS (PARTITION BY source ORDER BY k)),
+steps AS (SELECT s.*, f.state, lag(f.state, 1, 'closed') OVER (PARTITION BY f.source ORDER BY f.k) AS from_state, f.failures, f.opened, 100 - 50 * (errors / s.k::DOUBLE) - least(40, 10 * streak) - CASE WHEN mean_ms > 10000 THEN 20 ELSE 0 END AS raw,
+  row_number() OVER (PARTITION BY s.source, span ORDER BY s.k DESC) AS back FROM fold f JOIN stats s ON s.source = f.source AND s.k = f.k),
+scored AS (SELECT *, round(greatest(0, least(100, CASE state WHEN 'open' THEN 0 WHEN 'half-open' THEN raw * 0.5::DOUBLE ELSE raw END)), 6) AS score FROM steps WHERE (span + 1) * 3600000 <= (SELECT mark FROM mark))"""
 )
 
 
-@query("stream_breaker", with_(CALL_LOG, CHANGES, body="SELECT source, ts, from_state, state, failures, opened FROM changes WHERE from_state IS NOT NULL AND from_state <> state").replace("WITH ", "WITH RECURSIVE ", 1))
+@query("stream_breaker", with_(CALL_LOG, FOLD, body="""
+SELECT source, ts, from_state, state, failures, opened, score FROM scored WHERE from_state <> state
+UNION ALL SELECT source, make_timestamp((span + 1) * 3600000000), NULL, state, failures, opened, score FROM scored WHERE back = 1""").replace("WITH ", "WITH RECURSIVE ", 1))
 def stream_breaker(spark: SparkSession, d: str) -> DataFrame:
-    """Changes of the breakers; the rows that end triggers depend on how calls are dealt to triggers."""
-    return breaker_rows(spark, d).where("from_state IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-
-
-def breaker_rows(spark: SparkSession, d: str) -> DataFrame:
-    return result(spark, jobs.stream_breaker(landed_log(spark, d), threshold=3), "append")
+    """Changes of the breakers, and each source's breaker and score at the end of each hour with calls."""
+    got = result(spark, jobs.stream_breaker(landed_log(spark, d), threshold=3, span_ms=HOUR_MS), "append")
+    return got.withColumns({"ts": F.col("ts").cast("timestamp_ntz"), "score": F.round("score", 6)})
 
 
 _RANK = "CASE {0} WHEN 'critical' THEN 3 WHEN 'error' THEN 2 WHEN 'warning' THEN 1 WHEN 'info' THEN 0 END"
 #: Each key's alerts one by one: the alert that is open and its time, and what each event does to it. An event may both end
 #: an alert that is too old and open one.
 ALERT_EVENTS = f"""
+mark AS (SELECT epoch_ms(max(ts)) - 600000 AS mark FROM call_log),
 raised AS (SELECT *, row_number() OVER (PARTITION BY source, type ORDER BY ts, id) AS k FROM (
-  SELECT source, CASE WHEN success THEN 'server' ELSE {KIND} END AS type, CASE WHEN success THEN NULL WHEN duration > 100 THEN 'critical' WHEN duration > 50 THEN 'error' WHEN duration > 10 THEN 'warning' ELSE 'info' END AS level, ts, id FROM call_log)),
+  SELECT source, CASE WHEN success THEN 'server' ELSE {KIND} END AS type, CASE WHEN success THEN NULL WHEN duration > 100 THEN 'critical' WHEN duration > 50 THEN 'error' WHEN duration > 10 THEN 'warning' ELSE 'info' END AS level, ts, id FROM call_log WHERE (epoch_ms(ts) // 3600000 + 1) * 3600000 <= (SELECT mark FROM mark))),
 walk AS (SELECT source, type, 0::BIGINT AS k, NULL::VARCHAR AS open_level, NULL::TIMESTAMP AS since, NULL::VARCHAR AS old_level, NULL::TIMESTAMP AS old_since, NULL::VARCHAR AS event, NULL::VARCHAR AS event_level, NULL::TIMESTAMP AS ts FROM (SELECT DISTINCT source, type FROM raised)
   UNION ALL
   SELECT source, type, k, CASE WHEN level IS NULL THEN NULL WHEN event IN ('opened', 'upgraded') THEN level ELSE live END, CASE WHEN level IS NULL THEN NULL WHEN event IN ('opened', 'upgraded') THEN ts ELSE since END,
@@ -83,12 +95,12 @@ walk AS (SELECT source, type, 0::BIGINT AS k, NULL::VARCHAR AS open_level, NULL:
 @query("stream_alerts", with_(CALL_LOG, ALERT_EVENTS, body="""
 SELECT source, type, event, event_level AS level, ts FROM walk WHERE event IS NOT NULL
 UNION ALL SELECT source, type, 'expired', old_level, old_since FROM walk WHERE old_level IS NOT NULL
-UNION ALL SELECT source, type, 'expired', open_level, since FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY source, type ORDER BY k DESC) = 1) WHERE open_level IS NOT NULL AND since + INTERVAL 7 DAY < (SELECT max(ts) FROM call_log) - INTERVAL 10 MINUTE""").replace("WITH ", "WITH RECURSIVE ", 1))
+UNION ALL SELECT source, type, 'expired', open_level, since FROM (SELECT * FROM walk QUALIFY row_number() OVER (PARTITION BY source, type ORDER BY k DESC) = 1) WHERE open_level IS NOT NULL AND epoch_us(since + INTERVAL 7 DAY) // 1000 < (SELECT mark FROM mark)""").replace("WITH ", "WITH RECURSIVE ", 1))
 def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
     level = F.when(F.col("success"), F.lit(None)).when(F.col("duration") > 100, "critical").when(F.col("duration") > 50, "error").when(F.col("duration") > 10, "warning").otherwise("info")
     kind = F.when(F.col("success"), "server").otherwise(error_type())
     alerts = landed_log(spark, d).select("source", kind.alias("type"), level.alias("level"), "ts", "id").withWatermark("ts", jobs.LATENESS)
-    return result(spark, jobs.stream_alerts(alerts), "append").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return result(spark, jobs.stream_alerts(alerts, span_ms=HOUR_MS), "append").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("stream_refresh", with_(SRC_ASSET, body="SELECT upper(coalesce(symbol, slug, name)) AS asset_key, arg_max(mcap, prio * 1000 - seq) AS mcap, count(*) AS n_sources FROM src_asset GROUP BY 1"))

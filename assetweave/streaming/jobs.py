@@ -1,22 +1,19 @@
 """Structured Streaming forms of the call-log jobs. Event time stands for the clock, so results can be repeated.
 
 Each job takes a streaming frame and returns one; start() runs it with a checkpoint. Late rows beyond the watermark are
-dropped by the windows; the stateful jobs order the calls of one trigger by time and take triggers in turn. They hold a
-key's calls of one trigger, which read_stream bounds by the files it takes.
+dropped by the windows; the stateful jobs take a key's events in the order of their times, span by span.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from assetweave.operators.breaker import FAILURES, TIMEOUT_S, breaker_step
-from assetweave.operators.health import LEVELS
+from assetweave.operators.breaker import FAILURES, FRESH, HALF_OPEN, OPEN, TIMEOUT_S, breaker_step
+from assetweave.operators.health import LEVELS, SLOW_MS
+from assetweave.streaming.inorder import SPAN_MS, InOrder, state_store
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 LATENESS = "10 minutes"
@@ -32,63 +29,93 @@ def stream_conflict_rate(log: DataFrame) -> DataFrame:
     return log.where("NOT success").withWatermark("ts", LATENESS).groupBy(F.window("ts", "1 hour", "15 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
-def stream_breaker(log: DataFrame, threshold: int = FAILURES, timeout_s: float = TIMEOUT_S) -> DataFrame:
-    """Rows (source, ts, from_state, state, failures, opened) for each change of a source's breaker, and one for each
-    trigger's last call, with from_state null."""
+class Breaker(InOrder):
+    """A source's breaker and what its score is made of."""
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at = state.get if state.exists else ("closed", 0, 0, 0, 0)
-        calls = pd.concat(list(frames)).sort_values(["ts", "id"])
-        out = []
-        for ts, ok in zip(calls.ts, calls.success, strict=True):
-            new = breaker_step(at, int(ts.value // 1000), bool(ok), threshold, int(timeout_s * 1e6))
-            if new[0] != at[0]:
-                out.append((key[0], ts, at[0], new[0], new[1], new[4]))
-            at = new
-        out.append((key[0], calls.ts.iloc[-1], None, at[0], at[1], at[4]))
-        state.update(at)
-        yield pd.DataFrame(out, columns=["source", "ts", "from_state", "state", "failures", "opened"])
+    kind = np.dtype([("ts", "i8"), ("id", "i8"), ("ok", "?"), ("ms", "f8")])
+    schema = "state string, failures long, wins long, retry long, opened long, n long, errors long, streak long, timed long, total_ms double"
 
-    return log.select("source", "id", "ts", "success").groupBy("source").applyInPandasWithState(step, "source string, ts timestamp, from_state string, state string, failures int, opened int", "state string, failures int, wins int, retry long, opened int", "append", GroupStateTimeout.NoTimeout)
+    def __init__(self, threshold: int, timeout_s: float, span_ms: int):
+        super().__init__(span_ms)
+        self.threshold, self.timeout_us = threshold, int(timeout_s * 1e6)
 
+    def event(self, row: Row) -> tuple:
+        return row.us, row.id if row.id is not None else -1, bool(row.success), row.duration or 0.0
 
-def stream_alerts(alerts: DataFrame, retention_days: int = 7) -> DataFrame:
+    def step(self, key: tuple, at: tuple | None, events: np.ndarray, end_ms: int) -> tuple[tuple, list[Row]]:
+        breaker, (n, errors, streak, timed, total) = (FRESH, (0, 0, 0, 0, 0.0)) if at is None else (at[:5], at[5:])
+        out = []
+        row = lambda us, before: Row(source=key[0], us=us, from_state=before, state=breaker[0], failures=breaker[1], opened=breaker[4], score=score(breaker[0], errors / n, streak, total / timed if timed else 0.0))
+        for us, _, ok, ms in events.tolist():
+            before, breaker = breaker[0], breaker_step(breaker, us, ok, self.threshold, self.timeout_us)
+            n, errors, streak = n + 1, errors + (not ok), 0 if ok else streak + 1
+            if ms > 0:
+                timed, total = timed + 1, total + ms
+            if breaker[0] != before:
+                out.append(row(us, before))
+        out.append(row(end_ms * 1000, None))
+        return (*breaker, n, errors, streak, timed, total), out
+
+
+def score(state: str, error_rate: float, streak: int, mean_ms: float) -> float:
+    """A source's health, 0 to 100, as health_scores has it."""
+    raw = 100 - 50 * error_rate - min(40, 10 * streak) - (20 if mean_ms > SLOW_MS else 0)
+    return float(max(0.0, min(100.0, 0.0 if state == OPEN else raw * 0.5 if state == HALF_OPEN else raw)))
+
+
+def stream_breaker(log: DataFrame, threshold: int = FAILURES, timeout_s: float = TIMEOUT_S, span_ms: int = SPAN_MS) -> DataFrame:
+    """Rows (source, ts, from_state, state, failures, opened, score) for each change of a source's breaker, and one for each
+    span of time with calls, at its end, with from_state null. A span counts once the watermark is past it."""
+    calls = log.withWatermark("ts", LATENESS).select("source", "id", "ts", F.unix_micros("ts").alias("us"), "success", "duration")
+    rows = calls.groupBy("source").transformWithState(Breaker(threshold, timeout_s, span_ms), "source string, us long, from_state string, state string, failures long, opened long, score double", "Append", "EventTime")
+    return rows.select("source", F.timestamp_micros("us").alias("ts"), "from_state", "state", "failures", "opened", "score")
+
+
+class Alerts(InOrder):
+    """The open alert of a (source, type), if there is one: its level and since when."""
+
+    kind = np.dtype([("ts", "i8"), ("id", "i8"), ("level", "i4")])
+    schema = "level int, first long"
+
+    def __init__(self, retention_days: float, span_ms: int):
+        super().__init__(span_ms)
+        self.kept = int(retention_days * 86_400_000_000)
+
+    def event(self, row: Row) -> tuple:
+        return row.us, row.id if row.id is not None else -1, -1 if row.level is None else LEVELS[row.level]
+
+    def step(self, key: tuple, at: tuple | None, events: np.ndarray, end_ms: int) -> tuple[tuple | None, list[Row]]:
+        out, names = [], list(LEVELS)
+        put = lambda event, level, us: out.append(Row(source=key[0], type=key[1], event=event, level=names[level], us=us))
+        for us, _, new in events.tolist():
+            if at is not None and at[1] + self.kept <= us:
+                put("expired", *at)
+                at = None
+            if new < 0:
+                if at is not None:
+                    put("resolved", at[0], us)
+                at = None
+            elif at is None or new > at[0]:
+                put("opened" if at is None else "upgraded", new, us)
+                at = (new, us)
+        return at, out
+
+    def ends(self, at: tuple) -> int:
+        return (at[1] + self.kept) // 1000 + 1
+
+    def end(self, key: tuple, at: tuple) -> list[Row]:
+        return [Row(source=key[0], type=key[1], event="expired", level=list(LEVELS)[at[0]], us=at[1])]
+
+
+def stream_alerts(alerts: DataFrame, retention_days: float = 7, span_ms: int = SPAN_MS) -> DataFrame:
     """Rows (source, type, event, level, ts) as alerts of (source, type) are opened, upgraded, resolved and expire.
 
     alerts: source, type, level (null: recovered), ts, id, with a watermark on ts. An alert expires when it is older than
     the retention at the next event of its key, or when the watermark gets there; the row has the alert's own ts.
     """
-    kept = retention_days * 86_400_000_000
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        columns = ["source", "type", "event", "level", "ts"]
-        if state.hasTimedOut:
-            level, ts = state.get
-            state.remove()
-            yield pd.DataFrame([(*key, "expired", level, pd.Timestamp(ts, unit="us"))], columns=columns)
-            return
-        level, first = state.get if state.exists else (None, 0)
-        out = []
-        for ts, new in pd.concat(list(frames)).sort_values(["ts", "id"])[["ts", "level"]].itertuples(index=False):
-            if level is not None and first + kept <= ts.value // 1000:
-                out.append((*key, "expired", level, pd.Timestamp(first, unit="us")))
-                level = None
-            if new is None:
-                if level is not None:
-                    out.append((*key, "resolved", level, ts))
-                level = None
-            elif level is None or LEVELS[new] > LEVELS[level]:
-                out.append((*key, "opened" if level is None else "upgraded", new, ts))
-                level, first = new, int(ts.value // 1000)
-        if level is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((level, first))
-            state.setTimeoutTimestamp(max((first + kept) // 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=columns)
-
-    return alerts.groupBy("source", "type").applyInPandasWithState(step, "source string, type string, event string, level string, ts timestamp", "level string, ts long", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = alerts.select("source", "type", "level", "ts", F.unix_micros("ts").alias("us"), "id")
+    rows = rows.groupBy("source", "type").transformWithState(Alerts(retention_days, span_ms), "source string, type string, event string, level string, us long", "Append", "EventTime")
+    return rows.select("source", "type", "event", "level", F.timestamp_micros("us").alias("ts"))
 
 
 def publish(stream: DataFrame, target: str, checkpoint: str, mode: str = "append", trigger: dict | None = None) -> StreamingQuery:
@@ -98,7 +125,8 @@ def publish(stream: DataFrame, target: str, checkpoint: str, mode: str = "append
     def put(rows: DataFrame, number: int) -> None:
         rows.write.mode("overwrite").parquet(f"{target}/batch={0 if mode == 'complete' else number}")
 
-    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(put).trigger(**(trigger or {"availableNow": True})).start()
+    with state_store(stream.sparkSession):
+        return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(put).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def stream_refresh(snapshots: DataFrame, merge, target: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
