@@ -40,7 +40,7 @@ def _network(name: Column, network: Column, contract: Column, supply: Column, pe
 def std_listings(raw: DataFrame) -> DataFrame:
     usd, c = F.col("quote.USD"), F.col
     circulating = F.coalesce(F.try_divide(truthy(usd["market_cap"]), truthy(usd["price"])), c("circulating_supply"))
-    networks = F.when(c("platform").isNotNull(), F.array(_network(c("platform.name"), c("platform.slug"), c("platform.token_address"), null("double"), null("double")))).otherwise(F.array().cast(f"array<{NETWORK}>"))
+    networks = F.when(c("platform").isNotNull(), F.array(_network(F.coalesce(filled("platform.name"), F.lit("Unknown")), F.lower(F.coalesce(filled("platform.slug"), filled("platform.symbol"))), filled("platform.token_address"), null("double"), null("double")))).otherwise(F.array().cast(f"array<{NETWORK}>"))
     return raw.select(*_row("cmc", id=c("id"), name=c("name"), symbol=F.upper("symbol"), slug=F.lower(F.coalesce(filled("slug"), c("symbol"))), price=usd["price"], mcap=usd["market_cap"], volume=usd["volume_24h"], change=usd["percent_change_24h"], rank=c("cmc_rank"), circulating=circulating, total=c("total_supply"), max_supply=c("max_supply"), networks=networks, tags=F.coalesce("tags", F.array()), logo=F.when(c("id").isNotNull(), F.format_string(LOGO, c("id").cast("string"))), date_added=c("date_added"), confidence=F.lit(0.9)))
 
 

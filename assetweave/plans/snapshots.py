@@ -14,6 +14,7 @@ from assetweave.operators.ordered import shared_path as folder
 from assetweave.plans.bindings import SRC_ASSET, asset_platform, src_asset, with_
 from assetweave.registry import query
 from assetweave.sources import snapshots as sn
+from assetweave.sources.versions import newest
 
 
 def landed(spark: SparkSession, name: str, rows: DataFrame) -> str:
@@ -35,7 +36,7 @@ def _wrapped(rows: DataFrame, item, field: str | None) -> DataFrame:
 
 def listings(spark: SparkSession, d: str) -> DataFrame:
     usd = F.struct(F.col("price"), F.col("mcap").alias("market_cap"), F.col("volume").alias("volume_24h"), F.col("change").alias("percent_change_24h"))
-    item = F.struct(F.col("key").alias("id"), "name", "symbol", F.col("slug"), "tags", F.col("rank").alias("cmc_rank"), "date_added", F.col("circulating").alias("circulating_supply"), F.when(F.col("key") % 2 == 0, F.struct(F.lit("Ethereum").alias("name"), F.lit("ethereum").alias("slug"), F.concat(F.lit("0x"), "key").alias("token_address"))).alias("platform"), F.struct(usd.alias("USD")).alias("quote"))
+    item = F.struct(F.col("key").alias("id"), "name", "symbol", F.col("slug"), "tags", F.col("rank").alias("cmc_rank"), "date_added", F.col("circulating").alias("circulating_supply"), F.when(F.col("key") % 2 == 0, F.struct(F.when(F.col("key") % 6 != 0, "Ethereum").alias("name"), F.when(F.col("key") % 8 == 0, "").when(F.col("key") % 10 != 0, "ethereum").alias("slug"), F.when(F.col("key") % 14 != 0, "ETH").alias("symbol"), F.concat(F.lit("0x"), "key").alias("token_address"))).alias("platform"), F.struct(usd.alias("USD")).alias("quote"))
     return sn.scan_listings(spark, landed(spark, "listings", _wrapped(of(spark, d, 0), item, "data")))
 
 
@@ -87,9 +88,9 @@ def scan_distinct_pegs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("std_listings", with_(SRC_ASSET, body="""SELECT key::VARCHAR AS id, upper(symbol) AS symbol, lower(coalesce(nullif(slug, ''), symbol)) AS slug, round(coalesce(nullif(mcap, 0) / nullif(price, 0), circulating), 6) AS circulating,
-  (key % 2 = 0)::INT AS n_networks, 'https://s2.coinmarketcap.com/static/img/coins/64x64/' || key || '.png' AS logo, 0.9::DOUBLE AS confidence FROM src_asset WHERE seq = 0"""))
+  (key % 2 = 0)::INT AS n_networks, CASE WHEN key % 2 = 0 THEN CASE WHEN key % 6 <> 0 THEN 'Ethereum' ELSE 'Unknown' END END AS network_name, CASE WHEN key % 2 = 0 THEN CASE WHEN key % 8 <> 0 AND key % 10 <> 0 THEN 'ethereum' WHEN key % 14 <> 0 THEN 'eth' END END AS network, 'https://s2.coinmarketcap.com/static/img/coins/64x64/' || key || '.png' AS logo, 0.9::DOUBLE AS confidence FROM src_asset WHERE seq = 0"""))
 def std_listings(spark: SparkSession, d: str) -> DataFrame:
-    return st.std_listings(listings(spark, d)).select("id", "symbol", "slug", F.round("circulating", 6).alias("circulating"), F.size("networks").alias("n_networks"), "logo", "confidence")
+    return st.std_listings(listings(spark, d)).select("id", "symbol", "slug", F.round("circulating", 6).alias("circulating"), F.size("networks").alias("n_networks"), F.get("networks", F.lit(0))["name"].alias("network_name"), F.get("networks", F.lit(0))["network"].alias("network"), "logo", "confidence")
 
 
 @query("std_supply_metrics", with_(SRC_ASSET, body="SELECT key::VARCHAR AS id, upper(symbol) AS symbol, 1.0::DOUBLE AS price, circulating AS mcap, total, 1 AS n_networks, volume AS first_supply FROM src_asset WHERE seq = 1"))
@@ -128,10 +129,15 @@ def sink_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("price") >= 950).alias("eligible"))
 
 
-@query("sink_gold_by_platform", "SELECT n_name AS platform, count(DISTINCT l_partkey) AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1")
+@query("sink_gold_by_platform", """
+WITH rows AS (SELECT DISTINCT l_partkey AS key, n_name AS platform FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey)
+SELECT 'platform' AS output, platform AS folder, NULL AS prefix, count(*) AS n FROM rows GROUP BY platform
+UNION ALL SELECT 'asset', key::VARCHAR, md5(key::VARCHAR)[1:2], count(*) FROM rows GROUP BY key""")
 def sink_gold_by_platform(spark: SparkSession, d: str) -> DataFrame:
-    path = folder(spark, "gold")
-    sn.sink_gold(asset_platform(spark, d), path, "platform")
-    return spark.read.parquet(path).groupBy("platform").agg(F.count(F.lit(1)).alias("n"))
-
-
+    """Rows of the folders of each platform and of each asset."""
+    rows, path = asset_platform(spark, d), folder(spark, "gold")
+    sn.sink_gold(rows, f"{path}/platforms", "platform")
+    sn.sink_gold_by_asset(rows.withColumn("asset", F.col("key").cast("string")), f"{path}/assets", "asset")
+    platforms, assets = newest(spark, f"{path}/platforms"), newest(spark, f"{path}/assets")
+    of = lambda df, output, by, prefix: df.groupBy(F.lit(output).alias("output"), F.col(by).cast("string").alias("folder"), prefix.cast("string").alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    return of(platforms, "platform", "platform", F.lit(None)).unionByName(of(assets, "asset", "asset", F.col("prefix")))

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from assetweave.operators import classify as cl
 from assetweave.operators import merge
 from assetweave.operators.health import error_type
-from assetweave.plans.bindings import CALL_LOG, SRC_ASSET, call_log, src_asset, with_
+from assetweave.plans.bindings import CALL_LOG, SOURCE_NAMES, SRC_ASSET, call_log, src_asset, with_
 from assetweave.plans.classes import RAW, VIOLATIONS, raw_json
 from assetweave.plans.log import KIND, _breaker
 from assetweave.plans.snapshots import folder
 from assetweave.registry import query
+from assetweave.sources.versions import KeyedTable
 from assetweave.streaming import jobs
 
 
@@ -105,12 +106,17 @@ def stream_alerts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_refresh", with_(SRC_ASSET, body="SELECT upper(coalesce(symbol, slug, name)) AS asset_key, arg_max(mcap, prio * 1000 - seq) AS mcap, count(*) AS n_sources FROM src_asset GROUP BY 1"))
 def stream_refresh(spark: SparkSession, d: str) -> DataFrame:
-    path, target = folder(spark, "snapshots"), folder(spark, "versions")
-    rows = src_asset(spark, d)
-    rows.write.parquet(path)
-    one = lambda x: merge.with_asset_key(x).groupBy("asset_key").agg(merge.pick("mcap").alias("mcap"), F.count(F.lit(1)).alias("n_sources"))
-    jobs.stream_refresh(jobs.read_stream(spark, path, rows.schema), one, target, folder(spark, "progress"), {"availableNow": True}).awaitTermination()
-    return spark.read.parquet(target).drop("version")
+    """Sources that land one after another, each a trigger of its own; the last version has all of them."""
+    path = folder(spark, "snapshots")
+    rows = merge.with_asset_key(src_asset(spark, d))
+    for seq in range(len(SOURCE_NAMES)):
+        rows.where(F.col("seq") == seq).coalesce(1).write.mode("append").parquet(path)
+    one = lambda x: x.groupBy("asset_key").agg(merge.pick("mcap").alias("mcap"), F.count(F.lit(1)).alias("n_sources"))
+    # one asset has several rows of a source where keys share a symbol
+    table = KeyedTable(spark, folder(spark, "assets"), "asset_key", "listing", one, buckets=16)
+    stream = jobs.read_stream(spark, path, rows.schema, files=1).withColumn("listing", F.concat_ws(":", "source", "key"))
+    jobs.stream_refresh(stream, table, folder(spark, "progress"), {"availableNow": True}).awaitTermination()
+    return table.derived().select("asset_key", "mcap", "n_sources")
 
 
 @query("stream_schema_drift", with_(RAW, VIOLATIONS, body="SELECT source, id, field, violation FROM violations"))

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from assetweave.sources.versions import publish
+
 USD = "struct<price:double,market_cap:double,volume_24h:double,percent_change_24h:double>"
 LISTING = f"struct<id:bigint,name:string,symbol:string,slug:string,tags:array<string>,cmc_rank:int,date_added:string,circulating_supply:double,total_supply:double,max_supply:double,platform:struct<name:string,slug:string,symbol:string,token_address:string>,quote:struct<USD:{USD}>>"
 LINK = "struct<network:string,name:string,contract:string,contract_address:string,supply:double,amount:double,share:double,percentage:double>"
@@ -65,13 +67,36 @@ READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"cmc": scan_list
 
 
 def sink_snapshot(rows: DataFrame, path: str, eligible=None) -> dict[str, int]:
-    """Adds rows (source, snapshot_ts, ...) to a table partitioned by both; counts rows and eligible ones on the way."""
+    """Puts rows (source, snapshot_ts, ...) into a table partitioned by both; counts rows and eligible ones on the way.
+
+    A snapshot is replaced as a whole when it is written again, and comes in sight when all of it is written; others stay.
+    """
     seen = Observation()
     counts = [F.count(F.lit(1)).alias("raw")] + ([F.count_if(eligible).alias("eligible")] if eligible is not None else [])
-    rows.observe(seen, *counts).write.mode("append").partitionBy("source", "snapshot_ts").parquet(path)
+    rows.observe(seen, *counts).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "snapshot_ts").parquet(path)
     return seen.get
 
 
-def sink_gold(rows: DataFrame, path: str, by: str) -> None:
-    """One folder for each value of a column."""
-    rows.repartition(F.col(by)).write.mode("overwrite").partitionBy(by).parquet(path)
+#: Rows of a file of the gold tables, at most.
+FILE_ROWS = 1_000_000
+
+
+def sink_gold(rows: DataFrame, path: str, by: str, number: int = 0, file_rows: int = FILE_ROWS) -> bool:
+    """One folder for each value of a column, as version number of path (see versions); False if that is there already.
+
+    A value with many rows is shared out over tasks and files of at most file_rows; small ones share a task.
+    """
+    spark, (size, salt) = rows.sparkSession, ("_size", "_salt")
+    sizes = rows.groupBy(F.col(by).alias("_value")).agg(F.count(F.lit(1)).alias(size)).where(F.col(size) > file_rows)
+    # values of more than a file: as many as there are files at most
+    sized = rows.join(sizes, F.col(by).eqNullSafe(F.col("_value")), "left").drop("_value")
+    # more parts than files, so that chance fills none of them beyond the limit by much; the writer cuts what is over
+    parts = F.ceil(F.coalesce(F.col(size), F.lit(1)) * 1.2 / file_rows)
+    dealt = sized.withColumn(salt, F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if not t.startswith("map")]), parts)).repartition(by, salt).drop(size, salt)
+    return publish(spark, path, number, lambda to: dealt.write.option("maxRecordsPerFile", file_rows).partitionBy(by).parquet(to))
+
+
+def sink_gold_by_asset(rows: DataFrame, path: str, by: str, number: int = 0, prefix: str = "prefix") -> bool:
+    """One folder for each asset, under folders of the first two hex digits of its digest, so that none has too many."""
+    dealt = rows.withColumn(prefix, F.substring(F.md5(by), 1, 2)).repartition(prefix, by)
+    return publish(rows.sparkSession, path, number, lambda to: dealt.sortWithinPartitions(prefix, by).write.partitionBy(prefix, by).parquet(to))

@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from assetweave.operators.breaker import FAILURES, FRESH, HALF_OPEN, OPEN, TIMEOUT_S, breaker_step
 from assetweave.operators.health import LEVELS, SLOW_MS
+from assetweave.sources.versions import KeyedTable
 from assetweave.streaming.inorder import SPAN_MS, InOrder, state_store
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
@@ -129,13 +130,12 @@ def publish(stream: DataFrame, target: str, checkpoint: str, mode: str = "append
         return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(put).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def stream_refresh(snapshots: DataFrame, merge, target: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
-    """Merges each trigger's new snapshot rows and publishes the result as target/version=n; a trigger without eligible
-    rows leaves the last version as it is."""
+def stream_refresh(snapshots: DataFrame, table: KeyedTable, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Puts each trigger's snapshot rows into the table, which merges the keys that they touch again over all sources
+    and publishes a version. A trigger without rows leaves the last version as it is; a repeated one changes nothing."""
 
     def put(rows: DataFrame, number: int) -> None:
-        if not rows.isEmpty():
-            merge(rows).write.mode("overwrite").parquet(f"{target}/version={number}")
+        table.put(rows, number)
 
     return snapshots.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).trigger(**(trigger or {"processingTime": "15 minutes"})).start()
 
