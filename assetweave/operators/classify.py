@@ -185,6 +185,21 @@ def newest(events: DataFrame, by: str, keep: int, *ties: str) -> DataFrame:
     return events.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep).drop("_n")
 
 
+def drift_events(violations: DataFrame) -> DataFrame:
+    """(source, id, ts, n_violations, n_unknown, attributes): one event for each record with rows (source, id, ts, field,
+    violation); attributes are the unknown fields, ten at most."""
+    unknown = F.when(F.col("violation") == "unknown", F.col("field"))
+    return violations.groupBy("source", "id").agg(F.max("ts").alias("ts"), F.count_if(F.col("violation") != "unknown").alias("n_violations"), F.count(unknown).alias("n_unknown"), F.slice(F.array_sort(F.collect_set(unknown)), 1, 10).alias("attributes"))
+
+
+def drift_log(violations: DataFrame, records: int = 100, events: int = 25) -> DataFrame:
+    """(list, source, id, ts, n_violations, n_unknown, attributes): of each source the newest records with violations, and the
+    newest events of any kind. A row number with a limit keeps that many of each task's rows before they are shuffled."""
+    found = drift_events(violations)
+    broken = newest(found.where("n_violations > 0"), "source", records, "id").withColumn("list", F.lit("violations"))
+    return broken.unionByName(newest(found, "source", events, "id").withColumn("list", F.lit("drift")))
+
+
 def drift_status(violations: DataFrame, hours: int = 24) -> DataFrame:
     """(source, n_violations, n_unknown, status) of events (source, ts, field, violation).
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from assetweave.operators.breaker import FAILURES, TIMEOUT_S, folded
 from assetweave.operators.ordered import before, in_pieces, stored, values_at
+from assetweave.sources.versions import newest, publish
 
 ERROR_RATE, SLOW_MS, LEAST_HEALTHY = 0.3, 10_000.0, 1
 LEVELS = {"info": 0, "warning": 1, "error": 2, "critical": 3}
@@ -151,9 +152,35 @@ def with_actions(alerts: DataFrame) -> DataFrame:
 
 
 def merge_alerts(alerts: DataFrame) -> DataFrame:
-    """One per (source, type): the highest level, first on ties; first_ts is that of the first."""
+    """One per (source, type): the highest level, first on ties; first_ts is that of the first.
+
+    alerts may be merged ones: rows with first_ts and n count as the alerts that they are made of.
+    """
+    first, n = (F.col(c) if c in alerts.columns else other for c, other in (("first_ts", F.col("ts")), ("n", F.lit(1).cast("long"))))
     best = F.max_by(F.struct("level", "ts"), F.struct(level_rank("level").alias("r"), (-micros("ts")).alias("t"))).alias("x")
-    return alerts.groupBy("source", "type").agg(best, F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("n")).select("source", "type", "x.level", "x.ts", "first_ts", "n")
+    return alerts.groupBy("source", "type").agg(best, F.min(first).alias("first_ts"), F.sum(n).alias("n")).select("source", "type", "x.level", "x.ts", "first_ts", "n")
+
+
+def put_alerts(path: str, alerts: DataFrame, scores: DataFrame, number: int) -> bool:
+    """Puts a run's alerts (source, type, level, ts) into the table at path and publishes it as version number.
+
+    The table has a row for each (source, type): level, ts, first_ts, last_ts, n, active and resolved_ts. An active alert
+    is merged with those of the run; one that was resolved begins anew. Then the alerts of sources that have recovered are
+    resolved, as of the source's newest call (scores: source, score, streak, last_call). False if the run was put before.
+    """
+    spark, key = alerts.sparkSession, ["source", "type"]
+    last = alerts.groupBy(*key).agg(F.max("ts").alias("last_ts"))
+    new = merge_alerts(alerts).join(last, key).withColumns({"active": F.lit(True), "resolved_ts": F.lit(None).cast(dict(alerts.dtypes)["ts"])})
+    old = newest(spark, path)
+    if old is not None:
+        again = old.join(new.select(*key).withColumn("_again", F.lit(True)), key, "left")
+        both = again.where("active OR _again IS NULL").drop("_again").select(*new.columns).unionByName(new)
+        dates = both.groupBy(*key).agg(F.max("last_ts").alias("last_ts"), F.bool_or("active").alias("active"), F.max("resolved_ts").alias("resolved_ts"))
+        new = merge_alerts(both).join(dates, key)
+    ok = scores.select("source", ((F.col("score") > 80) & (F.col("streak") == 0)).alias("_ok"), "last_call")
+    rows = new.join(ok, "source", "left").withColumn("_ends", F.col("active") & F.coalesce("_ok", F.lit(False)))
+    rows = rows.withColumns({"active": F.col("active") & ~F.col("_ends"), "resolved_ts": F.when(F.col("_ends"), F.col("last_call")).otherwise(F.col("resolved_ts"))}).drop("_ok", "_ends", "last_call")
+    return publish(spark, path, number, lambda to: rows.write.parquet(to))
 
 
 def resolve_alerts(alerts: DataFrame, scores: DataFrame) -> DataFrame:
@@ -171,12 +198,50 @@ def conflict_trend(points: DataFrame, most_per_hour: float = 10.0) -> DataFrame:
     return rows.withColumns({"status": F.when(F.col("rate") > most_per_hour, "critical").when(F.col("rate") > most_per_hour * 0.5, "elevated").otherwise("healthy"), "penalty": F.least(F.col("rate") * 0.5, F.lit(20.0))})
 
 
-def conflict_alerts(by_asset: DataFrame, n_assets: DataFrame, share: float, per_asset: int) -> DataFrame:
-    """(type, subject, level, value) from conflicts by asset (asset_key, n) and the number of assets."""
+def conflict_points(conflicts: DataFrame, minutes: int = 15) -> DataFrame:
+    """(ts, total): conflicts so far at the end of each stretch of minutes that any of rows (ts, n) lies in."""
+    at = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (60 * minutes)) * (60 * minutes)
+    # stretches are as many as the time that the rows span has, however many the rows are
+    sums = conflicts.groupBy(at.alias("at")).agg(F.sum("n").alias("n"))
+    return sums.select(F.timestamp_seconds("at").alias("ts"), F.sum("n").over(Window.orderBy("at")).alias("total"))
+
+
+def conflict_rates(points: DataFrame, hours: float = 1.0) -> DataFrame:
+    """points (ts, total) with rate: conflicts an hour over the hours up to each; a point that is alone in them has the rate
+    of the one before."""
+    at = F.unix_seconds("ts")
+    inside = Window.orderBy(at).rangeBetween(1 - int(hours * 3600), 0)
+    passed = (at - F.min(at).over(inside)) / 3600
+    now = F.when(passed > 0, (F.col("total") - F.first("total").over(inside)) / F.nullif(passed, F.lit(0.0)))
+    rows = points.withColumn("_now", now)
+    return rows.withColumn("rate", F.coalesce(F.last("_now", ignorenulls=True).over(Window.orderBy(at)), F.lit(0.0))).drop("_now")
+
+
+def conflict_peaks(rates: DataFrame, most_per_hour: float, keep: int = 10) -> DataFrame:
+    """(begin_ts, end_ts, rate, n_points): the last stretches of points whose rates are over 1.5 times the most, with the highest."""
+    high = F.col("rate") > 1.5 * most_per_hour
+    rows = rates.withColumn("_island", F.sum(F.when(high, 0).otherwise(1)).over(Window.orderBy("ts"))).where(high)
+    found = rows.groupBy("_island").agg(F.min("ts").alias("begin_ts"), F.max("ts").alias("end_ts"), F.max("rate").alias("rate"), F.count(F.lit(1)).alias("n_points"))
+    return found.drop("_island").orderBy(F.col("begin_ts").desc()).limit(keep)
+
+
+def conflict_alerts(by_asset: DataFrame, n_assets: DataFrame, share: float, per_asset: int, rates: DataFrame | None = None, most_per_hour: float = 10.0) -> DataFrame:
+    """(type, subject, level, value) from conflicts by asset (asset_key, n), the number of assets and the rates over time
+    (conflict_rates), of which the newest counts."""
     each = by_asset.where(F.col("n") >= per_asset).select(F.lit("asset_conflict").alias("type"), F.col("asset_key").alias("subject"), F.when(F.col("n") >= 2 * per_asset, "error").otherwise("warning").alias("level"), F.col("n").cast("double").alias("value"))
     part = by_asset.agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(n_assets)).select((F.col("c") / F.col("n_assets")).alias("value"))
     whole = part.where(F.col("value") > share).select(F.lit("conflict_threshold").alias("type"), F.lit("system").alias("subject"), F.when(F.col("value") > 2 * share, "error").otherwise("warning").alias("level"), "value")
-    return each.unionByName(whole)
+    out = each.unionByName(whole)
+    if rates is None:
+        return out
+    now = rates.agg(F.max_by("rate", "ts").alias("value")).where(F.col("value") > most_per_hour)
+    return out.unionByName(now.select(F.lit("conflict_rate").alias("type"), F.lit("system").alias("subject"), F.lit("warning").alias("level"), "value"))
+
+
+def recent_errors(log: DataFrame, hours: float = 24.0) -> DataFrame:
+    """The failures of the last hours: source, id, ts, kind, status_code, retryable."""
+    rows = recent(log, hours).where("NOT success").withColumn("kind", error_type())
+    return rows.select("source", "id", "ts", "kind", "status_code", retryable(F.col("kind")).alias("retryable"))
 
 
 def freshness(log: DataFrame, interval_min: int = 15) -> DataFrame:

@@ -202,9 +202,15 @@ def violation_log(spark: SparkSession, d: str) -> DataFrame:
     return cl.schema_violations(raw_json(spark, d)).withColumn("ts", ts)
 
 
-@query("schema_drift_log", with_(RAW, VIOLATIONS, body="SELECT source, id, field, violation FROM violations QUALIFY row_number() OVER (PARTITION BY source ORDER BY id DESC, field, violation) <= 100"))
+EVENTS = """
+drifted AS (SELECT source, id, count(*) FILTER (WHERE violation <> 'unknown') AS n_violations, count(*) FILTER (WHERE violation = 'unknown') AS n_unknown, coalesce(string_agg(field, ',' ORDER BY field) FILTER (WHERE violation = 'unknown'), '') AS attributes FROM violations GROUP BY source, id)"""
+
+
+@query("schema_drift_log", with_(RAW, VIOLATIONS, EVENTS, body="""
+SELECT 'violations' AS list, * FROM drifted WHERE n_violations > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY id DESC) <= 100
+UNION ALL SELECT 'drift', * FROM drifted QUALIFY row_number() OVER (PARTITION BY source ORDER BY id DESC) <= 25"""))
 def schema_drift_log(spark: SparkSession, d: str) -> DataFrame:
-    return cl.newest(violation_log(spark, d), "source", 100, "field", "violation").select("source", "id", "field", "violation")
+    return cl.drift_log(violation_log(spark, d)).select("list", "source", "id", "n_violations", "n_unknown", F.array_join("attributes", ",").alias("attributes"))
 
 
 DRIFT = """

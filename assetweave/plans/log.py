@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from assetweave.operators import health as h
 from assetweave.operators import merge
 from assetweave.operators.ordered import in_pieces, running
+from assetweave.operators.ordered import shared_path as folder
 from assetweave.plans.assets import ASSETS, CONFLICTS, keyed
 from assetweave.plans.bindings import CALL_LOG, call_log, with_
 from assetweave.registry import query
+from assetweave.sources.versions import newest
 
 HOURS = 24.0
 L = (CALL_LOG,)
@@ -48,9 +50,17 @@ def error_categorize(spark: SparkSession, d: str) -> DataFrame:
     return call_log(spark, d).where("NOT success").select("id", h.error_type().alias("kind")).withColumn("retryable", h.retryable(F.col("kind")))
 
 
-@query("error_type_counts", with_(*L, RECENT, body=f"SELECT source, {KIND} AS kind, count(*) AS n FROM recent WHERE NOT success GROUP BY ALL"))
+@query("error_type_counts", with_(*L, body=f"SELECT source, {KIND} AS kind, count(*) AS n, count(*) FILTER (WHERE ts > (SELECT max(ts) FROM call_log) - INTERVAL 24 HOUR) AS n_recent FROM call_log WHERE NOT success GROUP BY ALL"))
 def error_type_counts(spark: SparkSession, d: str) -> DataFrame:
-    return h.recent(call_log(spark, d), HOURS).where("NOT success").groupBy("source", h.error_type().alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """Failures by type, of all time and of the last day; recent_errors lists the latter."""
+    log = call_log(spark, d)
+    kinds = lambda rows, n: rows.where("NOT success").groupBy("source", h.error_type().alias("kind")).agg(F.count(F.lit(1)).alias(n))
+    return kinds(log, "n").join(kinds(h.recent(log, HOURS), "n_recent"), ["source", "kind"], "left").withColumn("n_recent", F.coalesce("n_recent", F.lit(0)))
+
+
+@query("recent_errors", with_(*L, RECENT, body=f"SELECT source, id, ts, kind, status_code, kind IN ('timeout', 'network', 'server', 'rate_limit') AS retryable FROM (SELECT *, {KIND} AS kind FROM recent WHERE NOT success)"))
+def recent_errors(spark: SparkSession, d: str) -> DataFrame:
+    return h.recent_errors(call_log(spark, d), HOURS)
 
 
 STREAK = "streak AS (SELECT source, count(*) FILTER (WHERE NOT success AND (last IS NULL OR (ts, id) > last)) AS streak FROM call_log LEFT JOIN (SELECT source, max((ts, id)) AS last FROM call_log WHERE success GROUP BY source) USING (source) GROUP BY source)"
@@ -157,6 +167,27 @@ def alert_merge(spark: SparkSession, d: str) -> DataFrame:
     return h.merge_alerts(alerts(spark, d))
 
 
+#: The alert table after two runs, of the alerts before the middle of the log's time and of the others, and the resolution of the second.
+ALERT_TABLE = """
+middle AS (SELECT make_timestamp((epoch_us(min(ts)) + epoch_us(max(ts))) // 2) AS middle FROM call_log),
+seen AS (SELECT source, max(ts) AS last_call FROM call_log GROUP BY source)"""
+
+
+@query("alert_table", with_(*S, ALERTS, ALERT_TABLE, body=f"""
+SELECT source, type, level, ts, first_ts, last_ts, n, NOT ok AS active, CASE WHEN ok THEN last_call END AS resolved_ts
+FROM (SELECT *, min(ts) OVER w AS first_ts, max(ts) OVER w AS last_ts, count(*) OVER w AS n FROM alerts WINDOW w AS (PARTITION BY source, type) QUALIFY row_number() OVER (PARTITION BY source, type ORDER BY {RANK} DESC, ts) = 1)
+JOIN (SELECT source, coalesce(score > 80 AND streak = 0, false) AS ok FROM scores) USING (source) JOIN seen USING (source)""").replace("WITH ", "WITH RECURSIVE ", 1))
+def alert_table(spark: SparkSession, d: str) -> DataFrame:
+    """Alerts of two runs put into one table; sources have recovered or not at the end of the second."""
+    path, log, rows = folder(spark, "alerts"), call_log(spark, d), alerts(spark, d)
+    middle = log.agg(F.floor((F.min(F.unix_micros(F.col("ts").cast("timestamp"))) + F.max(F.unix_micros(F.col("ts").cast("timestamp")))) / 2)).first()[0] or 0
+    late = h.micros("ts") >= middle
+    scores = h.health_scores(log).join(log.groupBy("source").agg(F.max("ts").alias("last_call")), "source")
+    h.put_alerts(path, rows.where(~late), scores.withColumn("score", F.lit(0.0)), 1)
+    h.put_alerts(path, rows.where(late), scores, 2)
+    return newest(spark, path)
+
+
 @query("alerts_dedupe", with_(*L, ALERTS, body=f"SELECT source, type, level FROM alerts QUALIFY row_number() OVER (PARTITION BY source, type ORDER BY {RANK} DESC, ts) = 1"))
 def alerts_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return h.merge_alerts(alerts(spark, d)).select("source", "type", "level")
@@ -197,14 +228,39 @@ def conflict_penalty(spark: SparkSession, d: str) -> DataFrame:
     return h.conflict_trend(points(spark, d)).select(F.round("penalty", 6).alias("penalty"))
 
 
-@query("conflict_alerts", with_(*ASSETS, CONFLICTS, body="""
+#: Failures so far at each quarter of an hour that has calls, their rates over the hour before, and the stretches of high ones.
+PEAKS = """
+quarters AS (SELECT time_bucket(INTERVAL 15 MINUTES, ts) AS ts, sum((NOT success)::INT) AS n FROM call_log GROUP BY 1),
+totals AS (SELECT ts, sum(n) OVER (ORDER BY ts) AS total FROM quarters),
+hourly AS (SELECT ts, total, first_value(total) OVER w AS a, epoch(ts - min(ts) OVER w) / 3600 AS passed FROM totals WINDOW w AS (ORDER BY ts RANGE BETWEEN INTERVAL 3599 SECONDS PRECEDING AND CURRENT ROW)),
+rates AS (SELECT ts, coalesce(last_value(CASE WHEN passed > 0 THEN (total - a)::DOUBLE / passed END IGNORE NULLS) OVER (ORDER BY ts), 0) AS rate FROM hourly),
+islands AS (SELECT *, sum((rate <= 3)::INT) OVER (ORDER BY ts) AS island FROM rates),
+peaks AS (SELECT min(ts) AS begin_ts, max(ts) AS end_ts, max(rate) AS rate, count(*) AS n_points FROM islands WHERE rate > 3 GROUP BY island ORDER BY begin_ts DESC LIMIT 10)"""
+MOST_PER_HOUR = 2.0
+
+
+def rates(spark: SparkSession, d: str) -> DataFrame:
+    return h.conflict_rates(h.conflict_points(call_log(spark, d).select("ts", F.when(F.col("success"), 0).otherwise(1).alias("n"))))
+
+
+@query("conflict_peaks", with_(*L, PEAKS, body="SELECT begin_ts, end_ts, round(rate, 6) AS rate, n_points FROM peaks"))
+def conflict_peaks(spark: SparkSession, d: str) -> DataFrame:
+    got = h.conflict_peaks(rates(spark, d), MOST_PER_HOUR)
+    return got.select(F.col("begin_ts").cast("timestamp_ntz").alias("begin_ts"), F.col("end_ts").cast("timestamp_ntz").alias("end_ts"), F.round("rate", 6).alias("rate"), "n_points")
+
+
+@query("conflict_alerts", with_(*ASSETS, CONFLICTS, CALL_LOG, PEAKS, body="""
 , by_asset AS (SELECT asset_key, count(*) AS n FROM conflicts GROUP BY 1)
 SELECT 'asset_conflict' AS type, asset_key AS subject, CASE WHEN n >= 4 THEN 'error' ELSE 'warning' END AS level, n::DOUBLE AS value FROM by_asset WHERE n >= 2
-UNION ALL SELECT 'conflict_threshold', 'system', CASE WHEN v > 0.2 THEN 'error' ELSE 'warning' END, round(v, 6) FROM (SELECT (SELECT count(*) FROM by_asset)::DOUBLE / (SELECT count(DISTINCT asset_key) FROM keyed) AS v) WHERE v > 0.1"""))
+UNION ALL SELECT 'conflict_threshold', 'system', CASE WHEN v > 0.2 THEN 'error' ELSE 'warning' END, round(v, 6) FROM (SELECT (SELECT count(*) FROM by_asset)::DOUBLE / (SELECT count(DISTINCT asset_key) FROM keyed) AS v) WHERE v > 0.1
+UNION ALL SELECT 'conflict_rate', 'system', 'warning', round(rate, 6) FROM (SELECT arg_max(rate, ts) AS rate FROM rates) WHERE rate > 2
+UNION ALL SELECT 'conflict_peak', strftime(begin_ts, '%Y-%m-%d %H:%M'), 'info', round(rate, 6) FROM peaks"""))
 def conflict_alerts(spark: SparkSession, d: str) -> DataFrame:
-    rows = keyed(spark, d)
+    rows, hourly = keyed(spark, d), rates(spark, d)
     by_asset = merge.field_conflicts(rows, ["peg", "category", "website"]).groupBy("asset_key").agg(F.count(F.lit(1)).alias("n"))
-    return h.conflict_alerts(by_asset, rows.agg(F.countDistinct("asset_key").alias("n_assets")), 0.1, 2).withColumn("value", F.round("value", 6))
+    found = h.conflict_alerts(by_asset, rows.agg(F.countDistinct("asset_key").alias("n_assets")), 0.1, 2, hourly, MOST_PER_HOUR)
+    peaks = h.conflict_peaks(hourly, MOST_PER_HOUR).select(F.lit("conflict_peak").alias("type"), F.date_format("begin_ts", "yyyy-MM-dd HH:mm").alias("subject"), F.lit("info").alias("level"), F.col("rate").alias("value"))
+    return found.unionByName(peaks).withColumn("value", F.round("value", 6))
 
 
 FRESH = "fresh AS (SELECT source, max(ts) AS last_ts, (epoch_us((SELECT max(ts) FROM call_log)) - epoch_us(max(ts))) / 1000000.0::DOUBLE AS age_s FROM call_log WHERE success GROUP BY source)"
