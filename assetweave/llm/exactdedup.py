@@ -136,7 +136,9 @@ class Snapshots:
         for old in self.found:
             held = old.rows().select(F.col("sha").alias("held_sha"), F.col("body").alias("held_body")).hint("merge")
             mine = snapshot.rows().select("sha", "body").join(passed.where(F.col("snapshot") == old.number).select("sha"), "sha")
-            same.append(mine.join(held, (F.col("sha") == F.col("held_sha")) & (F.col("body") == F.col("held_body"))).select("sha", F.lit(old.number).alias("owner")))
+            # not an equality of bodies, as that would be a key of the join and bring all bodies out of their buckets
+            bytes_alike = (F.col("body") >= F.col("held_body")) & (F.col("body") <= F.col("held_body"))
+            same.append(mine.join(held, (F.col("sha") == F.col("held_sha")) & bytes_alike).select("sha", F.lit(old.number).alias("owner")))
         # a text that two snapshots hold belongs to the older one
         out = written(reduce(DataFrame.union, same).groupBy("sha").agg(F.min("owner").alias("owner")), "known")
         remove(self.spark, passed)
@@ -160,7 +162,7 @@ class Snapshots:
 def grouped(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """The groups of all texts of docs (doc_id, text), which are fed to new snapshots in batches of doc_id ranges."""
     spark, n = docs.sparkSession, docs.count()
-    store = Snapshots(spark, max(4, -(-n // SHARD_KEYS)))
+    store = Snapshots(spark, max(partitions(spark), -(-n // SHARD_KEYS)))
     cuts = cut_points(docs, "doc_id", batches)
     try:
         for low, high in zip([None, *cuts], [*cuts, None], strict=True):
