@@ -115,15 +115,3 @@ def test_merge_does_not_depend_on_row_order(spark):
     one = merge.merge_assets(rows).select("asset_key", "price", "mcap_source", "peg").collect()
     two = merge.merge_assets(rows.orderBy(F.xxhash64("key", "source"))).select("asset_key", "price", "mcap_source", "peg").collect()
     assert sorted(map(str, one)) == sorted(map(str, two))
-
-
-def test_stream_breaker_ends_as_the_batch_fold(spark):
-    from assetweave.plans.bindings import call_log
-    from assetweave.plans.streams import breaker_rows
-    from tests.oracle import DATA
-
-    batch = {r.source: (r.state, r.failures, r.opened) for r in health.breaker_state(call_log(spark, DATA), days=9999, threshold=3).collect()}
-    last = {}
-    for r in sorted(breaker_rows(spark, DATA).where("from_state IS NULL").collect(), key=lambda r: r.ts):
-        last[r.source] = (r.state, r.failures, r.opened)
-    assert last == batch
