@@ -35,10 +35,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_number(c: Column | str) -> Column:
-    """A number that never falls in the order of texts: that of their first seven bytes."""
-    text = F.col(c) if isinstance(c, str) else c
-    return F.conv(F.rpad(F.hex(F.substring(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+def free(df: DataFrame, *names: str) -> list[str]:
+    """These names, or ones like them that df has no column of."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
 
 
 def _place(cuts: Column, x: Column) -> Column:
@@ -53,17 +57,36 @@ def in_pieces(rows: DataFrame, keys: list[str], first: Column, second: Column |
     """
     at = [k / pieces for k in range(1, pieces)]
     kept = rows.columns
-    numbered = rows.withColumn("_first", first.cast("double"))
-    numbered = numbered.withColumn("_second", second.cast("double")) if second is not None else numbered.withColumn("_second", F.lit(0.0))
-    cuts = lambda df, by, c: df.groupBy(*by).agg(F.array_distinct(F.percentile_approx(c, F.array(*map(F.lit, at)), 16 * pieces)).alias("_cuts"))
+    one, two, place, found = free(rows, "first", "second", "place", "cuts")
+    numbered = rows.withColumns({one: first.cast("double"), two: second.cast("double") if second is not None else F.lit(0.0)})
+    cuts = lambda df, by, c: df.groupBy(*by).agg(F.array_distinct(F.percentile_approx(c, F.array(*map(F.lit, at)), 16 * pieces)).alias(found))
     join = lambda df, small, by: df.join(small, by, "left") if by else df.join(F.broadcast(small))
-    numbered = join(numbered, cuts(numbered, keys, "_first"), keys).withColumn("_p", _place(F.col("_cuts"), F.col("_first"))).drop("_cuts")
+    numbered = join(numbered, cuts(numbered, keys, one), keys).withColumn(place, _place(F.col(found), F.col(one))).drop(found)
     if second is None:
-        return numbered.select(*kept, F.array("_p", F.lit(0)).alias("piece"))
+        return numbered.select(*kept, F.array(place, F.lit(0)).alias("piece"))
     # pieces of odd numbers hold one value
-    again = cuts(numbered.where("_p % 2 = 1"), [*keys, "_p"], "_second")
-    numbered = numbered.join(again, [*keys, "_p"], "left")
-    return numbered.select(*kept, F.array("_p", F.coalesce(_place(F.col("_cuts"), F.col("_second")), F.lit(0))).alias("piece"))
+    again = cuts(numbered.where(F.col(place) % 2 == 1), [*keys, place], two)
+    numbered = numbered.join(again, [*keys, place], "left")
+    return numbered.select(*kept, F.array(place, F.coalesce(_place(F.col(found), F.col(two)), F.lit(0))).alias("piece"))
+
+
+def numbered(rows: DataFrame, by: list[Column], name: str = "rank", pieces: int | None = None) -> DataFrame:
+    """rows with their numbers, from 1, in the order of by, which had better tell all rows apart.
+
+    The rows are dealt once by ranges of the whole of by, sorted and written with their places in their ranges; a range's
+    number of rows then shifts those of the ranges after it. So the ranges are even whatever the columns hold, but for
+    rows that by doesn't tell apart, and no window is needed but over the ranges.
+    """
+    columns = [c for c in rows.columns if c.lower() != name.lower()]
+    at, piece, n, start = free(rows, "at", "piece", "n", "start")
+    dealt = rows.repartitionByRange(pieces or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).sortWithinPartitions(*by)
+    # the number of the partition, and the place in it in the lower 33 bits
+    placed = stored(dealt.select(*columns, F.monotonically_increasing_id().alias(at)), "numbered")
+    range_of = F.shiftright(F.col(at), 33)
+    sizes = placed.groupBy(range_of.alias(piece)).agg(F.count(F.lit(1)).alias(n))
+    starts = sizes.select(piece, (F.sum(n).over(Window.orderBy(piece)) - F.col(n)).alias(start))
+    joined = placed.join(F.broadcast(starts), range_of == F.col(piece))  # as many rows as there are ranges
+    return joined.select(*columns, (F.col(start) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias(name))
 
 
 def before(totals: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:

@@ -6,18 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetweave.functions.exprs import finite, half_up
-from assetweave.operators.ordered import PIECES, in_pieces, running, stored
+from assetweave.operators.ordered import numbered
 
 
-def ranked(rows: DataFrame, measure: Column, by: list[Column], tie: Column | None = None, buckets: int = PIECES) -> DataFrame:
-    """rows with rank, from 1, in the order of by, without a window over all rows.
-
-    measure: a number, never null, that never falls in the order of by; tie: one that doesn't where measure is equal. Their
-    approximate quantiles cut the rows into pieces; each piece ranks its own rows and adds the rows of the pieces before it.
-    rows are worked out once, as the quantiles, the pieces' sizes and the ranks all need them.
-    """
-    placed = in_pieces(stored(rows, "ranked"), [], measure, tie, buckets)
-    return running(placed, [], by, {"rank": F.lit(1)})
+def ranked(rows: DataFrame, *by: Column) -> DataFrame:
+    """rows with rank, from 1, in the order of by, without a window over all rows."""
+    return numbered(rows, list(by))
 
 
 def top(rows: DataFrame, n: int, *by: Column) -> DataFrame:

@@ -9,7 +9,6 @@ from assetweave.functions import taxonomy as tx
 from assetweave.functions.exprs import finite
 from assetweave.operators import merge
 from assetweave.operators.filters import market_data_valid, supply_data_valid
-from assetweave.operators.ordered import text_number
 from assetweave.operators.views import ranked
 from assetweave.plans.bindings import SOURCE_NAMES, SRC_ASSET, asset_platform, chain_history, src_asset, table, with_
 from assetweave.registry import query
@@ -103,7 +102,7 @@ def merge_assets(spark: SparkSession, d: str) -> DataFrame:
 @query("rank_assets", with_(*ALL, body="SELECT asset_key, name, mcap, row_number() OVER (ORDER BY coalesce(mcap, 0) DESC, asset_key) AS rank FROM merged WHERE (name IS NOT NULL OR symbol IS NOT NULL) AND price IS NOT NULL"))
 def rank_assets(spark: SparkSession, d: str) -> DataFrame:
     rows = merged(spark, d).where("(name IS NOT NULL OR symbol IS NOT NULL) AND price IS NOT NULL").select("asset_key", "name", "mcap")
-    return ranked(rows, -F.coalesce("mcap", F.lit(0.0)), [F.coalesce("mcap", F.lit(0.0)).desc(), F.col("asset_key")], text_number("asset_key"))
+    return ranked(rows, F.coalesce("mcap", F.lit(0.0)).desc(), F.col("asset_key"))
 
 
 @query("union_tags", with_(*ASSETS, body="SELECT asset_key, array_to_string(list_sort(list_distinct(flatten(list(tags)))), '|') AS tags FROM keyed GROUP BY asset_key"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from assetweave.functions.exprs import percent, slugify
 from assetweave.operators import merge, platforms
-from assetweave.operators.ordered import text_number
 from assetweave.operators.views import platform_rank_text, ranked, share_of_asset, top, top_and_others, top_per_group
 from assetweave.plans.assets import ALL, merged
 from assetweave.plans.bindings import ASSET_PLATFORM, CHAIN_HISTORY, asset_platform, chain_history, table, with_
@@ -69,7 +68,7 @@ def chain_data_completeness(spark: SparkSession, d: str) -> DataFrame:
 FROM (SELECT *, row_number() OVER (ORDER BY round(total_supply, 2) DESC, platform) AS rank FROM roll)"""))
 def rank_platforms(spark: SparkSession, d: str) -> DataFrame:
     rows = platforms.rollup(allocated(spark, d)).select("platform", F.round("total_supply", 2).alias("total_supply"))
-    return ranked(rows, -F.col("total_supply"), [F.col("total_supply").desc(), F.col("platform")], text_number("platform"), 4).withColumn("band", platform_rank_text(F.col("rank")))
+    return ranked(rows, F.col("total_supply").desc(), F.col("platform")).withColumn("band", platform_rank_text(F.col("rank")))
 
 
 @query("platforms_by_mcap", with_(*P, body="SELECT platform, round(mcap_sum, 2) AS mcap_sum FROM roll ORDER BY mcap_sum DESC"))

@@ -45,7 +45,7 @@ def result(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
 WINDOWS = "generate_series(time_bucket(INTERVAL '{0} minutes', ts - INTERVAL 1 HOUR) + INTERVAL '{0} minutes', time_bucket(INTERVAL '{0} minutes', ts), INTERVAL '{0} minutes')"
 
 
-@query("stream_latency_1h", with_(CALL_LOG, body=f"SELECT source, start, count(*) AS n, count(*) FILTER (WHERE NOT success) AS errors, round(sum(duration), 4) AS total_ms, max(duration) AS most_ms FROM (SELECT *, unnest({WINDOWS.format(5)}) AS start FROM call_log) GROUP BY source, start"))
+@query("stream_latency_1h", with_(CALL_LOG, body=f"SELECT source, start, count(*) AS n, count(*) FILTER (WHERE NOT success) AS errors, round(sum(duration), 4) AS total_ms, max(duration) AS most_ms, quantile_disc(CASE WHEN duration > 0 THEN duration END, 0.5) AS median, quantile_disc(CASE WHEN duration > 0 THEN duration END, 0.95) AS p95, quantile_disc(CASE WHEN duration > 0 THEN duration END, 0.99) AS p99 FROM (SELECT *, unnest({WINDOWS.format(5)}) AS start FROM call_log) GROUP BY source, start"))
 def stream_latency_1h(spark: SparkSession, d: str) -> DataFrame:
     got = result(spark, jobs.stream_latency_1h(landed_log(spark, d)), "complete")
     return got.withColumns({"total_ms": F.round("total_ms", 4), "start": F.col("start").cast("timestamp_ntz")})

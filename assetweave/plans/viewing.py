@@ -9,7 +9,6 @@ from assetweave.functions import exprs
 from assetweave.functions import taxonomy as tx
 from assetweave.operators import filters as fl
 from assetweave.operators import merge, views
-from assetweave.operators.ordered import text_number
 from assetweave.operators.standardize import view_row_valid
 from assetweave.plans.assets import ALL, ASSETS, CONFLICTS, keyed, merged
 from assetweave.plans.bindings import ASSET_PLATFORM, asset_platform, table, with_
@@ -94,11 +93,7 @@ def view_required_fields(spark: SparkSession, d: str) -> DataFrame:
 @query("rank_by_category", with_(*ALL, body="SELECT asset_key, category, mcap, row_number() OVER (ORDER BY CASE WHEN category = 'Stablecoin' THEN 0 ELSE 1 END, mcap DESC NULLS LAST, asset_key) AS rank FROM merged"))
 def rank_by_category(spark: SparkSession, d: str) -> DataFrame:
     by = [F.when(F.col("category") == "Stablecoin", 0).otherwise(1), F.col("mcap").desc_nulls_last(), F.col("asset_key")]
-    # a cap is under 1e18, so the blocks don't mix
-    measure = F.when(F.col("category") == "Stablecoin", 0.0).otherwise(1e19) - F.coalesce("mcap", F.lit(-1e18))
-    # rows of one measure differ in cap, or have none and go by key
-    tie = F.when(F.col("mcap").isNull(), text_number("asset_key").cast("double")).otherwise(-F.col("mcap"))
-    return views.ranked(merged(spark, d).select("asset_key", "category", "mcap"), measure, by, tie)
+    return views.ranked(merged(spark, d).select("asset_key", "category", "mcap"), *by)
 
 
 @query("top_assets", with_(*ALL, body="SELECT asset_key, mcap FROM merged WHERE mcap IS NOT NULL ORDER BY mcap DESC, asset_key LIMIT 20"))

@@ -35,15 +35,35 @@ def test_running_sums_equal_plain_ones(spark):
 def test_ranks_with_ties(spark):
     df, rows = many(spark)
     named = df.withColumn("name", F.concat(F.lit("k"), F.lpad("id", 5, "0")))
-    got = {r.id: r["rank"] for r in views.ranked(named, -F.col("x"), [F.col("x").desc(), F.col("name")], ordered.text_number("name")).collect()}
+    got = {r.id: r["rank"] for r in views.ranked(named, F.col("x").desc(), F.col("name")).collect()}
     assert got == {i: k for k, (_, i, _) in enumerate(sorted(rows, key=lambda r: (-r[2], r[1])), 1)}
-    assert views.ranked(named.limit(0), -F.col("x"), [F.col("name")]).count() == 0
+    assert views.ranked(named.limit(0), F.col("name")).count() == 0
 
 
-def test_text_numbers_never_fall(spark):
-    names = sorted(["", "a", "ab", "aB", "é", "zz", "A1", "A10", "A2", "\x00", "abcdefgh", "abcdefgi", "日本"], key=lambda t: t.encode())
-    got = [r.n for r in spark.createDataFrame([(k, t) for k, t in enumerate(names)], "k int, t string").select("k", ordered.text_number("t").alias("n")).orderBy("k").collect()]
-    assert got == sorted(got)
+def test_ranges_are_even_where_keys_have_a_long_prefix(spark):
+    rows = spark.range(20_000).select(F.lit(None).cast("double").alias("mcap"), F.concat(F.lit("https://x/"), F.lpad("id", 6, "0")).alias("key"), F.lit(1).alias("piece"), F.lit(2).alias("at"))
+    by = [F.col("mcap").desc_nulls_last(), F.col("key")]
+    got = ordered.numbered(rows, by, pieces=16)
+    assert got.columns == ["mcap", "key", "piece", "at", "rank"]
+    assert got.where("rank <> cast(right(key, 6) AS int) + 1").count() == 0
+    sizes = [r["count"] for r in rows.repartitionByRange(16, *by).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2 * 20_000 / 16
+
+
+def test_large_caps_keep_their_blocks(spark):
+    r = random.Random(4)
+    rows = [(k, "Stablecoin" if k % 3 else "Other", r.choice([None, float("inf"), r.uniform(-1e300, 1e300), 4e19 * r.random(), 5.0])) for k in range(2000)]
+    df = spark.createDataFrame(rows, "key long, category string, mcap double").repartition(5)
+    got = {x.key: x["rank"] for x in views.ranked(df, F.when(F.col("category") == "Stablecoin", 0).otherwise(1), F.col("mcap").desc_nulls_last(), F.col("key")).collect()}
+    wanted = sorted(rows, key=lambda x: (x[1] != "Stablecoin", x[2] is None, -(x[2] or 0), x[0]))
+    assert got == {x[0]: k for k, x in enumerate(wanted, 1)}
+
+
+def test_pieces_take_free_names(spark):
+    df, rows = many(spark)
+    odd = df.withColumns({n: F.lit(7) for n in ("first", "second", "place", "cuts", "_first")})
+    got = ordered.in_pieces(odd, ["source"], F.col("x"), F.col("id"))
+    assert got.columns == [*odd.columns, "piece"] and got.where("first + second + place + cuts + _first <> 35").count() == 0 and got.count() == len(rows)
 
 
 def test_values_at_places(spark):

@@ -103,3 +103,18 @@ def test_alerts_open_upgrade_resolve_and_expire(spark, tmp_path):
     jobs.publish(jobs.stream_alerts(stream, 2), target, str(tmp_path / "progress")).awaitTermination()
     got = sorted((r.source, r.event, r.level, r.t) for r in spark.read.parquet(target).withColumn("t", F.unix_seconds("ts")).collect())
     assert got == sorted([("a", "opened", "warning", 100), ("a", "upgraded", "critical", 400), ("a", "resolved", "critical", 500), ("a", "opened", "info", 900), ("a", "expired", "info", 900), ("b", "opened", "error", 1000), ("b", "expired", "error", 1000), ("b", "opened", "info", 3 * day), ("b", "expired", "info", 3 * day)])
+
+
+def test_percentiles_of_windows_within_their_error(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(k, "hot", 1_700_000_000 + k // 4, True, rng.choice([0.0, rng.expovariate(0.01)])) for k in range(12_000)]
+    path, target, accuracy = str(tmp_path / "in"), str(tmp_path / "out"), 50
+    for part in triggers(rows, 7, 3000):
+        schema = land(spark, path, part)
+    jobs.publish(jobs.stream_latency_1h(jobs.read_stream(spark, path, schema, files=1), accuracy), target, str(tmp_path / "progress"), "complete").awaitTermination()
+    got = spark.read.parquet(target).withColumn("t", F.unix_seconds("start")).collect()
+    assert len(got) > 10
+    for r in got:
+        own = sorted(ms for _, _, t, _, ms in rows if r.t <= t < r.t + 3600 and ms > 0)
+        for q, v in ((0.5, r.median), (0.95, r.p95), (0.99, r.p99)):
+            assert abs(own.index(v) + 1 - q * len(own)) <= len(own) / accuracy + 1
