@@ -80,10 +80,6 @@ def merge_assets(rows: DataFrame) -> DataFrame:
     )
 
 
-#: Segments of a name beyond those that its edits can touch and one more.
-SPARE = 2
-
-
 def capabilities(rows: DataFrame, fields: list[str]) -> DataFrame:
     """(field, source, prio, n, place): which sources give a field, in how many rows, from the best one of each field.
 
@@ -113,42 +109,3 @@ def field_conflicts(rows: DataFrame, fields: list[str]) -> DataFrame:
     long = rows.select("asset_key", "source", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])).alias("x")).select("asset_key", "source", "x.field", "x.value").where("value <> ''")
     got = long.groupBy("asset_key", "field").agg(F.count(F.lit(1)).alias("n_entries"), F.array_sort(F.collect_set(F.lower("value"))).alias("distinct_values"), F.array_sort(F.collect_set(F.struct("source", "value"))).alias("by_source"))
     return got.where((F.col("n_entries") >= 2) & (F.size("distinct_values") > 1))
-
-
-def similar_names(assets: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs of assets (left_key, right_key, likeness) that no source lists both of, whose names are alike.
-
-    The likeness is 1 - d / (length of the longer name) for d edits, so the longer name's length bounds d. Candidates are
-    those of a partition of the shorter name: cut into SPARE segments more than the d + 1 of which one must be left unchanged, it
-    has SPARE + 1 that the longer name has too; so its SPARE most frequent segments needn't be looked for, and words that
-    many names share don't bring all of them together. A segment may be shifted as far as the edits allow. Segments and the
-    longer names' pieces meet in an equi-join on lengths, edits, number and text; no pair is lost, whatever words differ.
-    Names are compared once however many assets have them. rows: asset_key, source, name.
-    """
-    name = F.lower(F.trim("name"))
-    named = assets.groupBy("asset_key").agg(F.min(name).alias("name"), F.array_sort(F.collect_set("source")).alias("sources")).where("name <> ''")
-    texts = named.select("name").distinct().withColumn("size", F.length("name"))
-    # edits allowed for a longer name of n characters, and the longest that a shorter one of n can have
-    edits = lambda n: f"CAST(floor({1 - threshold!r} * ({n}) + 1e-9) AS INT)"
-    longest = f"CAST(floor(size / {threshold!r} + 1e-9) AS INT)"
-    parts = f"least(size, edits + 1 + {SPARE})"
-    start = lambda i: f"CAST(floor(({i}) * size / {parts}) AS INT)"
-    each = lambda df, column, low, high: df.withColumn("_low", F.expr(low)).withColumn("_high", F.expr(high)).where("_low <= _high").withColumn(column, F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
-    numbered = lambda df: each(df, "i", "0", f"{parts} - 1").withColumn("at", F.expr(start("i"))).withColumn("length", F.expr(f"{start('i + 1')} - at"))
-    key = ["size", "edits", "i", "segment"]
-    segments = numbered(each(texts, "edits", edits("size"), edits(longest))).select("name", "size", "edits", "i", F.expr("substring(name, at + 1, length)").alias("segment"))
-    counted = segments.join(segments.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), key)
-    place = F.row_number().over(Window.partitionBy("name", "edits").orderBy(F.col("n").desc(), "i"))
-    rare = counted.withColumn("place", place).where(F.expr(f"place > {parts} - 1 - edits")).select("name", *key)
-    pieces = numbered(each(texts.select("name", F.col("size").alias("whole"), F.expr(edits("size")).alias("edits")), "size", "greatest(1, whole - edits)", "whole"))
-    # a shift against the start and what it leaves of the difference in length are edits
-    pieces = each(pieces, "place", "greatest(0, at - CAST(floor((edits - whole + size) / 2) AS INT))", "least(whole - length, at + CAST(floor((edits + whole - size) / 2) AS INT))")
-    pieces = pieces.select(F.col("name").alias("other"), "size", "edits", "i", F.expr("substring(name, place + 1, length)").alias("segment")).distinct()
-    pairs = rare.join(pieces, key).where("name <> other").select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
-    like = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))
-    pairs = pairs.withColumn("likeness", like).where(F.col("likeness") >= threshold)
-    left, right = (named.select(F.col("asset_key").alias(f"{k}_key"), F.col("name").alias(k), F.col("sources").alias(f"{k}_sources")) for k in "ab")
-    found = pairs.join(left, "a").join(right, "b")
-    same = left.join(right, F.col("a") == F.col("b")).where("a_key < b_key").withColumn("likeness", F.lit(1.0))
-    both = found.unionByName(same).where(~F.arrays_overlap("a_sources", "b_sources"))
-    return both.select(F.least("a_key", "b_key").alias("left_key"), F.greatest("a_key", "b_key").alias("right_key"), "likeness")

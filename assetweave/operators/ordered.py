@@ -113,3 +113,20 @@ def values_at(rows: DataFrame, keys: list[str], value: str, places: dict[str, Co
     upto = running(in_pieces(counted, keys, F.col(value)), keys, [F.col(value)], {"_upto": F.col("_n")})
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, *[p.cast("long").alias(f"_at_{c}") for c, p in places.items()])
     return upto.join(sizes, keys).groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") > F.col(f"_at_{c}"), F.col(value))).alias(c) for c in places])
+
+
+#: Keys that joined_by_size broadcasts, at most; each has over this part of all rows.
+HOT_KEYS = 1000
+
+
+def joined_by_size(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """rows with the columns of groups, which has one row for each key of rows and in size the number of rows that it stands for.
+
+    The keys of over a HOT_KEYS-th of all rows, which can't be more than HOT_KEYS, are broadcast; the others meet in a
+    join that shuffles, where none of them is large. Keys aren't null. rows and groups are read twice.
+    """
+    most, hot = free(groups, "most", "hot")
+    limit = F.broadcast(groups.agg((F.sum(size) / HOT_KEYS).alias(most)))
+    named = groups.join(limit).select(*groups.columns, (F.col(size) > F.col(most)).alias(hot))
+    few, many = named.where(F.col(hot)).drop(hot), named.where(~F.col(hot)).drop(hot)
+    return rows.join(F.broadcast(few), keys).unionByName(rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(many, keys))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assetweave.functions import taxonomy as tx
 from assetweave.functions.exprs import finite
-from assetweave.operators import merge
+from assetweave.operators import merge, names
 from assetweave.operators.filters import market_data_valid, supply_data_valid
 from assetweave.operators.views import ranked
 from assetweave.plans.bindings import SOURCE_NAMES, SRC_ASSET, asset_platform, chain_history, src_asset, table, with_
@@ -201,21 +201,34 @@ def spelled(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.concat(F.lit("A"), key).alias("asset_key"), source.alias("source"), F.when(key % 2 == 1, wrong).otherwise(F.col("name")).alias("name"))
 
 
-@query("align_by_name_similarity", with_(SPELLED, body="""
-SELECT a.asset_key AS left_key, b.asset_key AS right_key, round(1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)), 6) AS likeness
-FROM names a JOIN names b ON a.asset_key < b.asset_key AND NOT list_has_any(a.sources, b.sources)
-WHERE 1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)) >= 0.8"""))
+#: Assets of one name and the same sources, and the links between them.
+CLASSES = """
+sorted_names AS (SELECT asset_key, name, list_sort(sources) AS sources FROM names WHERE name <> ''),
+classes AS (SELECT name, sources, min(asset_key) AS class_key, count(*) AS n FROM sorted_names GROUP BY 1, 2),
+links AS (SELECT a.class_key AS left_key, b.class_key AS right_key, a.n AS n_left, b.n AS n_right, 1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)) AS likeness
+  FROM classes a JOIN classes b ON a.class_key < b.class_key AND NOT list_has_any(a.sources, b.sources) WHERE 1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)) >= 0.8)"""
+
+
+@query("align_by_name_similarity", with_(SPELLED, CLASSES, body="SELECT left_key, right_key, round(likeness, 6) AS likeness, n_left, n_right FROM links"))
 def align_by_name_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return merge.similar_names(spelled(spark, d)).select("left_key", "right_key", F.round("likeness", 6).alias("likeness"))
+    """Links between classes of assets; name_classes has their members."""
+    return names.similar_names(spelled(spark, d)).withColumn("likeness", F.round("likeness", 6))
+
+
+@query("name_classes", with_(SPELLED, CLASSES, body="""
+, ends AS (SELECT left_key AS class_key, n_right AS n FROM links UNION ALL SELECT right_key, n_left FROM links)
+SELECT asset_key, class_key, coalesce((SELECT sum(e.n) FROM ends e WHERE e.class_key = c.class_key), 0)::BIGINT AS n_links FROM sorted_names s JOIN classes c ON s.name = c.name AND s.sources = c.sources"""))
+def name_classes(spark: SparkSession, d: str) -> DataFrame:
+    return names.class_members(spelled(spark, d))
 
 
 NETWORKS = """
 networks AS (SELECT 'A' || key AS asset_key, s AS seq, pos, CASE WHEN (key + s) % 2 = 0 THEN platform ELSE lower(platform) END AS network,
-  CASE WHEN s = 2 THEN NULL ELSE '0x' || pos % 7 END AS contract, supply FROM asset_platform, (VALUES (0), (1), (2)) t(s) WHERE (key + pos + s) % 4 = 0)"""
+  CASE WHEN s = 2 THEN NULL ELSE '0x' || pos % 7 END AS contract, supply FROM asset_platform, (VALUES (0), (1), (2)) t(s))"""
 
 
 def network_rows(spark: SparkSession, d: str) -> DataFrame:
-    rows = asset_platform(spark, d).withColumn("seq", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).where("(key + pos + seq) % 4 = 0")
+    rows = asset_platform(spark, d).withColumn("seq", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     return rows.select(F.concat(F.lit("A"), "key").alias("asset_key"), "seq", "pos", F.when((F.col("key") + F.col("seq")) % 2 == 0, F.col("platform")).otherwise(F.lower("platform")).alias("network"), F.when(F.col("seq") != 2, F.concat(F.lit("0x"), F.col("pos") % 7)).alias("contract"), "supply")
 
 

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from assetweave.operators import health, merge, ordered, views
+from assetweave.operators import health, ordered, views
 
 
 def many(spark, n=3000):
@@ -90,45 +90,3 @@ def test_first_opening_over_pieces(spark, share):
         if count >= 4 and not ok:
             wanted.setdefault(s, k)
     assert got == wanted
-
-
-def edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row, last = [i], row
-        for j, y in enumerate(b, 1):
-            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
-    return row[-1]
-
-
-def test_similar_names_equal_brute_force(spark):
-    r = random.Random(13)
-    letters = "abcdef "
-    names = []
-    for _ in range(60):
-        base = "".join(r.choice(letters) for _ in range(r.choice([1, 2, 4, 5, 9, 10, 16, 25, 40]))).strip() or "a"
-        for _ in range(3):
-            t = list(base)
-            for _ in range(r.randint(0, max(1, len(t) // 4))):
-                k, how = r.randrange(len(t) + 1), r.randrange(3)
-                if how == 0:
-                    t.insert(k, r.choice(letters))
-                elif k < len(t):
-                    t[k : k + 1] = [] if how == 1 else [r.choice(letters)]
-            names.append("".join(t).strip())
-    rows = [(f"K{k:03d}", "wxyz"[k % 4], t) for k, t in enumerate(names)] + [("K000", "x", names[0]), ("N1", "w", None), ("N2", "x", " "), ("T1", "w", "tether usd token"), ("T2", "x", "TEHTER usd token ")]
-    got = {(x.left_key, x.right_key): x.likeness for x in merge.similar_names(spark.createDataFrame(rows, "asset_key string, source string, name string")).collect()}
-    by = {}
-    for key, source, name in rows:
-        if name and name.strip():
-            old = by.get(key, (None, set()))
-            by[key] = (min(filter(None, (old[0], name.strip().lower()))), old[1] | {source})
-    wanted = {}
-    for a in sorted(by):
-        for b in sorted(by):
-            if a < b and not by[a][1] & by[b][1]:
-                like = 1 - edits(by[a][0], by[b][0]) / max(len(by[a][0]), len(by[b][0]))
-                if like >= 0.8:
-                    wanted[a, b] = like
-    assert set(got) == set(wanted) and len(wanted) > 20 and ("T1", "T2") in got
-    assert all(got[k] == pytest.approx(wanted[k]) for k in got)
