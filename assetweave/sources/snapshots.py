@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from assetweave.sources.jsonarrays import elements, parsed
 from assetweave.sources.versions import publish
 
 USD = "struct<price:double,market_cap:double,volume_24h:double,percent_change_24h:double>"
@@ -17,24 +18,17 @@ BREAKDOWNS = ["networkBreakdown", "network_breakdown", "breakdown", "networks",
 METRIC = "struct<id:string,name:string,symbol:string,slug:string,tags:array<string>,supply:struct<circulating:double,total:double,max:double>,profile:struct<general:struct<overview:struct<project_details:string,official_links:array<struct<link:string>>>>,images:struct<logo:string>>," + ",".join(f"{b}:string" for b in BREAKDOWNS) + ">"
 AMOUNTS = "map<string,double>"
 PEGGED = f"struct<id:string,name:string,symbol:string,pegType:string,pegMechanism:string,price:double,circulating:{AMOUNTS},chains:array<string>,chainCirculating:map<string,struct<current:{AMOUNTS},circulatingPrevDay:{AMOUNTS},circulatingPrevWeek:{AMOUNTS},circulatingPrevMonth:{AMOUNTS}>>>"
-MARKET = "id string, symbol string, name string, image string, current_price double, market_cap double, total_volume double, price_change_percentage_24h double, market_cap_rank int, circulating_supply double, total_supply double"
-
-
-def _json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+MARKET = "struct<id:string,symbol:string,name:string,image:string,current_price:double,market_cap:double,total_volume:double,price_change_percentage_24h:double,market_cap_rank:int,circulating_supply:double,total_supply:double>"
 
 
 def scan_listings(spark: SparkSession, path: str) -> DataFrame:
     """{data: [...]}, one row an asset."""
-    return _json(spark, path, f"data array<{LISTING}>").select(F.inline("data"))
+    return parsed(elements(spark, path, "data"), LISTING)
 
 
 def scan_supply_metrics(spark: SparkSession, path: str) -> DataFrame:
     """{data: [...]} or a bare array; breakdown is the first non-empty of BREAKDOWNS, an array or an object's values."""
-    whole = spark.read.text(path, wholetext=True)
-    wrapped = F.from_json("value", f"data array<{METRIC}>")["data"]
-    bare = F.from_json("value", f"array<{METRIC}>")
-    rows = whole.select(F.when(F.ltrim("value").startswith("["), bare).otherwise(wrapped).alias("x")).select(F.inline("x"))
+    rows = parsed(elements(spark, path, "data"), METRIC)
 
     def listed(c: str):
         array = F.when(F.ltrim(c).startswith("["), F.from_json(c, f"array<{LINK}>"))
@@ -49,13 +43,12 @@ def scan_supply_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_chain_supply(spark: SparkSession, path: str) -> DataFrame:
     """{peggedAssets: [...]}; a snapshot without them is an error."""
-    rows = _json(spark, path, f"peggedAssets array<{PEGGED}>")
-    return rows.select(F.inline(F.when(F.col("peggedAssets").isNull(), F.raise_error(F.lit("the snapshot has no peggedAssets")).cast(f"array<{PEGGED}>")).otherwise(F.col("peggedAssets"))))
+    return parsed(elements(spark, path, "peggedAssets", needed=True), PEGGED)
 
 
 def scan_markets(spark: SparkSession, path: str) -> DataFrame:
     """A bare array."""
-    return _json(spark, path, MARKET)
+    return parsed(elements(spark, path), MARKET)
 
 
 def scan_distinct_pegs(raw: DataFrame) -> DataFrame:
