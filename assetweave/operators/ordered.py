@@ -35,6 +35,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows, dealt to all cores if they come in fewer parts than there are, as those of a small file do."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= n else rows.repartition(n)
+
+
 def free(df: DataFrame, *names: str) -> list[str]:
     """These names, or ones like them that df has no column of."""
     taken, out = {c.lower() for c in df.columns}, []

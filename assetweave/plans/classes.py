@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from assetweave.functions import taxonomy as tx
 from assetweave.operators import classify as cl
 from assetweave.operators.filters import fiat_backed
+from assetweave.operators.ordered import spread
 from assetweave.plans.bindings import ASSET_TEXT, SRC_ASSET, asset_text, src_asset, table, with_
 from assetweave.registry import query
 
@@ -49,7 +50,7 @@ C = (ASSET_TEXT, CLASSED)
 
 
 def classed(spark: SparkSession, d: str) -> DataFrame:
-    return cl.classify(asset_text(spark, d)).withColumnRenamed("peg_found", "peg")
+    return cl.classify(spread(asset_text(spark, d))).withColumnRenamed("peg_found", "peg")
 
 
 def lowered(spark: SparkSession, d: str) -> DataFrame:
