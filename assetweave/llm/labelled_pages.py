@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import random
 
+#: The share of pages whose main text is in body itself.
+BARE = 0.2
 SYLLABLES = "ka lo mi ter sun dar vel po rin est ombra qui tas ner ul fe gra shi bo wen".split()
 CONTENT = ["content", "main-content", "post-content", "entry", "entry-content", "story-body", "article-body", "articleText", "post", "page-body", "text", "articletext"]
 MENU = ["nav", "menu", "navbar", "main-menu", "breadcrumbs", "topnav", "navigation", "subnav", "dropdown", "pagination", "pager"]
@@ -110,8 +112,22 @@ class Maker:
             return f"<{(t := r.choice(['footer', 'div']))}{self.attr(FOOTER, 1.0 if t == 'div' else 0.4)}{m}>{r.choice(['&copy; ', ''])}{self.words(1, 5)} &middot; {self.sentence()}</{t}>"
         return f"<{(t := r.choice(['header', 'div']))}{self.attr(HEADER, 1.0 if t == 'div' else 0.4)}{m}>{r.choice(['<h1>', '<p>'])}{self.words(1, 5)}{r.choice(['', self.links(3)])}</{t}>"
 
+    def bare_page(self) -> str:
+        """A page whose main text stands right in body, among what isn't."""
+        r = self.r
+        body = [f"<h1>{self.words(1, 10)}</h1>"] if r.random() < 0.5 else []
+        for _ in range(r.choice([1, 1, 2, 2, 3, 4, 5, 8, 12])):
+            body.append(self.block())
+            if r.random() < 0.05:
+                body.append(self.noise(True))
+        before = [self.noise(True) for _ in range(r.randint(0, 3))]
+        after = [self.noise(True) for _ in range(r.randint(0, 3))]
+        return f'<!DOCTYPE html><html><head><title>{self.words(2, 8)}</title></head><body data-main="1">{"".join([*before, *body, *after])}</body></html>'
+
     def page(self) -> str:
         r = self.r
+        if r.random() < BARE:
+            return self.bare_page()
         body = [f"<h1>{self.words(1, 10)}</h1>"] if r.random() < 0.8 else []
         for _ in range(r.choice([0, 1, 1, 2, 2, 3, 5, 8, 12])):
             body.append(self.block())
