@@ -28,13 +28,27 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+#: What stored() has written, by session.
+_written: dict[str, list[str]] = {}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once in the shared folder and read from there."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_stored(spark: SparkSession) -> int:
+    """Deletes all that stored() has written in this application; for when no result that reads it is needed any more."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """rows, dealt to all cores if they come in fewer parts than there are, as those of a small file do."""
     n = rows.sparkSession.sparkContext.defaultParallelism

@@ -90,3 +90,12 @@ def test_first_opening_over_pieces(spark, share):
         if count >= 4 and not ok:
             wanted.setdefault(s, k)
     assert got == wanted
+
+
+def test_what_is_stored_can_be_cleared(spark):
+    import os
+
+    df = ordered.stored(spark.range(3), "three")
+    folder = os.path.dirname(df.inputFiles()[0].removeprefix("file://"))
+    assert df.count() == 3 and os.path.isdir(folder)
+    assert ordered.clear_stored(spark) >= 1 and not os.path.exists(folder) and ordered.clear_stored(spark) == 0
