@@ -127,11 +127,22 @@ def running(rows: DataFrame, keys: list[str], order: list[Column], values: dict[
     return joined.select(*[c for c in rows.columns if c != "piece"], *[(F.col(f"_before_{n}") + F.col(f"_own_{n}")).alias(n) for n in values])
 
 
+#: Rows of a key up to which they are one piece, an array.
+SMALL = 10_000
+
+
 def values_at(rows: DataFrame, keys: list[str], value: str, places: dict[str, Column]) -> DataFrame:
-    """Per key the values that stand at these places, from 0, of the ascending order of value; places are made of n."""
+    """Per key the values that stand at these places, from 0, of the ascending order of value; places are made of n.
+
+    Where the largest key has few rows, each is one array; else keys are cut into pieces. The values are the same.
+    """
+    sized = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    if (sized.agg(F.max("n")).first()[0] or 0) <= SMALL:
+        arrays = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("_values"), F.count(F.lit(1)).alias("n"))
+        return arrays.select(*keys, *[F.get("_values", p.cast("int")).alias(c) for c, p in places.items()])
     counted = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     upto = running(in_pieces(counted, keys, F.col(value)), keys, [F.col(value)], {"_upto": F.col("_n")})
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, *[p.cast("long").alias(f"_at_{c}") for c, p in places.items()])
+    sizes = sized.select(*keys, *[p.cast("long").alias(f"_at_{c}") for c, p in places.items()])
     return upto.join(sizes, keys).groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") > F.col(f"_at_{c}"), F.col(value))).alias(c) for c in places])
 
 

@@ -66,7 +66,9 @@ def test_pieces_take_free_names(spark):
     assert got.columns == [*odd.columns, "piece"] and got.where("first + second + place + cuts + _first <> 35").count() == 0 and got.count() == len(rows)
 
 
-def test_values_at_places(spark):
+@pytest.mark.parametrize("small", [10_000, 0])
+def test_values_at_places(spark, monkeypatch, small):
+    monkeypatch.setattr(ordered, "SMALL", small)
     df, rows = many(spark)
     got = {r.source: tuple(r)[1:] for r in ordered.values_at(df, ["source"], "x", {"first": F.lit(0), "mid": F.floor(F.col("n") / 2), "last": F.col("n") - 1}).collect()}
     for s in ("hot", "cold"):
