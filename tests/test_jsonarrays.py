@@ -35,7 +35,7 @@ def found(spark, path, *args, **options):
 def test_elements_of_any_layout(spark, tmp_path, limit):
     r, wanted = random.Random(3), {}
     for k, (indent, wrap) in enumerate((i, w) for i in (None, 2) for w in ("bare", "data", "around", "late")):
-        rows = [asset(r, j) for j in range(40 if k else 1)]
+        rows = [asset(r, j) for j in range((6 if limit == "70" else 40) if k else 1)]
         doc = {"bare": rows, "data": {"data": rows}, "around": {"status": {"a": [{"n": 1}, {"n": 2}]}, "data": rows, "end": {"b": [{"m": {}}, {"n": 3}]}}, "late": {"errors": [], "note": '"data": [', "data": rows}}[wrap]
         wanted[f"f{k}.json"] = list(enumerate(rows))
         (tmp_path / f"f{k}.json").write_text(json.dumps(doc, indent=indent, ensure_ascii=k % 3 == 0))
