@@ -4,13 +4,15 @@ The likeness is 1 - d / (length of the longer name) for d edits, so the longer n
 sources are a class; names are compared once, and links are between classes, so copies of a name cost no pairs.
 
 Candidates are found without loss. For a short name: the partition of the shorter name into segments, of which some are left
-unchanged; the longer name has them, shifted as far as the edits allow. For a long one: grams of GRAM characters, each edit of
+unchanged; the longer name has them, two at once where edits are few, shifted as far as the edits allow. For a long one: grams of GRAM characters, each edit of
 which spoils GRAM at the most; of two names alike, the rarest grams of the one, as many as edits can spoil and one more, have
 one in common with those of the other.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,10 @@ from assetweave.operators.ordered import joined_by_size, stored
 
 #: Segments of a name beyond those that its edits can touch and one more.
 SPARE = 2
+#: Up to so many edits, two segments are looked for at once.
+PAIRED = 4
+#: The longer names of frequent segments are dealt to so many tasks.
+SHARES = 8
 #: Shorter names of this length or more are compared by grams.
 LONG, GRAM = 32, 3
 
@@ -38,29 +44,51 @@ def _named(assets: DataFrame) -> DataFrame:
 
 
 def _short_pairs(texts: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): candidates of which the shorter has fewer than LONG characters.
+    """(a, b, edits): candidates of which the shorter has fewer than LONG characters, and the edits allowed; a pair may come more than once.
 
-    A name is cut into SPARE segments more than the d + 1 of which one must be left unchanged, so it has SPARE + 1 that the
-    longer name has too, and its SPARE most frequent ones needn't be looked for. Segments and the longer names' pieces meet
-    in an equi-join on lengths, edits, number and text.
+    With few edits d, a name is cut into d + 2 segments, two of which the longer name has too, each shifted: the shifts
+    of the one, of the other against it and of the end are edits. Names that have only common words alike don't meet so.
+    With more edits it is cut into SPARE segments more than the d + 1 of which one must be left unchanged, so it has
+    SPARE + 1 that the longer name has too, and its SPARE most frequent ones needn't be looked for. Segments and the longer
+    names' pieces meet in an equi-join on lengths, edits, numbers and texts.
     """
     # edits allowed for a longer name of n characters, and the longest that a shorter one of n can have
     edits = lambda n: _floor(f"{1 - threshold!r} * ({n})")
     longest = _floor(f"size / {threshold!r}")
-    parts = f"least(size, edits + 1 + {SPARE})"
+    two = f"(edits <= {PAIRED} AND size >= edits + 2)"
+    parts = f"least(size, edits + IF{two[:-1]}, 2, {1 + SPARE}))"
     start = lambda i: f"CAST(floor(({i}) * size / {parts}) AS INT)"
     each = lambda df, column, low, high: df.withColumn("_low", F.expr(low)).withColumn("_high", F.expr(high)).where("_low <= _high").withColumn(column, F.explode(F.sequence("_low", "_high"))).drop("_low", "_high")
-    split = lambda df: each(df, "i", "0", f"{parts} - 1").withColumn("at", F.expr(start("i"))).withColumn("length", F.expr(f"{start('i + 1')} - at"))
+    place = lambda df, i, at, length: df.withColumn(at, F.expr(start(i))).withColumn(length, F.expr(f"{start(f'{i} + 1')} - {at}"))
+    split = lambda df: place(each(df, "i", "0", f"{parts} - 1"), "i", "at", "length")
+    couple = lambda df: place(place(each(each(df, "i", "0", f"{parts} - 2"), "j", "i + 1", f"{parts} - 1"), "i", "at", "length"), "j", "at2", "length2")
+    # without edits there are no two names; a piece of a length that no shorter name has isn't cut
+    shorter = each(texts.where(F.col("size") < LONG), "edits", f"greatest(1, {edits('size')})", edits(longest))
+    longer = each(texts.where(F.col("size") <= LONG / threshold).select(F.col("name").alias("other"), F.col("size").alias("whole"), F.expr(edits("size")).alias("edits")), "size", "greatest(1, whole - edits)", f"least(whole, {LONG - 1})")
+    longer = longer.join(F.broadcast(shorter.select("size", "edits").distinct()), ["size", "edits"])
+    # a shift against the start and what it leaves of the difference in length are edits
+    low, high = "- CAST(floor((edits - whole + size) / 2) AS INT)", "CAST(floor((edits + whole - size) / 2) AS INT)"
+    once = "size < whole AND name <> other OR name < other"
+
     key = ["size", "edits", "i", "segment"]
-    segments = split(each(texts.where(F.col("size") < LONG), "edits", edits("size"), edits(longest))).select("name", "size", "edits", "i", F.expr("substring(name, at + 1, length)").alias("segment"))
+    segments = split(shorter.where(f"NOT {two}")).select("name", "size", "edits", "i", F.expr("substring(name, at + 1, length)").alias("segment"))
     counted = segments.join(segments.groupBy(*key).agg(F.count(F.lit(1)).alias("n")), key)
-    place = F.row_number().over(Window.partitionBy("name", "edits").orderBy(F.col("n").desc(), "i"))
-    rare = counted.withColumn("place", place).where(F.expr(f"place > {parts} - 1 - edits")).select("name", *key)
-    pieces = split(each(texts.where(F.col("size") <= LONG / threshold).select("name", F.col("size").alias("whole"), F.expr(edits("size")).alias("edits")), "size", "greatest(1, whole - edits)", f"least(whole, {LONG - 1})"))
-    # a shift against the start and what it leaves of the difference in length are edits
-    pieces = each(pieces, "place", "greatest(0, at - CAST(floor((edits - whole + size) / 2) AS INT))", "least(whole - length, at + CAST(floor((edits + whole - size) / 2) AS INT))")
-    pieces = pieces.select(F.col("name").alias("other"), "size", "edits", "i", F.expr("substring(name, place + 1, length)").alias("segment")).distinct()
-    return rare.join(pieces, key).where("name <> other").select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b"))
+    order = F.row_number().over(Window.partitionBy("name", "edits").orderBy(F.col("n").desc(), "i"))
+    rare = counted.withColumn("place", order).where(F.expr(f"place > {parts} - 1 - edits")).select("name", *key)
+    pieces = each(split(longer.where(f"NOT {two}")), "place", f"greatest(0, at {low})", f"least(whole - length, at + {high})")
+    pieces = pieces.select("other", "whole", "size", "edits", "i", F.expr("substring(other, place + 1, length)").alias("segment")).distinct()
+    met = rare.join(pieces, key).where(once).select("name", "other", "edits")
+
+    # hashes only make further candidates
+    hashed = lambda text, x, y: F.expr(f"xxhash64(size, edits, i, j, substring({text}, at + {x} + 1, length), substring({text}, at2 + {y} + 1, length2))").alias("key")
+    left = couple(shorter.where(two)).select("name", "size", hashed("name", "0", "0"), F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    shifted = each(each(couple(longer.where(two)), "x", low, high), "y", low, high)
+    shifted = shifted.where("abs(x) + abs(y - x) + abs(whole - size - y) <= edits AND at + x >= 0 AND at2 + y >= at + x + length AND at2 + y + length2 <= whole")
+    right = shifted.select("other", "whole", "edits", hashed("other", "x", "y"), F.pmod(F.xxhash64("other"), F.lit(SHARES)).cast("int").alias("share"))
+    # the rows are few against the pairs that they make, so their partitions mustn't be put together by size
+    left, right = (df.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key", "share") for df in (left, right))
+    met = met.union(left.join(right, ["key", "share"]).where(once).select("name", "other", "edits"))
+    return met.select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b"), "edits")
 
 
 def _long_pairs(texts: DataFrame, threshold: float) -> DataFrame:
@@ -81,14 +109,22 @@ def _long_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def similar_texts(texts: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(a, b, likeness): pairs of different names alike, a before b. texts: name, size; each name once."""
+    size = F.greatest(F.length("a"), F.length("b"))
+    # exploded, so that filters don't work out the edits again
+    near = lambda pairs, d: pairs.withColumn("d", F.explode(F.array(d))).where("d >= 0").select("a", "b", (1 - F.col("d") / size).alias("likeness")).where(F.col("likeness") >= threshold)
+    # most candidates of short names aren't alike, so that they are compared, as far as their edits go, before copies of a pair are put together
+    bounded: Column = F.coalesce(*[F.when(F.col("edits") == d, F.levenshtein("a", "b", d)) for d in range(1, math.floor((1 - threshold) * LONG / threshold + 1e-9) + 1)])
+    return near(_short_pairs(texts, threshold), bounded).distinct().union(near(_long_pairs(texts, threshold).distinct(), F.levenshtein("a", "b")))
+
+
 def similar_names(assets: DataFrame, threshold: float = 0.8) -> DataFrame:
     """(left_key, right_key, likeness, n_left, n_right): pairs of classes (name_classes) that have no source in common and
     names alike; each asset of the one is linked with each of the other. assets: asset_key, source, name."""
     classes = stored(name_classes(assets), "name_classes")
     texts = classes.select("name").distinct().withColumn("size", F.length("name"))
-    pairs = _short_pairs(texts, threshold).union(_long_pairs(texts, threshold)).distinct()
-    like: Column = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"))
-    pairs = pairs.withColumn("likeness", like).where(F.col("likeness") >= threshold)
+    pairs = similar_texts(texts, threshold)
     left, right = (classes.select(F.col("class_key").alias(f"{k}_key"), F.col("name").alias(k), F.col("sources").alias(f"{k}_sources"), F.col("n").alias(f"{k}_n")) for k in "ab")
     found = pairs.join(left, "a").join(right, "b")
     same = left.join(right, F.col("a") == F.col("b")).where("a_key < b_key").withColumn("likeness", F.lit(1.0))
@@ -106,3 +142,28 @@ def class_members(assets: DataFrame, threshold: float = 0.8) -> DataFrame:
     classes = stored(name_classes(assets).join(links, "class_key", "left"), "linked_classes")
     rows = joined_by_size(_named(assets), classes, ["name", "sources"], "n")
     return rows.select("asset_key", "class_key", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def aligned_entries(entries: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Links between names and the members of each name: (kind, left_key, right_key, likeness, n_left, n_right, n_links).
+
+    entries: asset_key, source, name. All entries of one name are a class, whatever their sources; its key is the least of theirs.
+    kind "link": two classes with names alike and the number of pairs of their entries that have no source in common, one at
+    least. kind "member": an entry, its class and the number of entries of the class that it has no source in common with.
+    """
+    parts = name_classes(entries)
+    whole = parts.groupBy("name").agg(F.min("class_key").alias("key"), F.sum("n").alias("n"), F.collect_list(F.struct("sources", "n")).alias("parts"))
+    whole = stored(whole, "names")  # of a name there are as many parts as there are sets of sources
+    pairs = similar_texts(whole.select("name", F.length("name").alias("size")), threshold)
+    one, two = (whole.select(F.col("name").alias(k), F.col("key").alias(f"{k}_key"), F.col("n").alias(f"{k}_n"), F.col("parts").alias(f"{k}_parts")) for k in "ab")
+    apart = "aggregate({}, 0L, (s, y) -> s + IF(arrays_overlap({}, y.sources), 0L, y.n))"
+    n_links = F.expr(f"aggregate(a_parts, 0L, (t, x) -> t + x.n * {apart.format('b_parts', 'x.sources')})")
+    first = F.col("a_key") < F.col("b_key")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    links = pairs.join(one, "a").join(two, "b").select(
+        F.lit("link").alias("kind"), pick("a_key", "b_key").alias("left_key"), pick("b_key", "a_key").alias("right_key"), "likeness", pick("a_n", "b_n").alias("n_left"), pick("b_n", "a_n").alias("n_right"), n_links.alias("n_links")
+    ).where("n_links > 0")
+    members = joined_by_size(_named(entries), whole, ["name"], "n").select(
+        F.lit("member").alias("kind"), F.col("asset_key").alias("left_key"), F.col("key").alias("right_key"), F.lit(1.0).alias("likeness"), F.lit(1).cast("long").alias("n_left"), F.col("n").alias("n_right"), F.expr(apart.format("parts", "sources")).alias("n_links")
+    )
+    return links.unionByName(members)

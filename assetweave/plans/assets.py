@@ -209,10 +209,25 @@ links AS (SELECT a.class_key AS left_key, b.class_key AS right_key, a.n AS n_lef
   FROM classes a JOIN classes b ON a.class_key < b.class_key AND NOT list_has_any(a.sources, b.sources) WHERE 1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)) >= 0.8)"""
 
 
-@query("align_by_name_similarity", with_(SPELLED, CLASSES, body="SELECT left_key, right_key, round(likeness, 6) AS likeness, n_left, n_right FROM links"))
+#: Each listing of each source, and the misspelled names; the names that they have and the links between those.
+ENTRIES = """
+entries AS (SELECT asset_key || ':' || source AS asset_key, source, name FROM keyed UNION ALL SELECT asset_key, source, name FROM spelled),
+entry_names AS (SELECT asset_key, min(lower(trim(name))) AS name, list_sort(list(DISTINCT source)) AS sources FROM entries GROUP BY 1 HAVING min(lower(trim(name))) <> ''),
+parts AS (SELECT name, sources, count(*) AS n FROM entry_names GROUP BY 1, 2),
+whole AS (SELECT name, min(asset_key) AS key, count(*) AS n FROM entry_names GROUP BY 1),
+alike AS (SELECT a.name AS a_name, b.name AS b_name, a.key AS left_key, b.key AS right_key, a.n AS n_left, b.n AS n_right, 1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)) AS likeness
+  FROM whole a JOIN whole b ON a.key < b.key WHERE 1 - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)) >= 0.8)"""
+
+
+@query("align_by_name_similarity", with_(SRC_ASSET, KEYED, SPELLED, ENTRIES, body="""
+SELECT 'link' AS kind, left_key, right_key, round(likeness, 6) AS likeness, n_left, n_right, sum(x.n * y.n)::BIGINT AS n_links
+FROM alike JOIN parts x ON x.name = a_name JOIN parts y ON y.name = b_name AND NOT list_has_any(x.sources, y.sources) GROUP BY ALL
+UNION ALL SELECT 'member', e.asset_key, w.key, 1::DOUBLE, 1::BIGINT, w.n, coalesce((SELECT sum(p.n) FROM parts p WHERE p.name = e.name AND NOT list_has_any(p.sources, e.sources)), 0)::BIGINT
+FROM entry_names e JOIN whole w ON w.name = e.name"""))
 def align_by_name_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """Links between classes of assets; name_classes has their members."""
-    return names.similar_names(spelled(spark, d)).withColumn("likeness", F.round("likeness", 6))
+    """Links between names of listings of different sources, and the members of each name."""
+    listings = keyed(spark, d).select(F.concat_ws(":", "asset_key", "source").alias("asset_key"), "source", "name")
+    return names.aligned_entries(listings.unionByName(spelled(spark, d))).withColumn("likeness", F.round("likeness", 6))
 
 
 @query("name_classes", with_(SPELLED, CLASSES, body="""

@@ -92,3 +92,37 @@ def test_copies_of_a_name_make_no_pairs(spark):
     got = {r.asset_key: (r.class_key, r.n_links) for r in names.class_members(df).collect()}
     assert len(got) == 3001 and got["A00004"] == ("A00000", 2250) and got["A00001"] == ("A00001", 2251) and got["B"] == ("B", 2250)
     assert names.class_members(df.limit(0)).count() == 0
+
+
+def test_entries_of_all_sources_are_aligned(spark):
+    """Links between names whatever their sources, and each entry as a member of its name."""
+    r, letters = random.Random(19), "abcd 12"
+    bases = ["red plate 12345", "small widget 123", "old rod 77", "ab"]
+    named = [edited(r, r.choice(bases), r.randint(0, 3), letters) for _ in range(120)]
+    rows = [(f"E{k:03d}", "wxyz"[r.randrange(4)], named[k % 120]) for k in range(200)] + [("N", "w", None), ("T", "x", " Red Plate 12354")]
+    got = names.aligned_entries(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    entries = {k: (t.strip().lower(), s) for k, s, t in rows if t and t.strip()}
+    of = {}
+    for k in sorted(entries):
+        of.setdefault(entries[k][0], []).append(k)
+    apart = lambda x, y: sum(entries[a][1] != entries[b][1] for a in x for b in y)
+    wanted = {("member", k, of[t][0]): (1.0, 1, len(of[t]), apart([k], of[t])) for k, (t, _) in entries.items()}
+    for x, xs in of.items():
+        for y, ys in of.items():
+            like = 1 - edits(x, y) / max(len(x), len(y))
+            if xs[0] < ys[0] and like >= 0.8 and apart(xs, ys):
+                wanted["link", xs[0], ys[0]] = (pytest.approx(like), len(xs), len(ys), apart(xs, ys))
+    assert sum(k[0] == "link" for k in wanted) > 100
+    assert {tuple(g)[:3]: tuple(g)[3:] for g in got} == wanted
+
+
+def test_query_aligns_every_listing(spark):
+    """All listings are members, and the parts' own names are linked, not only made-up ones."""
+    from assetweave.plans import assets
+    from tests.oracle import DATA
+
+    listings = {f"{k.asset_key}:{k.source}" for k in assets.keyed(spark, DATA).select("asset_key", "source").collect()}
+    got = assets.align_by_name_similarity(spark, DATA).collect()
+    members = {g.left_key for g in got if g.kind == "member"}
+    assert listings <= members and len(members) == len(listings) + 200
+    assert sum(g.kind == "link" and ":" in g.left_key for g in got) > 200
