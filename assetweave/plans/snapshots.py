@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assetweave.operators import standardize as st
-from assetweave.operators.ordered import shared_path as folder
+from assetweave.operators.ordered import shared_path as folder, stored
 from assetweave.plans.bindings import SRC_ASSET, asset_platform, src_asset, with_
 from assetweave.registry import query
 from assetweave.sources import snapshots as sn
@@ -135,9 +135,9 @@ SELECT 'platform' AS output, platform AS folder, NULL AS prefix, count(*) AS n F
 UNION ALL SELECT 'asset', key::VARCHAR, md5(key::VARCHAR)[1:2], count(*) FROM rows GROUP BY key""")
 def sink_gold_by_platform(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the folders of each platform and of each asset."""
-    rows, path = asset_platform(spark, d), folder(spark, "gold")
+    rows, path = stored(asset_platform(spark, d), "gold_rows"), folder(spark, "gold")
     sn.sink_gold(rows, f"{path}/platforms", "platform")
     sn.sink_gold_by_asset(rows.withColumn("asset", F.col("key").cast("string")), f"{path}/assets", "asset")
-    platforms, assets = newest(spark, f"{path}/platforms"), newest(spark, f"{path}/assets")
+    platforms, assets = newest(spark, f"{path}/platforms"), sn.gold_by_asset(spark, f"{path}/assets", "asset", rows.schema)
     of = lambda df, output, by, prefix: df.groupBy(F.lit(output).alias("output"), F.col(by).cast("string").alias("folder"), prefix.cast("string").alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
     return of(platforms, "platform", "platform", F.lit(None)).unionByName(of(assets, "asset", "asset", F.col("prefix")))

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
+import os
+import re
+import shutil
+import uuid
+from collections.abc import Callable, Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from assetweave.sources.jsonarrays import elements, parsed
-from assetweave.sources.versions import publish
+from assetweave.sources.versions import Folder, publish, versions
 
 USD = "struct<price:double,market_cap:double,volume_24h:double,percent_change_24h:double>"
 LISTING = f"struct<id:bigint,name:string,symbol:string,slug:string,tags:array<string>,cmc_rank:int,date_added:string,circulating_supply:double,total_supply:double,max_supply:double,platform:struct<name:string,slug:string,symbol:string,token_address:string>,quote:struct<USD:{USD}>>"
@@ -89,7 +98,110 @@ def sink_gold(rows: DataFrame, path: str, by: str, number: int = 0, file_rows: i
     return publish(spark, path, number, lambda to: dealt.write.option("maxRecordsPerFile", file_rows).partitionBy(by).parquet(to))
 
 
+#: Folders of prefixes, which are also the tasks that write them.
+PREFIXES = 256
+#: What Spark writes in another way in the name of a partition's folder.
+ESCAPED = re.compile("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]")
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+#: Rows of many small files that are handed on together.
+READ_ROWS = 10_000
+
+
 def sink_gold_by_asset(rows: DataFrame, path: str, by: str, number: int = 0, prefix: str = "prefix") -> bool:
-    """One folder for each asset, under folders of the first two hex digits of its digest, so that none has too many."""
-    dealt = rows.withColumn(prefix, F.substring(F.md5(by), 1, 2)).repartition(prefix, by)
-    return publish(rows.sparkSession, path, number, lambda to: dealt.sortWithinPartitions(prefix, by).write.partitionBy(prefix, by).parquet(to))
+    """One folder for each asset, under folders of the first two hex digits of its digest, so that none has too many.
+
+    A task has all assets of a prefix. On a mounted file system it writes their files by Arrow, since Hadoop's local file system starts
+    a process or more for each file and folder; on any other one Spark writes them.
+    """
+    dealt = rows.withColumn(by, F.col(by).cast("string")).withColumn(prefix, F.substring(F.md5(by), 1, 2)).repartition(PREFIXES, prefix).sortWithinPartitions(prefix, by)
+
+    def write(to: str) -> None:
+        local = Folder(rows.sparkSession, to).local()
+        if local is None:
+            dealt.write.partitionBy(prefix, by).parquet(to)
+        else:
+            os.makedirs(local)
+            dealt.mapInArrow(_asset_files(local, by, prefix), "files long").agg(F.sum("files")).collect()
+            for left in os.scandir(local):
+                if left.name.startswith("_attempt-"):
+                    shutil.rmtree(left.path)
+
+    return publish(rows.sparkSession, path, number, write)
+
+
+def _asset_files(to: str, by: str, prefix: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes rows, sorted by prefix and asset, as a file for each asset. A prefix comes in sight as a whole; one that another attempt has put there stays."""
+
+    # within, so that workers needn't import this module
+    def folder(column: str, value: str | None) -> str:
+        return f"{column}={ESCAPED.sub(lambda m: f'%{ord(m[0]):02X}', value) if value else NO_VALUE}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, files, at, out = f"{to}/_attempt-{uuid.uuid4().hex}", 0, None, None
+
+        def show(prefix_folder: str) -> None:
+            try:
+                os.rename(f"{own}/{prefix_folder}", f"{to}/{prefix_folder}")
+            except OSError:
+                if not os.path.isdir(f"{to}/{prefix_folder}"):
+                    raise
+
+        for batch in batches:
+            assets, prefixes = (batch.column(c) for c in (by, prefix))
+            data = batch.drop_columns([by, prefix])
+            ends = pc.run_end_encode(assets).run_ends.to_pylist()
+            for start, end in zip([0, *ends], ends):
+                folders = folder(prefix, prefixes[start].as_py()), folder(by, assets[start].as_py())
+                if folders != at:
+                    if out is not None:
+                        out.close()
+                        if folders[0] != at[0]:
+                            show(at[0])
+                    os.makedirs(f"{own}/{'/'.join(folders)}")
+                    out = pq.ParquetWriter(f"{own}/{'/'.join(folders)}/part-0.parquet", data.schema, use_dictionary=False, store_schema=False)
+                    at, files = folders, files + 1
+                out.write_batch(data.slice(start, end - start))
+        if out is not None:
+            out.close()
+            show(at[0])
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    return write
+
+
+def gold_by_asset(spark: SparkSession, path: str, by: str, schema: StructType, prefix: str = "prefix") -> DataFrame | None:
+    """The newest rows that sink_gold_by_asset has put into path; schema: theirs, without by and prefix, which follow as strings.
+
+    On a mounted file system tasks list and read a prefix each, so that the folders of all assets aren't listed in the driver.
+    """
+    found = versions(spark, path)
+    if not found:
+        return None
+    whole = StructType([*schema.fields, StructField(prefix, StringType()), StructField(by, StringType())])
+    top = f"{path}/version={found[-1]}"
+    local = Folder(spark, top).local()
+    if local is None:
+        return spark.read.schema(whole).parquet(top)
+    names = [(n,) for n in Folder(spark, top).names() if n.startswith(f"{prefix}=")]
+    return spark.createDataFrame(names, "name string").repartition(PREFIXES, "name").mapInArrow(_asset_rows(local, by, prefix, whole.fieldNames()), whole)
+
+
+def _asset_rows(top: str, by: str, prefix: str, columns: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    named = lambda name: None if name.partition("=")[2] == NO_VALUE else unquote(name.partition("=")[2])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for folder in (n for batch in batches for n in batch.column(0).to_pylist()):
+            held, n = [], 0
+            for asset in os.scandir(f"{top}/{folder}"):
+                for part in os.scandir(asset.path):
+                    with pq.ParquetFile(part.path) as file:
+                        for batch in file.read(use_threads=False).to_batches() if file.metadata.num_rows <= READ_ROWS else file.iter_batches(READ_ROWS):
+                            held.append(batch.append_column(prefix, pa.repeat(pa.scalar(named(folder), pa.string()), len(batch))).append_column(by, pa.repeat(pa.scalar(named(asset.name), pa.string()), len(batch))).select(columns))
+                            n += len(batch)
+                            if n >= READ_ROWS:
+                                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                                held, n = [], 0
+            if held:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return read

@@ -25,6 +25,11 @@ class Folder:
         self._make = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._make(path).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def local(self) -> str | None:
+        """The path on a mounted file system; None in any other one."""
+        uri = self._make(self.path).makeQualified(self._fs.getUri(), self._fs.getWorkingDirectory()).toUri()
+        return uri.getPath() if uri.getScheme() == "file" else None
+
     def names(self) -> list[str]:
         at = self._make(self.path)
         return [s.getPath().getName() for s in self._fs.listStatus(at)] if self._fs.exists(at) else []

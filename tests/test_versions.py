@@ -91,6 +91,24 @@ def test_sink_gold_shares_out_large_values(spark, tmp_path):
     assert assets.select("f").distinct().count() == 40 and assets.where("prefix <> substring(md5(asset), 1, 2)").count() == 0
 
 
+def test_files_of_assets_are_written_and_read_without_spark_partitions(spark, tmp_path):
+    """A file for each asset, whatever its name, and no more: no checksum file, each of which was a process or two more."""
+    path, keys = str(tmp_path / "gold"), ["a", "a/b", "x=1", "50%", "007", "é ü", "", None]
+    rows = spark.createDataFrame([(k, n, {"n": n}) for k in keys for n in range(3)], "asset string, n int, m map<string,int>")
+    assert sn.sink_gold_by_asset(rows, path, "asset", 2) and not sn.sink_gold_by_asset(rows, path, "asset", 2)
+    files = [f for f in (tmp_path / "gold" / "version=2").rglob("*") if f.is_file()]
+    assert len(files) == 7 + 1 and all(f.match("prefix=*/asset=*/part-0.parquet") for f in files)
+    got = sn.gold_by_asset(spark, path, "asset", rows.drop("asset").schema)
+    # as in Spark's folders, an empty name is none
+    assert sorted(map(str, got.select("asset", "n", "m").collect())) == sorted(map(str, rows.withColumn("asset", F.nullif("asset", F.lit(""))).collect()))
+    assert got.where("asset IS NOT NULL AND prefix <> substring(md5(asset), 1, 2)").count() == 0
+    assert {r.asset for r in spark.read.schema("asset string").parquet(path + "/version=2").collect()} == {*keys} - {""}
+    # an asset over several batches; no rows at all
+    many = spark.range(30_000).select(F.lit("hot").alias("asset"), "id")
+    assert sn.sink_gold_by_asset(many, path + "-hot", "asset") and sn.gold_by_asset(spark, path + "-hot", "asset", many.drop("asset").schema).distinct().count() == 30_000
+    assert sn.sink_gold_by_asset(many.limit(0), path + "-none", "asset") and sn.gold_by_asset(spark, path + "-none", "asset", many.drop("asset").schema).count() == 0
+
+
 def test_sink_snapshot_can_be_repeated(spark, tmp_path):
     path = str(tmp_path / "bronze")
     rows = spark.range(10).select(F.lit("cmc").alias("source"), F.lit("t1").alias("snapshot_ts"), "id")
