@@ -1,7 +1,7 @@
 """Names in sorted leaves, and the comparison of whole leaves with each other.
 
-Names are sorted by length and text and cut into leaves of LEAF names at most, between names that have least in common. A leaf is
-dense if its names begin alike for half their length or more. A dense leaf is compared with each leaf that can hold names like its
+Names are sorted by length and text and cut into leaves of LEAF names at most. A leaf is dense if its names, DENSE at least, begin alike
+for half their length or more; runs of such names are leaves of their own. A dense leaf is compared with each leaf that can hold names like its
 own: not with those whose beginnings take more edits than the lengths allow. Two leaves are compared as
 a whole, all names of the one with all of the other, a place of the edit table for all pairs at a time.
 """
@@ -54,20 +54,30 @@ def in_leaves(texts: DataFrame, info: list[str], limit: int) -> DataFrame:
             arrays = {c: pa.array([rows[c].to_pylist()], pa.list_(rows.schema.field(c).type)) for c in columns}
             return pa.RecordBatch.from_pydict(head | arrays)
 
+        def end(names: list[str], more: bool) -> int:
+            """Names of the first leaf: a run that begins alike, cut where it has least in common if it is too long, or what comes before the first run that is long enough."""
+            common = [len(commonprefix(names[k : k + 2])) for k in range(len(names) - 1)]
+            cuts = [k + 1 for k, c in enumerate(common) if 2 * c < len(names[0])]
+            if not cuts and more:
+                return 1 + min(range(most), key=lambda k: (common[k], -k))
+            starts, ends = [0, *cuts], [*cuts, len(names)]
+            if ends[0] >= least:
+                return ends[0]
+            # a run that goes on may be long enough
+            found = [s for s, e in zip(starts[1:], ends[1:]) if e - s >= least or more and e == len(names)]
+            return found[0] if found else len(names)
+
         def leaves(rows: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
             """The leaves of rows; but for the last time, the names that more may follow are held."""
             nonlocal held
             held = None
             while len(rows):
                 sizes = rows["size"].to_numpy()
-                at = same = int(np.searchsorted(sizes, sizes[0], "right"))
+                same = int(np.searchsorted(sizes, sizes[0], "right"))
                 if same == len(rows) and not last and same <= most:
                     held = rows
                     return
-                if same > most:
-                    near = rows["name"].slice(0, most + 1).to_pylist()
-                    at = 1 + min(range(most), key=lambda k: (len(commonprefix(near[k : k + 2])), -k))
-                yield leaf(rows.slice(0, at))
+                yield leaf(rows.slice(0, at := end(rows["name"].slice(0, min(same, most + 1)).to_pylist(), same > most)))
                 rows = rows.slice(at)
 
         for batch in batches:
@@ -83,16 +93,15 @@ def in_leaves(texts: DataFrame, info: list[str], limit: int) -> DataFrame:
     return stored(dealt.sortWithinPartitions("size", "name").mapInArrow(cut, schema), "leaves")
 
 
-def compared() -> Callable[[np.ndarray, np.ndarray, int], np.ndarray]:
-    """edits(a, b, k): the edits between each of the names a, a row of code points each, and each of b, which are as long or longer.
+def compared() -> Callable[..., np.ndarray]:
+    """edits(a, b, k, wild): the edits between each of the names a, a row of code points each, and each of b, which are as long or longer.
 
-    What is more than k may be any number over k. The code point 0 is like any other, so that beginnings give a lower bound.
+    What is more than k may be any number over k. If wild, the code point 0 is like any other, so that beginnings give a lower bound.
     """
 
-    def edits(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
+    def edits(a: np.ndarray, b: np.ndarray, k: int, wild: bool = False) -> np.ndarray:
         n, whole = a.shape[1], b.shape[1]
         more, far, shape = whole - n, k + 1, (len(a), len(b))
-        wild = not (a.all() and b.all())
         # diagonals on which the difference in length can still be made up for
         band = [o for o in range(-k, k + 1) if abs(o) + abs(more - o) <= k]
         row = {o: np.full(shape, o if o >= 0 else far, np.uint8) for o in band}
@@ -133,7 +142,7 @@ def _met(heads: list[Row], threshold: float, spark) -> DataFrame:
                     if k and size <= whole <= size + k:
                         others, beginnings = begins.value[whole]
                         first = at if whole == size else 0
-                        near = others[first:][edits(texts[at : at + 1], beginnings[first:], k)[0] <= k]
+                        near = others[first:][edits(texts[at : at + 1], beginnings[first:], k, True)[0] <= k]
                         yield pa.RecordBatch.from_pydict({"one": pa.array(np.full(len(near), leaf)), "two": pa.array(near)})
 
     dense = spark.createDataFrame([(h.leaf, h.size) for h in heads if h.dense], "leaf long, size int")

@@ -39,7 +39,7 @@ def test_edits_of_all_pairs():
         part = points[1].copy()
         part[:, whole // 2 :] = 0
         if whole - n <= 5:
-            assert (of(points[0], part, 5) <= np.minimum(of(points[0], points[1], 5), 6)).all()
+            assert (of(points[0], part, 5, True) <= np.minimum(of(points[0], points[1], 5), 6)).all()
 
 
 @pytest.mark.parametrize("threshold", [0.8, 0.6])
@@ -47,7 +47,7 @@ def test_names_with_one_beginning_equal_brute_force(spark, monkeypatch, threshol
     monkeypatch.setattr(leaves, "LEAF", 24)
     monkeypatch.setattr(leaves, "DENSE", 4)
     r = random.Random(23)
-    made = [f"{r.choice(['red plate', 'rod plate', 'old rod', 'żółty ring', 'x'])} {r.randrange(10 ** r.randint(1, 5))}" for _ in range(330)] + [edited(r, "red plate 123", r.randint(0, 4), "12ż ") or "a" for _ in range(40)]
+    made = [f"{r.choice(['red plate', 'rod plate', 'old rod', 'żółty ring', 'x'])} {r.randrange(10 ** r.randint(1, 5))}" for _ in range(330)] + [edited(r, "red plate 123", r.randint(0, 4), "12ż \0") or "a" for _ in range(40)]
     rows = texts(spark, made)
     heads = leaves.in_leaves(rows, ["key"], names.LONG).select("dense").collect()
     assert sum(h.dense for h in heads) > 5 and sum(not h.dense for h in heads) > 5
